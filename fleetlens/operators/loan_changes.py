@@ -20,7 +20,7 @@ from fleetlens.functions.cells import is_blank
 from fleetlens.operators.history import log_rows
 from fleetlens.operators.loans import open_loans
 from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last
-from fleetlens.operators.skew import join_checked, join_unique
+from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 
 UNKNOWN_COMMAND = "Unknown command"
@@ -65,7 +65,7 @@ def _device_facts(cmds: DataFrame, inv: DataFrame, opened: DataFrame) -> DataFra
     )
     # Every stored open loan of these devices, with the first command that names it.
     named = cmds.where("_loan IS NOT NULL").groupBy(F.col("_loan").alias("checkout_id")).agg(
-        F.min("_when").alias("_named_at")
+        F.min("_first_named").alias("_named_at")
     )
     per_loan = join_checked(
         opened.select("checkout_id", "inventory_id"), asked.select("inventory_id"), ["inventory_id"], "left_semi",
@@ -98,25 +98,23 @@ def apply_loan_commands(
     checked = _well_formed(cmds, require_due)
     malformed = checked.where("reason IS NOT NULL").select("command_id", "reason")
 
-    # A CHECKIN by loan belongs to the device of that loan.
+    # A CHECKIN by loan belongs to the device of that loan; the first one per loan may count.
     fine = checked.where("reason IS NULL").drop("reason")
-    by_loan = join_unique(
-        fine.where("_loan IS NOT NULL").drop("inventory_id"),
-        opened.select(F.col("checkout_id").alias("_loan"), "inventory_id"),
-        ["_loan"], "left", ["command_id"],
-    )
+    by_name = fine.where("_loan IS NOT NULL")
+    named = by_name.groupBy("_loan").agg(F.min("_when").alias("_first_named"))
+    named = stored(
+        named.join(opened.select(F.col("checkout_id").alias("_loan"), "inventory_id"), "_loan", "left"), "named"
+    )
+    by_loan = join_checked(by_name.drop("inventory_id"), named, ["_loan"], "left", ["command_id"])
     unknown_loan = by_loan.where("inventory_id IS NULL").select("command_id", F.lit(NOT_OUT).alias("reason"))
     placed = stored(
-        fine.where("_loan IS NULL").unionByName(by_loan.where("inventory_id IS NOT NULL")), "placed"
+        fine.where("_loan IS NULL").unionByName(by_loan.where("inventory_id IS NOT NULL"), allowMissingColumns=True),
+        "placed",
     )
     facts = stored(_device_facts(placed, inv, opened), "devices")
+    rows = join_checked(placed, facts, ["inventory_id"], "left", ["command_id"])
 
-    rows = join_unique(placed, facts, ["inventory_id"], "left", ["command_id"])
-    first_named = F.min("_when").alias("_first_named")
-    firsts = placed.where("_loan IS NOT NULL").groupBy("_loan").agg(first_named)
-    rows = join_unique(rows, firsts, ["_loan"], "left", ["command_id"])
-
-    # Returns of stored loans by id: the first one per loan counts, unless the device came back before.
+    # Returns of stored loans by name, unless the device came back before.
     in_time = F.col("_back").isNull() | (F.col("_when") <= F.col("_back"))
     returns = F.col("_loan").isNotNull()
     known = F.col("_open").isNotNull()
@@ -162,12 +160,13 @@ def apply_loan_commands(
     )
 
     # Stored loans: returned by name, or with the device by its first plain CHECKIN.
-    by_name = rows.where(good_return).select(F.col("_loan").alias("checkout_id"), F.col("command_ts").alias("_named_ts"))
+    one_by_one = rows.where(good_return).select(F.col("_loan").alias("checkout_id"), F.col("command_ts").alias("_named_ts"))
     with_device = facts.where("_open > 0 AND _first_in IS NOT NULL AND _first_in = _back").select(
         "inventory_id", F.col("_back.command_ts").alias("_device_ts")
     )
     tags = facts.select("inventory_id", "asset_tag")
-    touched = join_unique(opened.join(by_name, "checkout_id", "left"), with_device, ["inventory_id"], "left", ["checkout_id"])
+    touched = opened.join(one_by_one, "checkout_id", "left")
+    touched = join_checked(touched, with_device, ["inventory_id"], "left", ["checkout_id"])
     touched = touched.withColumn("checkin_date", F.coalesce("_named_ts", "_device_ts"))
     new_loans = (
         loans.where("checkin_date IS NOT NULL")
@@ -175,7 +174,7 @@ def apply_loan_commands(
         .unionByName(fresh.select(*loans.columns))
     )
 
-    closed = join_unique(touched.where("checkin_date IS NOT NULL"), tags, ["inventory_id"], "left", ["checkout_id"])
+    closed = join_checked(touched.where("checkin_date IS NOT NULL"), tags, ["inventory_id"], "left", ["checkout_id"])
     ended = closed.select("asset_tag", "user_name", "checkin_date").unionByName(
         fresh.where("checkin_date IS NOT NULL").select("asset_tag", "user_name", "checkin_date")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.cells import is_blank, location_label, location_ref
 from fleetlens.operators.history import log_rows
 from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last, running_sum
-from fleetlens.operators.skew import any_of, join_unique
+from fleetlens.operators.skew import any_of, join_checked
 from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
 
@@ -58,7 +58,7 @@ def _judge_alone(loc: DataFrame, inv: DataFrame, cmds: DataFrame) -> DataFrame:
             F.when(F.col("_used").isNull(), F.col("_first_delete")).alias("_gone"),
         )
     )
-    rows = join_unique(cmds, stored(facts, "facts"), ["location_id"], "left", ["command_id"])
+    rows = join_checked(cmds, stored(facts, "facts"), ["location_id"], "left", ["command_id"])
 
     absent = F.col("_used").isNull() | F.coalesce(F.col("_when") > F.col("_gone"), F.lit(False))
     reason = F.when(~kind.isin(CREATE, UPDATE, DELETE), UNKNOWN_COMMAND)

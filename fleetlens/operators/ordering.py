@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.sources.storage import shuffle_partitions, stored
+from fleetlens.sources.storage import stored
 
 PIECE, AT = "_piece", "_at"
 # monotonically_increasing_id puts the partition above bit 33 and the row below it
@@ -18,13 +18,12 @@ _ROW_BITS = 33
 
 
 def cut_pieces(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
-    """Sort by ``order`` (unique together) and store, with the piece and place of every row."""
-    pieces = pieces or shuffle_partitions(df.sparkSession)
-    placed = (
-        df.repartitionByRange(pieces, *order)
-        .sortWithinPartitions(*order)
-        .withColumn(AT, F.monotonically_increasing_id())
-    )
+    """Sort by ``order`` (unique together) and store, with the piece and place of every row.
+
+    Without a number of ``pieces`` Spark sizes them by their bytes.
+    """
+    ranged = df.repartitionByRange(pieces, *order) if pieces else df.repartitionByRange(*order)
+    placed = ranged.sortWithinPartitions(*order).withColumn(AT, F.monotonically_increasing_id())
     return stored(placed, "pieces").withColumn(PIECE, F.shiftright(AT, _ROW_BITS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.cells import is_blank, log_text
 from fleetlens.operators.history import log_rows
 from fleetlens.operators.ordering import cut_pieces, number_within, plain
-from fleetlens.operators.skew import join_checked, join_unique
+from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 
 NOT_FOUND = "Asset not found"
@@ -34,7 +34,7 @@ def toggle_loaner(inv: DataFrame, cmds: DataFrame) -> tuple[DataFrame, DataFrame
         ),
         "flags",
     )
-    judged = join_unique(cmds, known.drop("inventory_id", "_flips"), ["asset_tag"], "left", ["command_id"])
+    judged = join_checked(cmds, known.drop("inventory_id", "_flips"), ["asset_tag"], "left", ["command_id"])
     reason = F.when(F.col("_devices").isNull(), NOT_FOUND).when(F.col("_devices") > 1, AMBIGUOUS)
     judged = stored(judged.withColumn("reason", reason), "toggles")
     rejected = judged.where("reason IS NOT NULL").select("command_id", "reason")
