@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions.cells import contains
-from fleetlens.operators.skew import any_of
+from fleetlens.functions.cells import any_of, contains
 
 # The words that decide a category, in the order they are tried.
 NINE_RULES = [

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.cells import contains, day_of, text_or_empty
+from fleetlens.functions.cells import all_of, any_of, contains, day_of, text_or_empty
 from fleetlens.operators.locations import devices_per_location, with_location
 from fleetlens.operators.ordering import assign_ids
-from fleetlens.operators.skew import all_of, any_of, join_checked
+from fleetlens.operators.skew import join_checked
+from fleetlens.sources.storage import stored
 
 PAGE_SIZE = 25
 KEYSET_PAGE_SIZE = 35
@@ -23,7 +24,8 @@ def equals_given(df: DataFrame, **wanted) -> DataFrame:
 
 def lookup(df: DataFrame, keys: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
     """Rows for a batch of keys."""
-    return join_checked(df, keys.select(on).distinct(), [on], "left_semi", spread_by)
+    wanted = stored(keys.where(F.col(on).isNotNull()).select(on).distinct(), "keys")
+    return join_checked(df, wanted, [on], "left_semi", spread_by)
 
 
 def has_any(df: DataFrame, columns: list[str]) -> DataFrame:

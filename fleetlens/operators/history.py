@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.cells import log_text
+from fleetlens.functions.cells import any_of, log_text
+from fleetlens.operators.browse import lookup
 from fleetlens.operators.loans import as_of_column
-from fleetlens.operators.skew import any_of, join_checked
 from fleetlens.schemas import AUDIT_COLUMNS
 
 
@@ -89,8 +89,7 @@ def diff_to_audit(
 
 def asset_history(audit: DataFrame, tags: DataFrame) -> DataFrame:
     """The log of a batch of assets, newest first."""
-    wanted = tags.where("asset_tag IS NOT NULL").select("asset_tag").distinct()
-    return join_checked(audit, wanted, ["asset_tag"], "left_semi", ["audit_id"]).orderBy(
+    return lookup(audit, tags, "asset_tag", ["audit_id"]).orderBy(
         "asset_tag", F.desc("changed_at"), F.desc("audit_id")
     )
 

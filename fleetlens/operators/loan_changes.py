@@ -22,6 +22,7 @@ from fleetlens.operators.loans import open_loans
 from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last
 from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
+from fleetlens.sources.tables import next_id
 
 UNKNOWN_COMMAND = "Unknown command"
 MISSING_FIELDS = "Missing required fields"
@@ -149,7 +150,7 @@ def apply_loan_commands(
     )
     taken = plain(spans).where(F.col("kind") == OUT)
     if first_id is None:
-        first_id = (loans.agg(F.max("checkout_id")).first()[0] or 0) + 1
+        first_id = next_id(loans, "checkout_id")
     fresh = assign_ids(
         taken.select(
             "command_ts", "command_id", "inventory_id", "user_name", F.col("command_ts").alias("checkout_date"),

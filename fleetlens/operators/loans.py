@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import display, is_blank, overdue
-from fleetlens.operators.skew import join_checked, join_unique
+from fleetlens.operators.skew import fits_broadcast, join_checked, join_unique
+from fleetlens.sources.storage import stored
 
 CHECKED_OUT_COLUMNS = [
     "inventory_id", "site_name", "room_number", "room_name", "asset_tag", "asset_type", "model", "serial_number",
@@ -25,19 +26,29 @@ def open_loans(loans: DataFrame) -> DataFrame:
     return loans.where("checkin_date IS NULL")
 
 
+def join_devices(opened: DataFrame, devices: DataFrame, on: list[str], spread_by: list[str]) -> DataFrame:
+    """Stored open loans with their devices. Few loans travel to the devices; many are shuffled."""
+    if fits_broadcast(opened):
+        return devices.join(F.broadcast(opened), on)
+    return join_unique(opened, devices, on, "inner", spread_by)
+
+
 def available_loaners(inv: DataFrame, loans: DataFrame, skip_decommissioned: bool = False) -> DataFrame:
-    """Loan devices without an open loan. Decommissioned ones count unless told otherwise."""
-    out = open_loans(loans).select("inventory_id").distinct()
-    free = inv.where("is_loaner").join(out, "inventory_id", "left_anti").select(*inv.columns)
+    """Loan devices without an open loan. Decommissioned ones count unless told otherwise.
+
+    The few devices that are out are collected first, so the inventory is read once and not shuffled.
+    """
+    out = stored(open_loans(loans).select("inventory_id").distinct(), "out")
+    free = join_checked(inv.where("is_loaner"), out, ["inventory_id"], "left_anti", ["inventory_id"])
+    free = free.select(*inv.columns)
     return free.where(is_blank("date_decommissioned")) if skip_decommissioned else free
 
 
 def checked_out_loaners(inv: DataFrame, loans: DataFrame) -> DataFrame:
     """Open loans with their device, one row per open loan."""
     devices = inv.where("is_loaner").withColumnRenamed("notes", "inventory_notes").drop("is_loaner")
-    return join_unique(open_loans(loans), devices, ["inventory_id"], "inner", ["checkout_id"]).select(
-        *CHECKED_OUT_COLUMNS
-    )
+    opened = stored(open_loans(loans), "open")
+    return join_devices(opened, devices, ["inventory_id"], ["checkout_id"]).select(*CHECKED_OUT_COLUMNS)
 
 
 def active_loans(
@@ -51,12 +62,10 @@ def active_loans(
     device = [F.col("asset_tag"), F.col("asset_type"), F.col("model"), F.col("serial_number")]
     if loc is not None:
         device += [F.col("site_name").alias("home_site"), F.col("room_number").alias("home_room"), F.col("room_name").alias("home_room_name")]
-    out = loans.where("actual_return_date IS NULL")
+    out = stored(loans.where("actual_return_date IS NULL"), "open")
     columns = ["loan_id", "asset_tag", "asset_type", "model", "serial_number"]
-    if loc is None:
-        shown = join_unique(out, eq.select(*device), ["asset_tag"], "inner", ["loan_id"])
-    else:
-        shown = join_unique(out, eq.select(*device), ["asset_tag"], "inner", ["loan_id"])
+    shown = join_devices(out, eq.select(*device), ["asset_tag"], ["loan_id"])
+    if loc is not None:
         rooms = loc.select(
             F.col("location_id").alias("temporary_location_id"),
             F.col("site_name").alias("current_site"),
@@ -101,10 +110,5 @@ def loan_status(inv: DataFrame, loans: DataFrame) -> DataFrame:
 def open_checkout_device(loans: DataFrame, inv: DataFrame, keys: DataFrame) -> DataFrame:
     """For a batch of checkout ids: device, borrower and tag of those that are still open."""
     wanted = open_loans(loans).join(keys.select("checkout_id").distinct(), "checkout_id", "left_semi")
-    return join_unique(
-        wanted.select("checkout_id", "inventory_id", "user_name"),
-        inv.select("inventory_id", "asset_tag"),
-        ["inventory_id"],
-        "inner",
-        ["checkout_id"],
-    )
+    wanted = stored(wanted.select("checkout_id", "inventory_id", "user_name"), "open")
+    return join_devices(wanted, inv.select("inventory_id", "asset_tag"), ["inventory_id"], ["checkout_id"])

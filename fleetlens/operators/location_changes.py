@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.cells import is_blank, location_label, location_ref
+from fleetlens.functions.cells import any_of, is_blank, location_label, location_ref
 from fleetlens.operators.history import log_rows
 from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last, running_sum
-from fleetlens.operators.skew import any_of, join_checked
+from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
+from fleetlens.sources.tables import next_id
 
 UNKNOWN_COMMAND = "Unknown command"
 NOT_FOUND = "Location not found"
@@ -176,7 +177,7 @@ def apply_location_changes(
         "location_id", *[F.coalesce(f"_last_{f}", f).alias(f) for f in LOCATION_FIELDS]
     )
     if first_id is None:
-        first_id = (loc.agg(F.max("location_id")).first()[0] or 0) + 1
+        first_id = next_id(loc, "location_id")
     created = assign_ids(
         good.where(F.col("kind") == CREATE).select("command_ts", "command_id", *LOCATION_FIELDS, "changed_by"),
         ["command_ts", "command_id"],

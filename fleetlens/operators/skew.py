@@ -6,26 +6,17 @@ shuffle partition are cut into shares, and their single partner row is copied to
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.cells import all_of
 from fleetlens.sources.storage import shuffle_partitions
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     """Measure rows and bytes of ``df``: one aggregation, cheap on a stored table."""
     width = F.lit(0)

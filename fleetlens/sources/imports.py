@@ -39,12 +39,16 @@ def read_import(
         )
     cells = [F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items() if n in IMPORT_COLUMNS]
     absent = [F.lit(None).cast("string").alias(c) for c in IMPORT_OPTIONAL if c not in names.values()]
-    placed = raw.select(
-        *cells,
-        *absent,
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
+    # Split positions are only good within one read, so the text is read once and kept as columns.
+    placed = stored(
+        raw.select(
+            *cells,
+            *absent,
+            F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        ),
+        "sheet",
     )
     splits = placed.groupBy("source_file", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     line = Window.partitionBy("source_file").orderBy("_block")
