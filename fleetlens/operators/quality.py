@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,11 +95,24 @@ def conformance(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def column_report(df: DataFrame) -> DataFrame:
-    """Name, type and nullability of each column."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, data_type string, is_nullable boolean"
-    )
+    """Name, type and nullability of each column, with its NULLs and longest text."""
+    counts, rows = [], []
+    for field in df.schema:
+        name, text = field.name, isinstance(field.dataType, T.StringType)
+        counts += [
+            F.count_if(F.col(name).isNull()).alias(f"n_{name}"),
+            (F.max(F.length(name)) if text else F.lit(None)).cast("int").alias(f"l_{name}"),
+        ]
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.lit(field.dataType.simpleString()).alias("data_type"),
+                F.lit(field.nullable).alias("is_nullable"),
+                F.col(f"n_{name}").alias("null_count"),
+                F.col(f"l_{name}").alias("longest_text"),
+            )
+        )
+    return df.agg(*counts).select(F.inline(F.array(*rows)))
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
@@ -112,17 +127,27 @@ def require_tables(tables: dict[str, DataFrame], names: list[str]) -> None:
         raise QualityError(f"missing tables: {', '.join(missing)}")
 
 
+def check_counts(
+    df: DataFrame, not_blank_columns: list[str] = (), unique: list[str] = (), include_empty: bool = True
+) -> DataFrame:
+    """One row per check: blanks of a column, or repeated values of a single-column key."""
+    parts = []
+    if not_blank_columns:
+        blanks = df.agg(*[F.count_if(is_blank(c)).alias(c) for c in not_blank_columns])
+        rows = [F.struct(F.lit(f"blank {c}").alias("check_name"), F.col(c).alias("failures")) for c in not_blank_columns]
+        parts.append(blanks.select(F.inline(F.array(*rows))))
+    for key in unique:
+        repeated = duplicate_keys(df, [key], include_empty)
+        parts.append(repeated.agg(F.lit(f"repeated {key}").alias("check_name"), F.count("*").alias("failures")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def require(
     df: DataFrame, not_blank_columns: list[str] = (), unique: list[str] = (), include_empty: bool = True
 ) -> None:
     """Stop with counts if a column has blanks or a single-column key repeats."""
-    problems = []
-    if not_blank_columns:
-        found = df.agg(*[F.count_if(is_blank(c)).alias(c) for c in not_blank_columns]).first()
-        problems += [f"{found[c]} rows with blank {c}" for c in not_blank_columns if found[c]]
-    for key in unique:
-        repeated = duplicate_key_count(df, [key], include_empty).first()[0]
-        if repeated:
-            problems.append(f"{repeated} repeated values of {key}")
+    failed = check_counts(df, not_blank_columns, unique, include_empty).where("failures > 0")
+    # one row per check
+    problems = [f"{r.failures} rows or values: {r.check_name}" for r in failed.collect()]
     if problems:
         raise QualityError("cannot proceed: " + "; ".join(problems))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.cells import all_of
-from fleetlens.sources.storage import shuffle_partitions
+from fleetlens.sources.storage import shuffle_partitions, stored
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
@@ -50,24 +50,23 @@ def join_unique(
     """``fact`` joined to ``dim``, which holds at most one row per ``on``.
 
     ``how`` is inner, left, left_semi or left_anti. ``spread_by`` are fact columns that vary within
-    a key; the share of a row is a hash of them, so a repeated task finds the same share.
+    a key; the share of a row is a hash of them, so a repeated task finds the same share. One pass
+    over the key columns finds the hot keys; without any, this is a plain join.
     """
     if how in ("inner", "left_semi"):
         fact = fact.where(all_of([F.col(c).isNotNull() for c in on]))
-    hot = F.broadcast(hot_keys(fact, on, shuffle_partitions(fact.sparkSession)))
+    hot = stored(hot_keys(fact, on, shuffle_partitions(fact.sparkSession)), "hot")
+    if hot.isEmpty():
+        return fact.join(dim, on, how)
 
     def with_shares(side: DataFrame) -> DataFrame:
-        return side.join(hot, all_of([F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on]), "left")
+        same = all_of([F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on])
+        return side.join(F.broadcast(hot), same, "left")
 
-    keep = fact.columns
-    shared = with_shares(fact).select(
-        *keep,
-        F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_shares").cast("long")), F.lit(0)).cast("int").alias("_share"),
-    )
-    copies = with_shares(dim).select(
-        *dim.columns,
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)).alias("_share"),
-    )
+    share = F.pmod(F.xxhash64(*spread_by), F.col("_shares").cast("long"))
+    shared = with_shares(fact).select(*fact.columns, F.coalesce(share, F.lit(0)).cast("int").alias("_share"))
+    numbers = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
+    copies = with_shares(dim).select(*dim.columns, F.explode(numbers).alias("_share"))
     return shared.join(copies, [*on, "_share"], how).drop("_share")
 
 

@@ -543,6 +543,16 @@ def conformance(t):
     return quality.conformance(t.inventory, schemas.EQUIPMENT_RULES)
 
 
+@query
+def column_report(t):
+    return quality.column_report(t.raw("orders"))
+
+
+@query
+def quality_gate(t):
+    return quality.check_counts(t.inventory, ["asset_tag", "site_name", "asset_type"], ["asset_tag", "inventory_id"])
+
+
 @query
 def device_ids(t):
     devices = t.raw("orders").select("o_orderkey", "o_orderdate")

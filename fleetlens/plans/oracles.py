@@ -674,6 +674,30 @@ _add(
     ),
     "inventory",
 )
+_ORDERS = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+_add(
+    "column_report",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, '{kind}' AS data_type, true AS is_nullable,
+ count(*) - count({c}) AS null_count, {f"max(length({c}))" if kind == "string" else "NULL"} AS longest_text FROM orders"""
+        for c, kind in _ORDERS.items()
+    ),
+)
+_add(
+    "quality_gate",
+    """
+SELECT 'blank asset_tag' AS check_name, count(*) AS failures FROM inventory WHERE coalesce(asset_tag, '') = ''
+UNION ALL SELECT 'blank site_name', count(*) FROM inventory WHERE coalesce(site_name, '') = ''
+UNION ALL SELECT 'blank asset_type', count(*) FROM inventory WHERE coalesce(asset_type, '') = ''
+UNION ALL SELECT 'repeated asset_tag', count(*) FROM (
+  SELECT asset_tag FROM inventory WHERE asset_tag IS NOT NULL GROUP BY asset_tag HAVING count(*) > 1) a
+UNION ALL SELECT 'repeated inventory_id', count(*) FROM (
+  SELECT inventory_id FROM inventory GROUP BY inventory_id HAVING count(*) > 1) b""",
+    "inventory",
+)
 _add(
     "device_ids",
     "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS inventory_id, o_orderkey, o_orderdate FROM orders",

@@ -17,10 +17,20 @@ _VERSIONS = T.StructType(
 )
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A whole stored table; with a schema no file is opened to infer one."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+def load_table(
+    spark: SparkSession, source: str | None = None, schema: T.StructType | None = None, fmt: str = "parquet", **options
+) -> DataFrame:
+    """A whole stored table: a path in any format Spark reads, or a name in the catalog.
+
+    With a schema no file is opened to infer one. ``fmt="table"`` takes a catalog name, and
+    ``fmt="jdbc"`` needs only options; give it ``partitionColumn`` and bounds to read in parallel.
+    """
+    if fmt == "table":
+        return spark.table(source)
+    reader = spark.read.format(fmt).options(**options)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(source) if source else reader.load()
 
 
 def peek(df: DataFrame, n: int = 5) -> DataFrame:

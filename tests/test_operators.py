@@ -137,7 +137,7 @@ def test_diff_replays_the_change(spark):
 
 def test_gates(spark):
     inv = devices(spark, dict(asset_tag="A"), dict(asset_tag="A"), dict(asset_tag=""), dict())
-    with pytest.raises(quality.QualityError, match="2 rows with blank asset_tag; 1 repeated values of asset_tag"):
+    with pytest.raises(quality.QualityError, match="2 rows or values: blank asset_tag; 1 rows or values: repeated asset_tag"):
         quality.require(inv, ["asset_tag"], ["asset_tag"])
     quality.require(inv.where("inventory_id = 1"), ["asset_tag"], ["asset_tag"])
     with pytest.raises(quality.QualityError, match="missing columns: colour"):
@@ -153,8 +153,9 @@ def test_conformance(spark):
 
 
 def test_column_report(spark):
-    got = [tuple(r) for r in quality.column_report(devices(spark, dict())).collect()]
-    assert ("location_id", "bigint", True) in got and ("is_loaner", "boolean", False) in got
+    got = [tuple(r) for r in quality.column_report(devices(spark, dict(asset_tag="T12"), dict())).collect()]
+    assert ("location_id", "bigint", True, 2, None) in got and ("is_loaner", "boolean", False, 0, None) in got
+    assert ("asset_tag", "string", True, 1, 3) in got
 
 
 def test_tidy_columns_twice(spark):

@@ -114,3 +114,11 @@ def test_shared_folder_is_the_named_one(spark):
 
 def test_next_id_of_nothing(spark):
     assert tables.next_id(spark.range(0), "id") == 1
+
+
+def test_load_from_paths_and_names(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.json(path)
+    assert tables.load_table(spark, path, fmt="json").count() == 3
+    spark.range(4).createOrReplaceTempView("four")
+    assert tables.load_table(spark, "four", fmt="table").count() == 4
