@@ -25,12 +25,18 @@ def blank_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(is_blank(column)).alias("null_count"))
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], include_empty: bool = False) -> DataFrame:
-    """Keys that occur more than once. NULL keys never count, ``''`` only with ``include_empty``."""
+def duplicate_keys(
+    df: DataFrame, keys: list[str], include_empty: bool = False, fold: bool = False
+) -> DataFrame:
+    """Keys that occur more than once. NULL keys never count, ``''`` only with ``include_empty``.
+
+    ``fold`` ignores case and trailing spaces of text keys.
+    """
     present = [F.col(k).isNotNull() if include_empty else not_blank(k) for k in keys]
+    same = [F.lower(F.rtrim(k)).alias(k) if fold else F.col(k) for k in keys]
     return (
         df.where(all_of(present))
-        .groupBy(*keys)
+        .groupBy(*same)
         .agg(F.count("*").alias("duplicate_count"))
         .where("duplicate_count > 1")
     )
@@ -101,7 +107,7 @@ def column_report(df: DataFrame) -> DataFrame:
         name, text = field.name, isinstance(field.dataType, T.StringType)
         counts += [
             F.count_if(F.col(name).isNull()).alias(f"n_{name}"),
-            (F.max(F.length(name)) if text else F.lit(None)).cast("int").alias(f"l_{name}"),
+            (F.max(F.length(name)) if text else F.lit(None)).cast("long").alias(f"l_{name}"),
         ]
         rows.append(
             F.struct(

@@ -20,6 +20,7 @@ from fleetlens.operators.toggles import toggle_loaner
 from fleetlens.plans.derived import AS_OF
 from fleetlens.plans.migration import migrate
 from fleetlens.plans.prepared import Tables, tables
+from fleetlens.plans.views import register_views
 from fleetlens.sources import tables as store
 from fleetlens.sources.imports import import_rows, read_import
 from fleetlens.sources.storage import new_path
@@ -429,6 +430,20 @@ def open_checkout_device(t):
     return loans.open_checkout_device(t.loans, t.inventory, t.loans.where("user_name LIKE 'user1%'"))
 
 
+@query
+def views_by_sql(t):
+    register_views(t.located, t.loans, t.equipment, t.derived("equipment_loans"), t.locations, AS_OF)
+    return t.spark.sql(
+        """
+        SELECT asset_type, count_if(status = 'free') AS free, count_if(status = 'out') AS out,
+               count_if(status = 'late') AS late
+        FROM (SELECT asset_type, 'free' AS status FROM available_loaners
+              UNION ALL SELECT asset_type, 'out' FROM checked_out_loaners
+              UNION ALL SELECT asset_type, 'late' FROM active_loans WHERE is_overdue = 1)
+        GROUP BY asset_type"""
+    )
+
+
 # --- reports and quality -------------------------------------------------------------------------
 
 

@@ -555,6 +555,22 @@ WHERE user_name LIKE 'user1%'""",
     "inventory",
 )
 
+_add(
+    "views_by_sql",
+    """
+SELECT asset_type, count(*) FILTER (status = 'free') AS free, count(*) FILTER (status = 'out') AS out,
+       count(*) FILTER (status = 'late') AS late
+FROM (SELECT asset_type, 'free' AS status FROM available UNION ALL SELECT asset_type, 'out' FROM checked_out
+      UNION ALL SELECT asset_type, 'late' FROM equipment_loans JOIN equipment USING (asset_tag)
+      WHERE actual_return_date IS NULL AND expected_return_date < """
+    + AS_OF_SQL
+    + """) rows GROUP BY asset_type""",
+    "available",
+    "checked_out",
+    "equipment_loans",
+    "equipment",
+)
+
 # --- reports and quality -------------------------------------------------------------------------
 _PROFILE = """
 SELECT count(*) AS total_records, count(DISTINCT asset_tag) AS unique_assets, count(DISTINCT site_name) AS unique_sites,
@@ -609,7 +625,7 @@ _add("table_counts", _COUNTS, "equipment", "locations")
 _add(
     "tags_per_room",
     """
-SELECT site_name, room_number, 0 AS part, string_agg(asset_tag, ',' ORDER BY asset_tag, inventory_id) AS asset_tag
+SELECT site_name, room_number, CAST(0 AS BIGINT) AS part, string_agg(asset_tag, ',' ORDER BY asset_tag, inventory_id) AS asset_tag
 FROM inventory WHERE asset_tag <> '' GROUP BY site_name, room_number""",
     "inventory",
 )

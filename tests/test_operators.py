@@ -146,6 +146,12 @@ def test_gates(spark):
         quality.require_tables({"inventory": inv}, ["inventory", "loans"])
 
 
+def test_folded_duplicates(spark):
+    inv = devices(spark, dict(asset_tag="a1"), dict(asset_tag="A1 "), dict(asset_tag="A2"))
+    assert quality.duplicate_keys(inv, ["asset_tag"]).count() == 0
+    assert [tuple(r) for r in quality.duplicate_keys(inv, ["asset_tag"], fold=True).collect()] == [("a1", 2)]
+
+
 def test_conformance(spark):
     inv = devices(spark, dict(asset_tag="x" * 101, site_name="S"), dict(room_number="9" * 51, asset_type="t"))
     got = {r.column_name: (r.null_count, r.too_long_count) for r in quality.conformance(inv, schemas.EQUIPMENT_RULES).collect()}
