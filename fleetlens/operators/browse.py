@@ -33,11 +33,14 @@ def has_any(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def loaner_candidates(inv: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """Devices whose type or notes suggest that they are lent out."""
+    """Devices whose type or notes suggest that they are lent out.
+
+    The id comes last in the order, so that rows without a tag do not all sort in one task.
+    """
     hits = [contains("asset_type", w, case_sensitive) for w in ("Laptop", "Loaner")]
     hits += [contains("notes", w, case_sensitive) for w in ("loaner", "temp", "temporary")]
     columns = ["asset_type", "asset_tag", "site_name", "room_number", "room_name", "assigned_to", "notes"]
-    return inv.where(any_of(hits)).select(*columns).orderBy("asset_type", "asset_tag")
+    return inv.where(any_of(hits)).orderBy("asset_type", "asset_tag", "inventory_id").select(*columns)
 
 
 def search(df: DataFrame, columns: list[str], term: str) -> DataFrame:
@@ -60,8 +63,12 @@ def filter_inventory(
     return df.where(all_of(tests))
 
 
-def sort_by(df: DataFrame, column: str, desc: bool = False, is_date: bool = False, tie: list[str] = ()) -> DataFrame:
-    """Order by one column: missing dates as the epoch, missing text as empty."""
+def sort_by(df: DataFrame, column: str, tie: list[str], desc: bool = False, is_date: bool = False) -> DataFrame:
+    """Order by one column: missing dates as the epoch, missing text as empty.
+
+    ``tie`` orders rows of equal value by something unique; without it a value that many rows share,
+    such as a missing date, would be sorted in one task.
+    """
     if is_date:
         value = F.coalesce(day_of(column), F.lit("1970-01-01").cast("date"))
     else:

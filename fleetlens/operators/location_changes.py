@@ -41,11 +41,10 @@ def _judge_alone(loc: DataFrame, inv: DataFrame, cmds: DataFrame) -> DataFrame:
     kind = F.coalesce("kind", F.lit(""))
     when = F.struct("command_ts", "command_id")
     cmds = cmds.select("*", when.alias("_when"))
-    named = stored(
+    named = (
         cmds.where(F.col("kind").isin(UPDATE, DELETE) & F.col("location_id").isNotNull())
         .groupBy("location_id")
-        .agg(F.min(F.when(F.col("kind") == DELETE, F.col("_when"))).alias("_first_delete")),
-        "named",
+        .agg(F.min(F.when(F.col("kind") == DELETE, F.col("_when"))).alias("_first_delete"))
     )
     used = inv.where("location_id IS NOT NULL").select("location_id").distinct()
     used = used.join(named, "location_id", "left_semi").withColumn("_used", F.lit(True))
@@ -82,18 +81,15 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
     events = judged.where("reason IS NULL").where(
         (F.col("kind") != UPDATE) | F.col("site_name").isNotNull() | F.col("room_number").isNotNull()
     )
-    events = stored(
-        events.select(
-            created.alias("_new"),
-            F.when(created, F.col("command_id")).otherwise(F.col("location_id")).alias("_ent"),
-            F.lit(1).alias("_seq"),
-            "command_ts",
-            "command_id",
-            "kind",
-            F.col("site_name").alias("_site"),
-            F.col("room_number").alias("_roomno"),
-        ),
-        "events",
+    events = events.select(
+        created.alias("_new"),
+        F.when(created, F.col("command_id")).otherwise(F.col("location_id")).alias("_ent"),
+        F.lit(1).alias("_seq"),
+        "command_ts",
+        "command_id",
+        "kind",
+        F.col("site_name").alias("_site"),
+        F.col("room_number").alias("_roomno"),
     )
     moved = events.where("NOT _new").select(F.col("_ent").alias("location_id")).distinct()
 
@@ -111,10 +107,10 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
 
     starts = at_start(loc.join(moved, "location_id", "left_semi"))
     bystanders = at_start(loc.join(moved, "location_id", "left_anti"))
-    answers = events.select("command_id", F.lit(True).alias("_ok"))
+    starts = starts.withColumn("_ok", F.lit(True))
+    flagged = events.withColumn("_ok", F.lit(True)).unionByName(starts)
 
     while True:
-        flagged = events.join(answers, "command_id").unionByName(starts.withColumn("_ok", F.lit(True)))
         timeline = cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"])
         before = running_last(
             timeline,
@@ -151,7 +147,7 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
         answers = stored(asks.unionByName(rest), "answers")
         if answers.where("_ok <> _was").isEmpty():
             return answers.select("command_id", "_ok")
-        answers = answers.select("command_id", "_ok")
+        flagged = events.join(answers.drop("_was"), "command_id").unionByName(starts)
 
 
 def apply_location_changes(

@@ -359,17 +359,17 @@ def total_items(t):
 
 @query
 def sort_by_text(t):
-    return browse.sort_by(t.derived("sheet"), "assigned_to", desc=True, tie=["inventory_id"])
+    return browse.sort_by(t.derived("sheet"), "assigned_to", ["inventory_id"], desc=True)
 
 
 @query
 def sort_by_date(t):
-    return browse.sort_by(t.derived("sheet"), "date_assigned", is_date=True, tie=["inventory_id"])
+    return browse.sort_by(t.derived("sheet"), "date_assigned", ["inventory_id"], is_date=True)
 
 
 @query
 def newest_assigned(t):
-    return browse.sort_by(t.derived("sheet"), "date_assigned", desc=True, is_date=True, tie=["inventory_id"]).limit(50)
+    return browse.sort_by(t.derived("sheet"), "date_assigned", ["inventory_id"], desc=True, is_date=True).limit(50)
 
 
 @query

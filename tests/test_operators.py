@@ -197,9 +197,9 @@ def test_keyset_pages(spark):
 
 def test_sorting_of_missing_values(spark):
     df = spark.createDataFrame([(1, "2024-01-02", "b"), (2, None, None), (3, "1969-01-01", "a")], "id int, d string, t string")
-    assert [r.id for r in browse.sort_by(df, "d", is_date=True).collect()] == [3, 2, 1]
-    assert [r.id for r in browse.sort_by(df, "t").collect()] == [2, 3, 1]
-    assert [r.id for r in browse.sort_by(df, "t", desc=True).collect()] == [1, 3, 2]
+    assert [r.id for r in browse.sort_by(df, "d", ["id"], is_date=True).collect()] == [3, 2, 1]
+    assert [r.id for r in browse.sort_by(df, "t", ["id"]).collect()] == [2, 3, 1]
+    assert [r.id for r in browse.sort_by(df, "t", ["id"], desc=True).collect()] == [1, 3, 2]
 
 
 def test_open_ranges_and_search(spark):
