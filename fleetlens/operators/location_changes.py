@@ -2,10 +2,14 @@
 
 Commands count in the order (command_ts, command_id). Most checks depend on one command alone, or on
 the first DELETE of its location. Only one depends on other commands: a (site, room) may be taken
-while another location holds it. That is settled by repeated passes over all such commands: assume
-every one is accepted, find who holds which room at each moment, and judge each command by what
-came before it. A pass puts right at least the earliest wrong answer of every chain of commands
-that wait for one another, so the passes end, and they end with the result of going one by one.
+while another location holds it.
+
+That is settled by passes over all commands that take or leave a room. A pass assumes answers for
+the moves (at first: all accepted), follows every location from room to room, and finds out when
+whoever takes a room would leave it again. In each room the first to ask gets it, then the first to
+ask after that one left, and so on; jumps of doubled length find all of them in a few steps, however
+many ask for one room. If the answers for the moves come out as assumed, they are those of going one
+by one. If not, the next pass assumes the new ones; the earliest wrong answer is right from then on.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import any_of, is_blank, location_label, location_ref
 from fleetlens.operators.history import log_rows
-from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last, running_sum
+from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last
 from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
@@ -109,45 +113,76 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
     bystanders = at_start(loc.join(moved, "location_id", "left_anti"))
     starts = starts.withColumn("_ok", F.lit(True))
     flagged = events.withColumn("_ok", F.lit(True)).unionByName(starts)
+    when = F.struct("command_ts", "command_id")
 
     while True:
-        timeline = cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"])
-        before = running_last(
-            timeline,
+        # Follow each location: the room before and after each command, and when it leaves next.
+        path = running_last(
+            cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"]),
             _ENTITY,
             {"_from_site": F.when(F.col("_ok"), F.col("_site")), "_from_room": F.when(F.col("_ok"), F.col("_roomno"))},
         )
         to_site, to_room = F.coalesce("_site", "_from_site"), F.coalesce("_roomno", "_from_room")
         stays = (F.col("kind") == UPDATE) & (to_site == F.col("_from_site")) & (to_room == F.col("_from_room"))
-        before = plain(before).withColumns({"_to_site": to_site, "_to_room": to_room, "_stays": F.coalesce(stays, F.lit(False))})
-        before = stored(before, "moves")
-
-        order = [*_ENTITY, "_seq", "command_ts", "command_id"]
-        takes = before.where(~F.col("_stays") & (F.col("kind") != DELETE)).select(
-            *order, "_ok", F.col("kind").isin(CREATE, UPDATE).alias("_asks"),
-            F.col("_to_site").alias("_site"), F.col("_to_room").alias("_roomno"), F.col("_ok").cast("long").alias("_held"),
-        )
-        leaves = before.where(
-            ~F.col("_stays") & F.col("_ok") & F.col("kind").isin(UPDATE, DELETE)
-        ).select(
-            *order, "_ok", F.lit(False).alias("_asks"),
-            F.col("_from_site").alias("_site"), F.col("_from_room").alias("_roomno"), F.lit(-1).cast("long").alias("_held"),
-        )
-        asked = takes.where("_asks").select(*_ROOM).distinct()
-        others = bystanders.join(asked, _ROOM, "left_semi").select(
-            *order, F.lit(True).alias("_ok"), F.lit(False).alias("_asks"), *_ROOM, F.lit(1).cast("long").alias("_held")
+        path = path.withColumns({"_site": to_site, "_roomno": to_room, "_stays": F.coalesce(stays, F.lit(False))})
+        path = stored(path, "path")
+        leaving = (F.col("kind") == DELETE) | ((F.col("kind") == UPDATE) & F.col("_ok") & ~F.col("_stays"))
+        path = running_last(path, _ENTITY, {"_leave": F.when(leaving, when)}, backwards=True)
+        path = stored(plain(path), "path")
+
+        takes = path.where(~F.col("_stays") & (F.col("kind") != DELETE))
+        asks = takes.where("_seq = 1").select(*_ROOM, "command_ts", "command_id", "kind", "_ok")
+        asked = asks.select(*_ROOM).distinct()
+        here = bystanders.join(asked, _ROOM, "left_semi").withColumn("_leave", F.lit(None).cast(takes.schema["_leave"].dataType))
+        winners = _winners(takes.unionByName(here, allowMissingColumns=True), asks)
+
+        judged_asks = asks.join(winners.withColumn("_won", F.lit(True)), "command_id", "left").select(
+            "command_id", "kind", F.coalesce("_won", F.lit(False)).alias("_ok"), F.col("_ok").alias("_was")
         )
-        line = takes.unionByName(leaves).unionByName(others)
-        by_room = cut_pieces(line, [*_ROOM, "_seq", "command_ts", "command_id", *_ENTITY])
-        held = running_sum(by_room, _ROOM, {"_holders": F.col("_held")}, including=False)
-        asks = held.where("_asks").select("command_id", (F.col("_holders") <= 0).alias("_ok"), F.col("_ok").alias("_was"))
-        rest = before.where("_seq = 1 AND (_stays OR kind = 'DELETE')").select(
-            "command_id", F.lit(True).alias("_ok"), F.col("_ok").alias("_was")
+        rest = path.where("_seq = 1 AND (_stays OR kind = 'DELETE')").select(
+            "command_id", "kind", F.lit(True).alias("_ok"), F.col("_ok").alias("_was")
         )
-        answers = stored(asks.unionByName(rest), "answers")
-        if answers.where("_ok <> _was").isEmpty():
+        answers = stored(judged_asks.unionByName(rest), "answers")
+        # Whether a CREATE got its room changes nothing for the path of any location.
+        if answers.where(F.col("kind") == UPDATE).where("_ok <> _was").isEmpty():
             return answers.select("command_id", "_ok")
-        flagged = events.join(answers.drop("_was"), "command_id").unionByName(starts)
+        flagged = events.join(answers.select("command_id", "_ok"), "command_id").unionByName(starts)
+
+
+def _winners(takes: DataFrame, asks: DataFrame) -> DataFrame:
+    """command_id of every ask that finds its room empty, given when each taker would leave."""
+    first = takes.groupBy(*_ROOM).agg(
+        F.min_by(F.struct("_seq", "command_id"), F.struct("_seq", "command_ts", "command_id")).alias("first")
+    )
+    # For each taker, the first ask for the same room after it left.
+    ask_marks = asks.select(
+        *_ROOM, "command_ts", "command_id", F.lit(0).alias("_mark"), F.lit(None).cast("int").alias("_seq"),
+        F.lit(None).cast("long").alias("_by"),
+    )
+    leave_marks = takes.where("_leave IS NOT NULL").select(
+        *_ROOM, F.col("_leave.command_ts").alias("command_ts"), F.col("_leave.command_id").alias("command_id"),
+        F.lit(1).alias("_mark"), "_seq", F.col("command_id").alias("_by"),
+    )
+    line = cut_pieces(
+        ask_marks.unionByName(leave_marks), [*_ROOM, "command_ts", "command_id", "_mark", "_seq", "_by"]
+    )
+    nexts = running_last(line, _ROOM, {"_next": F.when(F.col("_mark") == 0, F.col("command_id"))}, backwards=True)
+    nexts = stored(nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next"), "nexts")
+
+    found = first.where("first._seq = 1").select(F.col("first.command_id").alias("command_id")).unionByName(
+        nexts.where("_seq = 0").select(F.col("_next").alias("command_id"))
+    )
+    jumps = nexts.where("_seq = 1").select(F.col("_by").alias("command_id"), F.col("_next").alias("_to"))
+    while not jumps.isEmpty():
+        # found holds the first 2^k winners of each room, and a jump passes over 2^k of them
+        more = found.join(jumps, "command_id").select(F.col("_to").alias("command_id"))
+        found = stored(found.unionByName(more), "found")
+        onward = jumps.select(F.col("command_id").alias("_to"), F.col("_to").alias("_then"))
+        jumps = stored(
+            join_checked(jumps, onward, ["_to"], "inner", ["command_id"]).select("command_id", F.col("_then").alias("_to")),
+            "jumps",
+        )
+    return found
 
 
 def apply_location_changes(

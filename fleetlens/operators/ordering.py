@@ -76,59 +76,64 @@ def number_within(df: DataFrame, key: list[str], name: str) -> DataFrame:
 def _running(
     df: DataFrame, key: list[str], values: dict[str, Column], how: str, including: bool, backwards: bool
 ) -> DataFrame:
-    def fold(column: Column | str) -> Column:
-        return F.sum(column) if how == "sum" else F.last(column, ignorenulls=True)
-
     names = list(values)
-    place = F.col(AT).desc() if backwards else F.col(AT).asc()
-    inside = Window.partitionBy(PIECE, *key).orderBy(place)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-
-    rows = df.select("*", F.struct(*key).alias("_key"), *[v.alias(f"_v_{n}") for n, v in values.items()])
-    folded = rows.select(
-        *df.columns,
-        "_key",
-        *[fold(f"_v_{n}").over(so_far).alias(f"_upto_{n}") for n in names],
-        *([] if including else [fold(f"_v_{n}").over(before).alias(f"_prior_{n}") for n in names]),
+    rows = df.select(
+        *[c for c in df.columns if c not in names],
+        F.struct(*key).alias("_key"),
+        *[v.alias(f"_v_{n}") for n, v in values.items()],
     )
+    kept = [c for c in df.columns if c not in names]
+    carried = _carried(rows, names, how, backwards)
+
+    place = F.col(AT).desc() if backwards else F.col(AT).asc()
+    frame = Window.partitionBy(PIECE, "_key").orderBy(place)
+    frame = frame.rowsBetween(Window.unboundedPreceding, Window.currentRow if including else -1)
+    joined = rows.join(F.broadcast(carried), PIECE, "left")
+    same = F.col("_carry_key").isNotNull() & F.col("_carry_key").eqNullSafe(F.col("_key"))
+    results = []
+    for n in names:
+        carry = F.when(same, F.col(f"_carry_{n}"))
+        if how == "sum":
+            inside = F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0))
+            results.append((inside + F.coalesce(carry, F.lit(0))).alias(n))
+        else:
+            inside = F.last(f"_v_{n}", ignorenulls=True).over(frame)
+            results.append(F.coalesce(inside, carry).alias(n))
+    return joined.select(*kept, *results)
+
+
+def _carried(rows: DataFrame, names: list[str], how: str, backwards: bool) -> DataFrame:
+    """For each piece the last key of the pieces before it and what that key has gathered there.
 
-    # One row per piece: its first key, its last key, and the totals of the last key.
+    Everything here has one row per piece, gathered by aggregations that combine before the shuffle.
+    """
     end, begin = (F.min_by, F.max_by) if backwards else (F.max_by, F.min_by)
-    ends = folded.groupBy(PIECE).agg(
-        end(F.struct("_key", *[f"_upto_{n}" for n in names]), AT).alias("tail"),
-        begin("_key", AT).alias("head"),
+    bounds = rows.groupBy(PIECE).agg(end("_key", AT).alias("_tail"), begin("_key", AT).alias("_head"))
+
+    def gathered(n: str) -> Column:
+        value = F.col(f"_v_{n}")
+        return F.sum(value) if how == "sum" else end(value, F.when(value.isNotNull(), F.col(AT)))
+
+    last_keys = (
+        rows.join(F.broadcast(bounds), PIECE)
+        .where(F.col("_key").eqNullSafe(F.col("_tail")))
+        .groupBy(PIECE, "_tail", "_head")
+        .agg(*[gathered(n).alias(f"_t_{n}") for n in names])
     )
-    line = Window.orderBy(F.col(PIECE).desc() if backwards else F.col(PIECE).asc())
+    in_turn = F.col(PIECE).desc() if backwards else F.col(PIECE).asc()
+    line = Window.orderBy(in_turn)
     # A piece of one single key that goes on from the piece before extends that piece's chain.
-    goes_on = F.col("head").eqNullSafe(F.col("tail._key")) & F.col("head").eqNullSafe(
-        F.lag("tail._key").over(line)
-    )
-    chained = ends.withColumn("_step", F.when(goes_on, 0).otherwise(1)).withColumn(
+    goes_on = F.col("_head").eqNullSafe(F.col("_tail")) & F.col("_head").eqNullSafe(F.lag("_tail").over(line))
+    chained = last_keys.withColumn("_step", F.when(goes_on, 0).otherwise(1)).withColumn(
         "_chain", F.sum("_step").over(line)
     )
-    within = Window.partitionBy("_chain").orderBy(
-        F.col(PIECE).desc() if backwards else F.col(PIECE).asc()
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = chained.select(
-        PIECE, F.col("tail._key").alias("_k"), *[fold(f"tail._upto_{n}").over(within).alias(f"_t_{n}") for n in names]
-    )
-    carried = totals.select(
-        F.col(PIECE).alias("_for_piece"),
-        F.lag("_k").over(line).alias("_carry_key"),
+    chain = Window.partitionBy("_chain").orderBy(in_turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = [
+        (F.sum(f"_t_{n}") if how == "sum" else F.last(f"_t_{n}", ignorenulls=True)).over(chain).alias(f"_t_{n}")
+        for n in names
+    ]
+    return chained.select(PIECE, "_tail", *so_far).select(
+        PIECE,
+        F.lag("_tail").over(line).alias("_carry_key"),
         *[F.lag(f"_t_{n}").over(line).alias(f"_carry_{n}") for n in names],
     )
-
-    source = "_upto_" if including else "_prior_"
-    joined = folded.join(F.broadcast(carried), F.col(PIECE) == F.col("_for_piece"), "left")
-    same = F.col("_carry_key").eqNullSafe(F.col("_key")) & F.col("_carry_key").isNotNull()
-    results = []
-    for n in names:
-        carry = F.when(same, F.col(f"_carry_{n}"))
-        if how == "sum":
-            zero = F.lit(0)
-            value = F.coalesce(F.col(f"{source}{n}"), zero) + F.coalesce(carry, zero)
-        else:
-            value = F.coalesce(F.col(f"{source}{n}"), carry)
-        results.append(value.alias(n))
-    return joined.select(*[c for c in df.columns if c not in names], *results)

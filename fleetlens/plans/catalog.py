@@ -623,6 +623,21 @@ def loan_command_stream_loans(t):
     return stream_loans(t.spark, state, 0)
 
 
+def _loan_returns(t):
+    commands = t.derived("loan_returns").withColumn("expected_return_date", F.col("expected_return_date").cast("timestamp_ntz"))
+    return apply_loan_commands(t.inventory, t.loans, commands)
+
+
+@query
+def loan_returns_loans(t):
+    return _loan_returns(t)[0]
+
+
+@query
+def loan_returns_rejected(t):
+    return _loan_returns(t)[2]
+
+
 @query
 def toggle_loaner_inventory(t):
     return toggle_loaner(t.inventory, t.derived("toggle_commands"))[0].select("inventory_id", "asset_tag", "is_loaner")
@@ -639,7 +654,7 @@ def toggle_loaner_rejected(t):
 
 
 def _location_changes(t):
-    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands)
+    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_commands"))
 
 
 @query
@@ -655,3 +670,13 @@ def location_changes_audit(t):
 @query
 def location_changes_rejected(t):
     return _location_changes(t)[2]
+
+
+@query
+def location_moves(t):
+    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_moves"))[0]
+
+
+@query
+def location_moves_audit(t):
+    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_moves"))[1]

@@ -123,6 +123,21 @@ SELECT event_id AS command_id, ts AS command_ts,
        concat('user', user_id) AS changed_by
 FROM {events}"""
 
+# Check-ins that name a loan instead of a device; most loans are named several times.
+LOAN_RETURNS = """
+SELECT event_id AS command_id, ts AS command_ts, 'CHECKIN' AS kind, CAST(NULL AS BIGINT) AS inventory_id,
+       event_id - event_id % 3 + user_id % 3 AS checkout_id, CAST(NULL AS STRING) AS user_name,
+       CAST(NULL AS TIMESTAMP) AS expected_return_date, CAST(NULL AS STRING) AS notes
+FROM {events}"""
+
+# Every event moves a room to a number of its own.
+LOCATION_MOVES = """
+SELECT event_id AS command_id, ts AS command_ts, 'UPDATE' AS kind, event_id % 900 + 1 AS location_id,
+       CASE WHEN event_type = 'view' THEN NULL ELSE concat('MOVED_', user_id % 5) END AS site_name,
+       concat('M', event_id) AS room_number, CAST(NULL AS STRING) AS room_name, CAST(NULL AS STRING) AS room_type,
+       concat('user', user_id) AS changed_by
+FROM {events}"""
+
 NEEDS = {
     "inventory": (INVENTORY, ["orders", "customer", "nation"]),
     "sheet": (SHEET, ["orders", "customer", "nation"]),
@@ -132,6 +147,8 @@ NEEDS = {
     "loan_commands": (LOAN_COMMANDS, ["events"]),
     "toggle_commands": (TOGGLE_COMMANDS, ["events"]),
     "location_commands": (LOCATION_COMMANDS, ["events"]),
+    "loan_returns": (LOAN_RETURNS, ["events"]),
+    "location_moves": (LOCATION_MOVES, ["events"]),
 }
 
 

@@ -134,6 +134,22 @@ SELECT * FROM loans WHERE checkin_date IS NOT NULL
 UNION ALL SELECT * EXCLUDE (asset_tag) FROM returned
 UNION ALL SELECT * EXCLUDE (asset_tag) FROM fresh""",
     ),
+    "first_returns": (
+        ["loan_returns", "open_loans", "inventory"],
+        """
+SELECT checkout_id, min(command_ts) AS at, arg_min(command_id, command_ts) AS command_id
+FROM loan_returns JOIN open_loans o USING (checkout_id) JOIN inventory i ON i.inventory_id = o.inventory_id
+GROUP BY checkout_id""",
+    ),
+    "moved": (
+        ["location_moves", "locations"],
+        """
+SELECT m.*, coalesce(last_value(m.site_name IGNORE NULLS) OVER before, l.site_name) AS prev_site,
+       coalesce(last_value(m.room_number IGNORE NULLS) OVER before, l.room_number) AS prev_room
+FROM location_moves m JOIN locations l USING (location_id)
+WINDOW before AS (PARTITION BY location_id ORDER BY command_ts, command_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    ),
     # Toggle commands
     "tag_flags": (
         ["inventory"],
@@ -826,3 +842,40 @@ FROM (
     "loc_steps",
 )
 _add("location_changes_rejected", "SELECT command_id, reason FROM loc_judged WHERE reason IS NOT NULL", "loc_judged")
+
+_add(
+    "loan_returns_loans",
+    """
+SELECT l.* REPLACE (coalesce(l.checkin_date, r.at) AS checkin_date)
+FROM loans l LEFT JOIN first_returns r USING (checkout_id)""",
+    "loans",
+    "first_returns",
+)
+_add(
+    "loan_returns_rejected",
+    """
+SELECT command_id, if(checkout_id = 0, 'Missing checkout_id', 'Invalid checkout or already checked in') AS reason
+FROM loan_returns WHERE checkout_id = 0 OR command_id NOT IN (SELECT command_id FROM first_returns)""",
+    "loan_returns",
+    "first_returns",
+)
+_add(
+    "location_moves",
+    """
+SELECT l.* REPLACE (coalesce(s, l.site_name) AS site_name, coalesce(n, l.room_number) AS room_number)
+FROM locations l LEFT JOIN (
+  SELECT location_id, arg_max(site_name, command_ts) FILTER (site_name IS NOT NULL) AS s,
+         arg_max(room_number, command_ts) AS n FROM moved GROUP BY location_id) m USING (location_id)""",
+    "locations",
+    "moved",
+)
+_add(
+    "location_moves_audit",
+    """
+SELECT 'UPDATE' AS action_type, 'LOC_' || location_id AS asset_tag, field_name, old_value, new_value, changed_by,
+       command_ts AS changed_at, CAST(NULL AS VARCHAR) AS notes
+FROM (SELECT *, 'site_name' AS field_name, prev_site AS old_value, site_name AS new_value FROM moved
+      UNION ALL SELECT *, 'room_number', prev_room, room_number FROM moved) steps
+WHERE new_value <> old_value""",
+    "moved",
+)

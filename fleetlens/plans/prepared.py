@@ -63,10 +63,9 @@ class Tables:
         """Linked loan devices out of service; the rooms they are in cannot be removed."""
         return self.located.where("is_loaner AND date_decommissioned <> ''")
 
-    @property
-    def location_commands(self) -> DataFrame:
+    def location_commands(self, name: str) -> DataFrame:
         given = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in LOCATION_FIELDS]))
-        return self.derived("location_commands").withColumn("given", given)
+        return self.derived(name).withColumn("given", given)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:

