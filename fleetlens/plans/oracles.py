@@ -139,7 +139,7 @@ UNION ALL SELECT * EXCLUDE (asset_tag) FROM fresh""",
         """
 SELECT checkout_id, min(command_ts) AS at, arg_min(command_id, command_ts) AS command_id
 FROM loan_returns JOIN open_loans o USING (checkout_id) JOIN inventory i ON i.inventory_id = o.inventory_id
-GROUP BY checkout_id""",
+WHERE checkout_id <> 0 GROUP BY checkout_id""",  # id 0 counts as missing
     ),
     "moved": (
         ["location_moves", "locations"],
