@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/fleetlens/{label}-{uuid.uuid4().hex}"
+    """A fresh path; all tables of one application share a folder that may go when it has ended."""
+    return f"{shared_folder(spark)}/fleetlens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
