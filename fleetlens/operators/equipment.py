@@ -11,7 +11,7 @@ from fleetlens.functions.cells import clean_timestamp, laptop_name, loaner_flag,
 from fleetlens.operators.locations import find_locations
 from fleetlens.operators.quality import duplicate_keys
 from fleetlens.operators.skew import join_checked
-from fleetlens.schemas import EQUIPMENT
+from fleetlens.schemas import EQUIPMENT, MIGRATION_USER
 from fleetlens.sources.storage import stored
 
 NO_TYPE = "asset_type is missing"
@@ -61,7 +61,7 @@ def build_equipment(
         loaner_flag("asset_type", "notes", case_sensitive).alias("is_loaner"),
         "notes",
         F.lit(as_of).cast("timestamp_ntz").alias("last_updated"),
-        F.lit("Migration Script").alias("last_updated_by"),
+        F.lit(MIGRATION_USER).alias("last_updated_by"),
     )
     return equipment.select(*EQUIPMENT.fieldNames()), rejected
 

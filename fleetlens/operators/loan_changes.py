@@ -24,6 +24,7 @@ from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 from fleetlens.sources.tables import next_id
 
+# The reasons given with a rejected command.
 UNKNOWN_COMMAND = "Unknown command"
 MISSING_FIELDS = "Missing required fields"
 MISSING_CHECKOUT = "Missing checkout_id"

@@ -25,6 +25,7 @@ from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
 from fleetlens.sources.tables import next_id
 
+# The reasons given with a rejected command.
 UNKNOWN_COMMAND = "Unknown command"
 NOT_FOUND = "Location not found"
 NOTHING_GIVEN = "No fields to update"

@@ -9,6 +9,7 @@ from fleetlens.functions.cells import UNKNOWN, joined_key, key_or_unknown
 from fleetlens.functions.taxonomy import NINE_RULES, room_category
 from fleetlens.operators.ordering import assign_ids
 from fleetlens.operators.skew import join_checked
+from fleetlens.schemas import LOCATION_CHECK
 
 Rules = list[tuple[list[str], str]]
 _KEYS = ["_site", "_room"]
@@ -202,7 +203,7 @@ def reconcile_locations(inv: DataFrame, loc: DataFrame) -> DataFrame:
             F.sum("original_location_count").alias("original_location_count"),
             F.sum("new_location_count").alias("new_location_count"),
         )
-        .select(F.lit("Location Migration Check").alias("check_type"), "*")
+        .select(F.lit(LOCATION_CHECK).alias("check_type"), "*")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.cells import all_of, is_blank, not_blank
 from fleetlens.operators.skew import join_checked, join_unique
+from fleetlens.schemas import NO_LOCATION_DATA, SOME_LOCATION_DATA
 from fleetlens.sources.storage import stored
 
 
@@ -63,7 +64,7 @@ def fk_orphans(child: DataFrame, parent: DataFrame, key: str, spread_by: list[st
 def missing_location_review(inv: DataFrame, n: int = 100) -> DataFrame:
     """Unlinked rows with the reason, rows with a site first."""
     nothing = "site_name IS NULL AND room_number IS NULL AND room_name IS NULL"
-    reason = F.when(F.expr(nothing), "All location fields are NULL").otherwise("Has some location data")
+    reason = F.when(F.expr(nothing), NO_LOCATION_DATA).otherwise(SOME_LOCATION_DATA)
     return (
         inv.where("location_id IS NULL")
         .select("inventory_id", "site_name", "room_number", "room_name", reason.alias("reason"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import is_blank, joined_key, not_blank, percent_text
 from fleetlens.operators.ordering import cut_pieces, number_within
+from fleetlens.schemas import EQUIPMENT_CHECK, ROOM_NAME_REPORT
 
 
 def _side_by_side(parts: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def room_name_frequency(inv: DataFrame) -> DataFrame:
     return (
         inv.groupBy("room_name")
         .agg(F.count("*").alias("count"), F.count_if(is_blank("asset_tag")).alias("null_asset_count"))
-        .select(F.lit("Room Type Analysis").alias("analysis"), "room_name", "count", "null_asset_count")
+        .select(F.lit(ROOM_NAME_REPORT).alias("analysis"), "room_name", "count", "null_asset_count")
         .orderBy(F.desc("count"), "room_name")
     )
 
@@ -116,7 +117,7 @@ def coverage(df: DataFrame, column: str) -> DataFrame:
 
 def equipment_location_check(eq: DataFrame) -> DataFrame:
     return eq.agg(
-        F.lit("Equipment Location Check").alias("check_type"),
+        F.lit(EQUIPMENT_CHECK).alias("check_type"),
         F.count("*").alias("total_records"),
         F.count_if(F.col("location_id").isNull()).alias("missing_location"),
     )

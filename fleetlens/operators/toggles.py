@@ -11,6 +11,7 @@ from fleetlens.operators.ordering import cut_pieces, number_within, plain
 from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 
+# The reasons given with a rejected command.
 NOT_FOUND = "Asset not found"
 AMBIGUOUS = "Asset tag is not unique"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetlens.functions.taxonomy import FOUR_RULES, NINE_RULES
 from fleetlens.plans.derived import AS_OF_SQL, NEEDS, derived_sql
 
 ORACLES: dict[str, str] = {}
@@ -14,25 +15,6 @@ def _category(column: str, rules: list[tuple[list[str], str]], like: str = "ILIK
     return f"CASE {' '.join(tests)} ELSE 'Other' END"
 
 
-# The words that decide a category, in the order they are tried.
-_NINE = [
-    (["Cubicle"], "Workspace"),
-    (["Office"], "Workspace"),
-    (["Conference"], "Meeting Space"),
-    (["Storage"], "Storage"),
-    (["Server"], "IT Infrastructure"),
-    (["IT"], "IT Infrastructure"),
-    (["Restroom", "Toilet"], "Facilities"),
-    (["Kitchen", "Break"], "Common Area"),
-    (["Corridor", "Hallway"], "Circulation"),
-]
-_FOUR = [
-    (["Cubicle"], "Cubicle"),
-    (["Office"], "Office"),
-    (["Storage"], "Storage"),
-    (["Server"], "Server Room"),
-]
-
 _SITE, _ROOM = "coalesce(site_name, 'Unknown')", "coalesce(room_number, 'Unknown')"
 _LAPTOP = """CASE WHEN asset_type ILIKE '%laptop%'
     THEN regexp_replace(replace(replace(asset_type, '"', ''), ' ', ''), 'laptop', ' Laptop', 'gi') ELSE asset_type END"""
@@ -49,7 +31,7 @@ FROM (SELECT {_SITE} AS s, {_ROOM} AS r, min(room_name) AS n FROM inventory WHER
 
 
 _STEPS = {
-    "locations": (["inventory"], _locations(_NINE)),
+    "locations": (["inventory"], _locations(NINE_RULES)),
     "located": (
         ["inventory", "locations"],
         f"""
@@ -347,14 +329,14 @@ FROM sheet""",
 _add("build_locations", "SELECT * FROM locations", "locations")
 _add(
     "build_locations_four_rules",
-    _locations(_FOUR, "coalesce(site_name, room_number, room_name) IS NOT NULL"),
+    _locations(FOUR_RULES, "coalesce(site_name, room_number, room_name) IS NOT NULL"),
     "inventory",
 )
-_add("build_locations_case_sensitive", _locations(_NINE, "room_number IS NOT NULL", "LIKE"), "inventory")
+_add("build_locations_case_sensitive", _locations(NINE_RULES, "room_number IS NOT NULL", "LIKE"), "inventory")
 _add(
     "category_preview",
     f"""
-SELECT DISTINCT site_name, room_number, room_name, {_category("room_name", _NINE)} AS proposed_category
+SELECT DISTINCT site_name, room_number, room_name, {_category("room_name", NINE_RULES)} AS proposed_category
 FROM inventory WHERE room_number IS NOT NULL""",
     "inventory",
 )

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+# Labels that stand in results.
+MIGRATION_USER = "Migration Script"
+ROOM_NAME_REPORT = "Room Type Analysis"
+LOCATION_CHECK = "Location Migration Check"
+EQUIPMENT_CHECK = "Equipment Location Check"
+NO_LOCATION_DATA = "All location fields are NULL"
+SOME_LOCATION_DATA = "Has some location data"
+
+
 def _text(name: str, length: int | None = None, required: bool = False) -> T.StructField:
     meta = {"max_length": length} if length else {}
     return T.StructField(name, T.StringType(), not required, meta)
