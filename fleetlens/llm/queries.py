@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import imatch, sharding, url_reputation
+from fleetlens.llm import imatch, language, packing, sharding, url_reputation
 
+PACKING_TOKENIZER = "word_bpe_49k.json"
 RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -32,6 +34,15 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+    return pieces.drop("ids")
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -39,5 +50,7 @@ def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
+    "op7_script_viterbi": op7_script_viterbi,
+    "op8_nnls_packing": op8_nnls_packing,
     "op9_minimax_shards": op9_minimax_shards,
 }
