@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import imatch, language, packing, sharding, url_reputation
+from fleetlens.llm import imatch, language, packing, pieces, sharding, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
 RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -39,18 +40,23 @@ def op7_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
-    return pieces.drop("ids")
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+    return placed.drop("ids")
 
 
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), PIECE_SEED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
     "op7_script_viterbi": op7_script_viterbi,
     "op8_nnls_packing": op8_nnls_packing,
     "op9_minimax_shards": op9_minimax_shards,
+    "op10_merge_dropout": op10_merge_dropout,
 }
