@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import imatch, language, packing, pieces, sharding, url_reputation
+from fleetlens.llm import imatch, jaccard, language, packing, pieces, sharding, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
@@ -53,6 +57,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
     "op7_script_viterbi": op7_script_viterbi,

@@ -1,5 +1,25 @@
 """SQL twins of the queries that DuckDB can express."""
 
+OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS found FROM sets UNION SELECT r.doc_id, p.y FROM reach r JOIN pairs p ON p.x = r.found
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.found) AS component_id
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
 OP4 = r"""
 WITH parts AS (
   SELECT CAST(page_id AS BIGINT) AS page_id,
@@ -98,4 +118,4 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
 FROM counted
 """
 
-ORACLES = {"op4_url_reputation": OP4, "op5_imatch": OP5}
+ORACLES = {"op3_ngram_jaccard": OP3, "op4_url_reputation": OP4, "op5_imatch": OP5}
