@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import imatch, jaccard, language, packing, pieces, sharding, url_reputation
+from fleetlens.llm import ann, imatch, jaccard, language, packing, pieces, sharding, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cross_polytope": op1_cross_polytope,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
