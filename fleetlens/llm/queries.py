@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import ann, imatch, jaccard, language, packing, pieces, sharding, url_reputation
+from fleetlens.llm import ann, imatch, jaccard, language, packing, pieces, sharding, surrogates, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
@@ -43,6 +43,11 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs).withColumn("n_replaced", F.size("spans").cast("long"))
+
+
 def op7_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
+    "op6_surrogates": op6_surrogates,
     "op7_script_viterbi": op7_script_viterbi,
     "op8_nnls_packing": op8_nnls_packing,
     "op9_minimax_shards": op9_minimax_shards,
