@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import ann, imatch, jaccard, language, packing, pieces, sharding, surrogates, url_reputation
+from fleetlens.llm import ann, imatch, jaccard, language, packing, passages, pieces, sharding, surrogates, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
@@ -29,6 +29,10 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_documents(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope": op1_cross_polytope,
+    "op2_compact_windows": op2_compact_windows,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_url_reputation": op4_url_reputation,
     "op5_imatch": op5_imatch,
