@@ -155,7 +155,7 @@ def linked_pairs(pairs: DataFrame, sizes: DataFrame, facts: DataFrame, docs: Dat
     likely = stored(pairs.join(one, "a").join(two, "b").where(close).select("a", "b"), "likely")
     needed = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
     fetch = stored(facts.join(needed, "key", "left_semi").groupBy("key").agg(F.min("fetch").alias("fetch")).select("fetch").distinct(), "fetch")
-    wanted = F.broadcast(fetch) if fetch.count() <= BROADCAST_IDS else fetch
+    wanted = _small(fetch)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +193,45 @@ def group_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     Repeated rows each give a row. Rows without id take part, and get the component of the others.
     An empty table gives an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("fetch", F.coalesce("doc_id", F.xxhash64("text")))
+    named = _rooted(docs, words, percent)
+    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    grouped = named.where("n > 0").join(least, "root").select("doc_id", "n", "component")
+    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    return grouped.unionByName(alone).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group: the one of the smallest doc_id (rows without id come last).
+
+    Rows without any shingle are in no group and all stay. All columns are kept.
+    """
+    named = _rooted(docs, words, percent)
+    rows = named.groupBy("fetch").agg(F.min("root").alias("root"), F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    rows = stored(rows, "rows")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fetch"))
+    stays = rows.where("n > 0").groupBy("root").agg(F.min_by("fetch", order).alias("fetch")).select("fetch", F.lit(True).alias("stays"))
+    judged = stored(rows.where("n > 0").join(stays, "fetch", "left").select("fetch", "times", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
+    # Rows that are repeated as they are go too, and one of each comes back.
+    gone, again = judged.where("NOT stays OR times > 1").select("fetch"), judged.where("stays AND times > 1").select("fetch")
+    keyed = docs.withColumn("fetch", _fetch())
+    once = keyed.join(_small(again), "fetch", "left_semi").dropDuplicates(["fetch"])
+    return keyed.join(_small(gone), "fetch", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def _fetch() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _rooted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, fetch (hash of id and text), n and root of every row; equal roots mean one group."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fetch().alias("fetch"), F.col("text").cast("string").alias("text"))
     described = describe_sets(docs, words)
     facts = described.where("slab IS NULL").select("doc_id", "fetch", "n", "key")
     level = levels(described.where("slab IS NOT NULL").select("slab", "counts"))
@@ -210,13 +247,7 @@ def group_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 
     roots = components(links)
     named = facts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    named = stored(named.select("doc_id", "n", F.coalesce("root", "key").alias("root")), "named")
-    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
-    grouped = named.where("n > 0").join(least, "root").select("doc_id", "n", "component")
-    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
-    return grouped.unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
-    )
+    return stored(named.select("doc_id", "fetch", "n", F.coalesce("root", "key").alias("root")), "named")
 
 
 def _across_groups(
