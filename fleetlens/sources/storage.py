@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,7 +37,27 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing will read any more.
+
+    Spark drops shuffle files when the driver has collected what refers to them, so that is asked
+    for too. Tables that were not stored are left alone.
+    """
+    for table in tables:
+        path = table.__dict__.get("_stored_path")
+        if path:
+            spark = table.sparkSession
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

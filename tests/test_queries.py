@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from fleetlens.plans.catalog import QUERIES
 from fleetlens.plans.derived import AS_OF
 from fleetlens.plans.prepared import tables
 from fleetlens.operators import loans, quality, reports
@@ -16,7 +17,7 @@ def con():
     return open_duckdb(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry_points.queries()[name](spark, SMALL)
     sql = entry_points.oracle_sql().get(name)
