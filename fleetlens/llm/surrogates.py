@@ -276,17 +276,17 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, spans: bool = True) -> D
     a column named spans is replaced. Repeated rows get the same surrogates. Texts are whole.
     """
     kept = [c for c in docs.columns if c not in ("text", "spans")]
-    keyed = docs.select(*kept, "text").withColumn("_tid", F.xxhash64("text"))
+    keyed = docs.select(*kept, "text").withColumn("__tid", F.xxhash64("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {(t, kind, form) for t, text in zip(b["_tid"].to_pylist(), b["text"].to_pylist(), strict=True) if text for _, _, kind, form in mentions(text)}
+            rows = {(t, kind, form) for t, text in zip(b["__tid"].to_pylist(), b["text"].to_pylist(), strict=True) if text for _, _, kind, form in mentions(text)}
             columns = list(zip(*sorted(rows))) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["_tid", "kind", "form"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["__tid", "kind", "form"])
 
-    found = stored(keyed.select("_tid", "text").mapInArrow(find, "_tid long, kind string, form string").distinct(), "mentions")
+    found = stored(keyed.select("__tid", "text").mapInArrow(find, "__tid long, kind string, form string").distinct(), "mentions")
     again = exceptions(found.select("kind", "form").distinct(), key)
-    swaps = found.join(again, ["kind", "form"]).groupBy("_tid").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_swaps"))
+    swaps = found.join(again, ["kind", "form"]).groupBy("__tid").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("__swaps"))
     swaps = stored(swaps, "swaps")
     swaps = F.broadcast(swaps) if again.count() <= BROADCAST_ROWS and found.join(again, ["kind", "form"]).count() <= BROADCAST_ROWS else swaps
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
@@ -296,12 +296,12 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, spans: bool = True) -> D
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, places = [], []
-            for text, swapped in zip(b["text"].to_pylist(), b["_swaps"].to_pylist(), strict=True):
+            for text, swapped in zip(b["text"].to_pylist(), b["__swaps"].to_pylist(), strict=True):
                 attempts = {(s["kind"], s["form"]): s["attempt"] for s in swapped or []}
                 new, at = replace(text, lambda k, f, a=attempts: surrogate(k, f, a.get((k, f), 0), key)) if text else (text, [])
                 texts.append(new)
                 places.append([dict(zip(("kind", "first", "end"), s, strict=True)) for s in at])
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(texts, pa.string()), pa.array(places, struct)], [*kept, "text", "spans"])
 
-    done = keyed.join(swaps, "_tid", "left").select(*kept, "text", "_swaps").mapInArrow(swap, kinds)
+    done = keyed.join(swaps, "__tid", "left").select(*kept, "text", "__swaps").mapInArrow(swap, kinds)
     return done if spans else done.drop("spans")
