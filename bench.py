@@ -49,7 +49,7 @@ def main() -> None:
 
     start = time.perf_counter()
     prepared = tables(spark, sf_dir)
-    _ = prepared.locations, prepared.located, prepared.equipment, prepared.sheet_path
+    _ = prepared.locations, prepared.located, prepared.equipment, prepared.sheet_paths
     setup = time.perf_counter() - start
 
     seconds = {}

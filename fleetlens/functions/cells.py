@@ -61,10 +61,18 @@ def clean_timestamp(column: Column | str) -> Column:
     return F.nullif(_c(column), F.lit("")).try_cast("timestamp_ntz")
 
 
-def clean_date_text(column: Column | str, formats: tuple[str, ...] = ("M/d/yyyy", "yyyy/M/d")) -> Column:
+DATE_FORMATS = (
+    "M/d/yyyy", "yyyy/M/d", "yyyyMMdd", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "d-MMM-yyyy", "M-d-yyyy", "M/d/yy", "yyyy.M.d",
+)
+
+
+def clean_date_text(column: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Readable dates as ``yyyy-MM-dd`` text, anything else NULL."""
     c = F.nullif(F.trim(_c(column)), F.lit(""))
-    parsed = [c.try_cast("date"), *[F.try_to_date(c, fmt) for fmt in formats]]
+    # Eight digits are a day without marks, not the year that a cast would take them for.
+    iso = F.when(~c.rlike("^[0-9]{5,}$"), c.try_cast("date"))
+    parsed = [iso, *[F.try_to_date(c, fmt) for fmt in formats]]
     return F.date_format(F.coalesce(*parsed), "yyyy-MM-dd")
 
 

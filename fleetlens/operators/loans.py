@@ -79,32 +79,31 @@ def active_loans(
 
 
 def loan_status(inv: DataFrame, loans: DataFrame) -> DataFrame:
-    """All loan devices with status, holder and dates, as shown to people."""
-    base = ["inventory_id"]
-    texts = [display(c).alias(c) for c in ("asset_tag", "asset_type", "model", "serial_number")]
-    free = available_loaners(inv, loans).select(
-        *base,
-        *texts,
-        F.lit("Available").alias("status"),
-        F.lit("N/A").alias("current_user"),
-        F.lit("N/A").alias("checkout_date"),
-        F.lit("N/A").alias("expected_return_date"),
-        F.lit("").alias("notes"),
-    )
+    """All loan devices with status, holder and dates, as shown to people; one row per open loan.
+
+    Open loans are stored once, without what is not shown, and each device meets its own.
+    """
+    opened = open_loans(loans).select("inventory_id", "user_name", "checkout_date", "expected_return_date", "checkout_notes")
+    opened = stored(opened.withColumn("_out", F.lit(True)), "open")
+    devices = inv.where("is_loaner").select("inventory_id", "asset_tag", "asset_type", "model", "serial_number")
+    both = devices.join(F.broadcast(opened) if fits_broadcast(opened) else opened, "inventory_id", "left")
+    out = F.col("_out").isNotNull()
+
+    def if_out(shown: Column, free: str) -> Column:
+        return F.when(out, shown).otherwise(free)
 
     def day(name: str) -> Column:
-        return F.coalesce(F.date_format(name, "yyyy-MM-dd"), F.lit("N/A")).alias(name)
+        return if_out(F.coalesce(F.date_format(name, "yyyy-MM-dd"), F.lit("N/A")), "N/A").alias(name)
 
-    out = checked_out_loaners(inv, loans).select(
-        *base,
-        *texts,
-        F.lit("Checked Out").alias("status"),
-        display("user_name", "N/A").alias("current_user"),
+    return both.select(
+        "inventory_id",
+        *[display(c).alias(c) for c in ("asset_tag", "asset_type", "model", "serial_number")],
+        if_out(F.lit("Checked Out"), "Available").alias("status"),
+        if_out(display("user_name", "N/A"), "N/A").alias("current_user"),
         day("checkout_date"),
         day("expected_return_date"),
-        display("checkout_notes").alias("notes"),
+        if_out(display("checkout_notes"), "").alias("notes"),
     )
-    return free.unionByName(out)
 
 
 def open_checkout_device(loans: DataFrame, inv: DataFrame, keys: DataFrame) -> DataFrame:

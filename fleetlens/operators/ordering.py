@@ -39,14 +39,23 @@ def assign_ids(
     pieces: int | None = None,
 ) -> DataFrame:
     """Dense ids in the order of ``order_keys``, which must be unique together."""
-    placed = cut_pieces(df, order_keys, pieces)
+    return _numbered(cut_pieces(df, order_keys, pieces), df.columns, start, name)
+
+
+def number_in_order(df: DataFrame, name: str = "position") -> DataFrame:
+    """Dense numbers from 1 for the rows of a sorted DataFrame, in the order they come in."""
+    placed = stored(df.withColumn(AT, F.monotonically_increasing_id()), "sorted")
+    return _numbered(placed.withColumn(PIECE, F.shiftright(AT, _ROW_BITS)), df.columns, 1, name)
+
+
+def _numbered(placed: DataFrame, columns: list[str], start: int | Column, name: str) -> DataFrame:
     sizes = placed.groupBy(PIECE).agg(F.count("*").alias("_size"))
     line = Window.orderBy(PIECE)
     offsets = sizes.select(PIECE, (F.sum("_size").over(line) - F.col("_size")).alias("_before"))
     first = F.lit(start) if isinstance(start, int) else start
     row = F.col(AT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.join(F.broadcast(offsets), PIECE).select(
-        (first + F.col("_before") + row).cast("long").alias(name), *df.columns
+        (first + F.col("_before") + row).cast("long").alias(name), *columns
     )
 
 

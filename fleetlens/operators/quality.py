@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.cells import all_of, is_blank, not_blank
-from fleetlens.operators.skew import join_checked, join_unique
+from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import NO_LOCATION_DATA, SOME_LOCATION_DATA
 from fleetlens.sources.storage import stored
 
@@ -58,7 +58,7 @@ def duplicate_rows(
 def fk_orphans(child: DataFrame, parent: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
     """Child rows whose key is set but has no parent row; ``key`` is the parent's primary key."""
     known = parent.where(F.col(key).isNotNull()).select(key)
-    return join_unique(child.where(F.col(key).isNotNull()), known, [key], "left_anti", spread_by)
+    return join_checked(child.where(F.col(key).isNotNull()), known, [key], "left_anti", spread_by)
 
 
 def missing_location_review(inv: DataFrame, n: int = 100) -> DataFrame:

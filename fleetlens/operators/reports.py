@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import is_blank, joined_key, not_blank, percent_text
-from fleetlens.operators.ordering import cut_pieces, number_within
+from fleetlens.operators.ordering import AT, PIECE, cut_pieces
 from fleetlens.schemas import EQUIPMENT_CHECK, ROOM_NAME_REPORT
+from fleetlens.sources.storage import stored
 
+# A text in one cell, with room for the rows around it.
+CELL_BYTES = 1 << 30
 
-def _side_by_side(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+
+def side_by_side(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     """One-row tables with different columns as one row."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return rows.agg(*[F.sum(c).alias(c) for c in columns])
@@ -42,7 +46,7 @@ def inventory_profile(inv: DataFrame, nonblank_only: bool = False, approx: bool
         "total_records", "unique_assets", "unique_sites", "unique_rooms", "unique_locations",
         "null_asset_tags", "null_sites", "null_rooms",
     ]
-    return _side_by_side([places, rows.agg(tags.alias("unique_assets"))], columns)
+    return side_by_side([places, rows.agg(tags.alias("unique_assets"))], columns)
 
 
 def site_summary(inv: DataFrame) -> DataFrame:
@@ -125,24 +129,26 @@ def equipment_location_check(eq: DataFrame) -> DataFrame:
 
 def table_counts(named: dict[str, DataFrame]) -> DataFrame:
     """Row counts of several tables in one row."""
-    return _side_by_side([df.agg(F.count("*").alias(n)) for n, df in named.items()], list(named))
+    return side_by_side([df.agg(F.count("*").alias(n)) for n, df in named.items()], list(named))
 
 
 def total_items(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total_items"))
 
 
-def group_concat_ordered(
-    df: DataFrame, by: list[str], value: str, order: list[str], sep: str = ",", per_part: int = 100_000
-) -> DataFrame:
-    """The values of each group as text in the given order, which must be unique within a group.
+def group_concat_ordered(df: DataFrame, by: list[str], value: str, order: list[str], sep: str = ",") -> DataFrame:
+    """The values of each group as one text in the given order, which must be unique within a group.
 
-    A crowded group would be one huge text in one task, so a text holds at most ``per_part`` values
-    and the rest follow in further rows with the next ``part`` number, counted from 0.
+    The rows are sorted over all tasks; each piece makes the text of its part of a group, and the few
+    texts of a group are then put together. A group whose text no cell can hold is an error.
     """
     rows = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*by, value, *order]))
-    numbered = number_within(cut_pieces(rows, [*by, *order]), by, "_n")
-    part = F.floor((F.col("_n") - 1) / per_part).alias("part")
-    items = F.array_sort(F.collect_list(F.struct("_n", value)))
+    items = F.array_sort(F.collect_list(F.struct(AT, value)))
     text = F.array_join(F.transform(items, lambda item: item[value]), sep)
-    return numbered.groupBy(*by, part).agg(text.alias(value))
+    parts = stored(cut_pieces(rows, [*by, *order]).groupBy(PIECE, *by).agg(text.alias("_text")), "texts")
+    sizes = parts.groupBy(*by).agg(F.sum(F.octet_length("_text") + F.lit(len(sep.encode()))).alias("_size"))
+    too_long = sizes.where(F.col("_size") > CELL_BYTES).select(*by).first()
+    if too_long is not None:
+        raise ValueError(f"the text of {too_long.asDict()} is too long for one cell")
+    in_turn = F.array_sort(F.collect_list(F.struct(PIECE, "_text")))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(in_turn, lambda part: part["_text"]), sep).alias(value))

@@ -51,10 +51,13 @@ def join_unique(
 
     ``how`` is inner, left, left_semi or left_anti. ``spread_by`` are fact columns that vary within
     a key; the share of a row is a hash of them, so a repeated task finds the same share. One pass
-    over the key columns finds the hot keys; without any, this is a plain join.
+    over the key columns finds the hot keys; without any, this is a plain join. If ``spread_by`` adds
+    nothing to the key, its rows could not be told apart, and no pass is made.
     """
     if how in ("inner", "left_semi"):
         fact = fact.where(all_of([F.col(c).isNotNull() for c in on]))
+    if set(spread_by) <= set(on):
+        return fact.join(dim, on, how)
     hot = stored(hot_keys(fact, on, shuffle_partitions(fact.sparkSession)), "hot")
     if hot.isEmpty():
         return fact.join(dim, on, how)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,15 @@ from fleetlens.operators import browse, history, loans, locations, quality, repo
 from fleetlens.operators.equipment import build_equipment
 from fleetlens.operators.loan_changes import apply_loan_commands
 from fleetlens.operators.location_changes import apply_location_changes
-from fleetlens.operators.ordering import assign_ids
+from fleetlens.operators.ordering import assign_ids, number_in_order
 from fleetlens.operators.toggles import toggle_loaner
 from fleetlens.plans.derived import AS_OF
 from fleetlens.plans.migration import migrate
 from fleetlens.plans.prepared import Tables, tables
 from fleetlens.plans.views import register_views
 from fleetlens.sources import tables as store
-from fleetlens.sources.imports import import_rows, read_import
-from fleetlens.sources.storage import new_path
+from fleetlens.sources.imports import check_required, import_rows, read_import
+from fleetlens.sources.storage import new_path, stored
 from fleetlens.streaming.loan_commands import loan_command_stream, start_state, stream_loans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +49,16 @@ def load_table(t):
     return store.load_table(t.spark, f"{t.sf_dir}/orders.parquet")
 
 
+def _drawn(rows, source):
+    """How many rows were drawn, and how many of them the source does not have."""
+    rows = stored(rows, "drawn")
+    foreign = rows.exceptAll(source).agg(F.count("*").alias("foreign_rows"))
+    return reports.side_by_side([rows.agg(F.count("*").alias("drawn_rows")), foreign], ["drawn_rows", "foreign_rows"])
+
+
 @query
 def peek(t):
-    return store.peek(t.inventory, 5)
+    return _drawn(store.peek(t.inventory, 5), t.inventory)
 
 
 @query
@@ -78,9 +86,12 @@ def replace_table(t):
 
 @query
 def append_audit(t):
+    """Two appends, the second with times that are missing."""
     path = new_path(t.spark, "audit")
-    log = t.derived("audit_log")
-    store.append_audit(log.withColumn("command_id", F.col("audit_id")).drop("audit_id"), path, ["changed_at", "command_id"])
+    log = t.derived("audit_log").withColumn("command_id", F.col("audit_id")).drop("audit_id")
+    store.append_audit(log.where("action_type <> 'UPDATE'"), path, ["changed_at", "command_id"])
+    late = log.where("action_type = 'UPDATE'").withColumn("changed_at", F.when(F.col("command_id") % 2 == 0, F.col("changed_at")))
+    store.append_audit(late, path, ["changed_at", "command_id"], as_of=AS_OF)
     return store.load_table(t.spark, path, schemas.AUDIT_LOG)
 
 
@@ -93,7 +104,7 @@ def insert_select_distinct(t):
 
 
 def _imported(t):
-    return import_rows(read_import(t.spark, t.sheet_path))
+    return import_rows(read_import(t.spark, t.sheet_paths))
 
 
 @query
@@ -232,22 +243,22 @@ def location_exists(t):
 
 @query
 def deletable_locations(t):
-    return locations.deletable_locations(t.locations, t.retired_loaners)
+    return locations.deletable_locations(t.rooms, t.located)
 
 
 @query
 def location_list(t):
-    return locations.location_list(t.locations)
+    return number_in_order(locations.location_list(t.locations))
 
 
 @query
 def room_types(t):
-    return locations.room_types(t.locations)
+    return number_in_order(locations.room_types(t.locations))
 
 
 @query
 def locations_by_site_type_left(t):
-    return locations.by_site_type(t.locations, t.retired_loaners, "left")
+    return locations.by_site_type(t.rooms, t.located, "left")
 
 
 @query
@@ -359,12 +370,12 @@ def total_items(t):
 
 @query
 def sort_by_text(t):
-    return browse.sort_by(t.derived("sheet"), "assigned_to", ["inventory_id"], desc=True)
+    return number_in_order(browse.sort_by(t.derived("sheet"), "assigned_to", ["inventory_id"], desc=True))
 
 
 @query
 def sort_by_date(t):
-    return browse.sort_by(t.derived("sheet"), "date_assigned", ["inventory_id"], is_date=True)
+    return number_in_order(browse.sort_by(t.derived("sheet"), "date_assigned", ["inventory_id"], is_date=True))
 
 
 @query
@@ -379,7 +390,8 @@ def sample_deterministic(t):
 
 @query
 def sample_random(t):
-    return browse.sample_rows(t.inventory.where(cells.not_blank("asset_tag")), 5, 7)
+    tagged = t.inventory.where(cells.not_blank("asset_tag"))
+    return _drawn(browse.sample_rows(tagged, 5, 7), tagged)
 
 
 @query
@@ -430,9 +442,19 @@ def open_checkout_device(t):
     return loans.open_checkout_device(t.loans, t.inventory, t.loans.where("user_name LIKE 'user1%'"))
 
 
+def _views(t):
+    named = {
+        "v_inventory": t.located, "v_loans": t.loans, "v_equipment": t.equipment, "v_equipment_loans": t.derived("equipment_loans"),
+        "v_locations": t.locations,
+    }
+    for name, df in named.items():
+        df.createOrReplaceTempView(name)
+    register_views(t.spark, AS_OF, *named)
+
+
 @query
 def views_by_sql(t):
-    register_views(t.located, t.loans, t.equipment, t.derived("equipment_loans"), t.locations, AS_OF)
+    _views(t)
     return t.spark.sql(
         """
         SELECT asset_type, count_if(status = 'free') AS free, count_if(status = 'out') AS out,
@@ -444,6 +466,18 @@ def views_by_sql(t):
     )
 
 
+@query
+def view_after_checkout(t):
+    """The view shows loans that came after it was registered."""
+    _views(t)
+    new = t.located.where("is_loaner AND inventory_id % 2 = 0").selectExpr(
+        "-inventory_id AS checkout_id", "inventory_id", "'late' AS user_name", f"timestamp_ntz'{AS_OF}' AS checkout_date",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS expected_return_date", "CAST(NULL AS TIMESTAMP_NTZ) AS checkin_date", "CAST(NULL AS STRING) AS checkout_notes",
+    )
+    t.loans.unionByName(new).createOrReplaceTempView("v_loans")
+    return t.spark.table("available_loaners").select("inventory_id")
+
+
 # --- reports and quality -------------------------------------------------------------------------
 
 
@@ -558,6 +592,26 @@ def conformance(t):
     return quality.conformance(t.inventory, schemas.EQUIPMENT_RULES)
 
 
+@query
+def conformance_of_tables(t):
+    """All declared tables against their whole schemas."""
+    found = [
+        ("inventory", t.located, schemas.INVENTORY), ("locations", t.locations, schemas.LOCATIONS),
+        ("loaner_checkouts", t.loans, schemas.LOANER_CHECKOUTS), ("equipment", t.equipment, schemas.EQUIPMENT),
+        ("equipment_loans", t.derived("equipment_loans"), schemas.EQUIPMENT_LOANS), ("audit_log", t.derived("audit_log"), schemas.AUDIT_LOG),
+    ]
+    parts = [quality.conformance(df, schema).select(F.lit(name).alias("table_name"), "*") for name, df, schema in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def required_columns(t):
+    """A table that lacks columns, with its rows, as a gate reports it."""
+    lacking = t.derived("sheet").drop("hardware_type", "serial_number")
+    missing = check_required(lacking.columns)
+    return lacking.agg(F.lit(", ".join(missing)).alias("missing_columns"), F.count("*").alias("rows"))
+
+
 @query
 def column_report(t):
     return quality.column_report(t.raw("orders"))
@@ -589,9 +643,10 @@ def newest_audit(t):
 
 @query
 def snapshot_diff(t):
+    old = t.inventory.where("inventory_id % 37 <> 5")  # the others are new
     new = t.located.where(cells.not_blank("asset_tag")).withColumn("asset_type", cells.laptop_name("asset_type"))
     return history.diff_to_audit(
-        t.inventory, new, "inventory_id", ["asset_type", "location_id", "is_loaner"], "Migration Script", AS_OF
+        old, new, "inventory_id", ["asset_type", "location_id", "is_loaner"], "Migration Script", AS_OF
     )
 
 
@@ -654,7 +709,7 @@ def toggle_loaner_rejected(t):
 
 
 def _location_changes(t):
-    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_commands"))
+    return apply_location_changes(t.rooms, t.located, t.location_commands("location_commands"))
 
 
 @query
@@ -674,9 +729,9 @@ def location_changes_rejected(t):
 
 @query
 def location_moves(t):
-    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_moves"))[0]
+    return apply_location_changes(t.rooms, t.located, t.location_commands("location_moves"))[0]
 
 
 @query
 def location_moves_audit(t):
-    return apply_location_changes(t.locations, t.retired_loaners, t.location_commands("location_moves"))[1]
+    return apply_location_changes(t.rooms, t.located, t.location_commands("location_moves"))[1]

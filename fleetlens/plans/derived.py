@@ -123,6 +123,12 @@ SELECT event_id AS command_id, ts AS command_ts,
        concat('user', user_id) AS changed_by
 FROM {events}"""
 
+# Rooms without devices.
+VACANT = """
+SELECT concat('Vacant ', s_nationkey) AS site_name, concat('V', s_suppkey) AS room_number, 'Spare Room' AS room_name,
+       'Other' AS room_type
+FROM {supplier}"""
+
 # Check-ins that name a loan instead of a device; most loans are named several times.
 LOAN_RETURNS = """
 SELECT event_id AS command_id, ts AS command_ts, 'CHECKIN' AS kind, CAST(NULL AS BIGINT) AS inventory_id,
@@ -141,6 +147,7 @@ FROM {events}"""
 NEEDS = {
     "inventory": (INVENTORY, ["orders", "customer", "nation"]),
     "sheet": (SHEET, ["orders", "customer", "nation"]),
+    "vacant": (VACANT, ["supplier"]),
     "loans": (LOANS, ["events"]),
     "equipment_loans": (EQUIPMENT_LOANS, ["events"]),
     "audit_log": (AUDIT_LOG, ["events"]),

@@ -6,12 +6,13 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetlens.functions.taxonomy import NINE_RULES
 from fleetlens.operators.equipment import build_equipment
 from fleetlens.operators.locations import assign_location, build_locations, reconcile_locations
 from fleetlens.operators.quality import require, require_columns
-from fleetlens.operators.reports import coverage, inventory_profile, table_counts
+from fleetlens.operators.reports import coverage, inventory_profile, side_by_side, table_counts
 from fleetlens.operators.tidy import add_flag_column, add_nullable_column
 from fleetlens.sources.storage import stored
 
@@ -39,7 +40,7 @@ def migrate(
     inv = add_flag_column(add_nullable_column(inv, "location_id", "long"))
     if strict:
         require(inv, not_blank_columns=["asset_tag"], unique=["asset_tag"])
-    locations = build_locations(inv, taxonomy, "all", case_sensitive)
+    locations = stored(build_locations(inv, taxonomy, "all", case_sensitive), "locations")
     linked = stored(assign_location(inv, locations), "inventory")
     equipment, rejected = build_equipment(linked, locations, as_of, case_sensitive=case_sensitive)
     return Migration(
@@ -50,11 +51,11 @@ def migrate(
         rejected=rejected,
         reconciliation=reconcile_locations(linked, locations),
         coverage=coverage(linked, "location_id"),
-        counts=table_counts(
-            {
-                "equipment_count": equipment,
-                "locations_count": locations,
-                "loaner_count": equipment.where("is_loaner"),
-            }
+        counts=side_by_side(
+            [
+                equipment.agg(F.count("*").alias("equipment_count"), F.count_if("is_loaner").alias("loaner_count")),
+                table_counts({"locations_count": locations}),
+            ],
+            ["equipment_count", "locations_count", "loaner_count"],
         ),
     )

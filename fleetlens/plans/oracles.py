@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from fleetlens.functions.taxonomy import FOUR_RULES, NINE_RULES
 from fleetlens.plans.derived import AS_OF_SQL, NEEDS, derived_sql
 
 ORACLES: dict[str, str] = {}
 
 
-def _category(column: str, rules: list[tuple[list[str], str]], like: str = "ILIKE") -> str:
-    tests = [
-        f"WHEN {' OR '.join(f'''{column} {like} '%{w}%' ''' for w in words)} THEN '{label}'" for words, label in rules
-    ]
-    return f"CASE {' '.join(tests)} ELSE 'Other' END"
+# Room categories, written out here so that the operator's own rules are checked.
+_NINE = """CASE WHEN {0} {1} '%Cubicle%' THEN 'Workspace' WHEN {0} {1} '%Office%' THEN 'Workspace'
+  WHEN {0} {1} '%Conference%' THEN 'Meeting Space' WHEN {0} {1} '%Storage%' THEN 'Storage'
+  WHEN {0} {1} '%Server%' THEN 'IT Infrastructure' WHEN {0} {1} '%IT%' THEN 'IT Infrastructure'
+  WHEN {0} {1} '%Restroom%' OR {0} {1} '%Toilet%' THEN 'Facilities'
+  WHEN {0} {1} '%Kitchen%' OR {0} {1} '%Break%' THEN 'Common Area'
+  WHEN {0} {1} '%Corridor%' OR {0} {1} '%Hallway%' THEN 'Circulation' ELSE 'Other' END"""
+_FOUR = """CASE WHEN {0} {1} '%Cubicle%' THEN 'Cubicle' WHEN {0} {1} '%Office%' THEN 'Office'
+  WHEN {0} {1} '%Storage%' THEN 'Storage' WHEN {0} {1} '%Server%' THEN 'Server Room' ELSE 'Other' END"""
+
+
+def _category(column: str, rules: str, like: str = "ILIKE") -> str:
+    return rules.format(column, like)
 
 
 _SITE, _ROOM = "coalesce(site_name, 'Unknown')", "coalesce(room_number, 'Unknown')"
@@ -20,7 +27,6 @@ _LAPTOP = """CASE WHEN asset_type ILIKE '%laptop%'
     THEN regexp_replace(replace(replace(asset_type, '"', ''), ' ', ''), 'laptop', ' Laptop', 'gi') ELSE asset_type END"""
 _LAPTOP_TRIMMED = f"CASE WHEN asset_type ILIKE '%laptop%' THEN trim({_LAPTOP}) ELSE asset_type END"
 _FLAG = "(coalesce(lower(asset_type) = 'loaner laptop', false) OR coalesce(notes ILIKE '%loaner%', false))"
-_RETIRED = "is_loaner AND date_decommissioned <> ''"
 
 
 def _locations(rules, keep: str = "true", like: str = "ILIKE") -> str:
@@ -31,7 +37,7 @@ FROM (SELECT {_SITE} AS s, {_ROOM} AS r, min(room_name) AS n FROM inventory WHER
 
 
 _STEPS = {
-    "locations": (["inventory"], _locations(NINE_RULES)),
+    "locations": (["inventory"], _locations(_NINE)),
     "located": (
         ["inventory", "locations"],
         f"""
@@ -124,11 +130,11 @@ FROM loan_returns JOIN open_loans o USING (checkout_id) JOIN inventory i ON i.in
 WHERE checkout_id <> 0 GROUP BY checkout_id""",  # id 0 counts as missing
     ),
     "moved": (
-        ["location_moves", "locations"],
+        ["location_moves", "rooms"],
         """
 SELECT m.*, coalesce(last_value(m.site_name IGNORE NULLS) OVER before, l.site_name) AS prev_site,
        coalesce(last_value(m.room_number IGNORE NULLS) OVER before, l.room_number) AS prev_room
-FROM location_moves m JOIN locations l USING (location_id)
+FROM location_moves m JOIN rooms l USING (location_id)
 WINDOW before AS (PARTITION BY location_id ORDER BY command_ts, command_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
@@ -144,13 +150,19 @@ WHERE asset_tag <> '' GROUP BY asset_tag""",
         """
 SELECT c.*, flag, row_number() OVER (PARTITION BY asset_tag ORDER BY command_ts, command_id) AS n
 FROM toggle_commands c JOIN tag_flags f USING (asset_tag) WHERE devices = 1""",
+    ),
+    "rooms": (
+        ["locations", "vacant"],
+        """
+SELECT * FROM locations UNION ALL
+SELECT (SELECT max(location_id) FROM locations) + row_number() OVER (ORDER BY room_number) AS location_id, * FROM vacant""",
     ),
     # Location commands: new rooms only compete with each other, updates keep site and room.
     "removable": (
-        ["locations", "located"],
-        f"""
-SELECT location_id FROM locations
-WHERE location_id NOT IN (SELECT location_id FROM located WHERE {_RETIRED} AND location_id IS NOT NULL)""",
+        ["rooms", "located"],
+        """
+SELECT location_id FROM rooms
+WHERE location_id NOT IN (SELECT location_id FROM located WHERE location_id IS NOT NULL)""",
     ),
     "removals": (
         ["location_commands", "removable"],
@@ -159,7 +171,7 @@ SELECT location_id, min(command_ts) AS gone_at FROM location_commands SEMI JOIN
 WHERE kind = 'DELETE' GROUP BY location_id""",
     ),
     "loc_judged": (
-        ["location_commands", "locations", "removable", "removals"],
+        ["location_commands", "rooms", "removable", "removals"],
         """
 SELECT c.*, l.location_id IS NOT NULL AS found, l.site_name AS old_site, l.room_number AS old_room,
        l.room_name AS old_name, l.room_type AS old_type,
@@ -172,21 +184,21 @@ SELECT c.*, l.location_id IS NOT NULL AS found, l.site_name AS old_site, l.room_
             WHEN c.kind = 'UPDATE' AND c.room_name IS NULL AND c.room_type IS NULL THEN 'No fields to update'
             WHEN c.kind = 'DELETE' AND gone_at IS NULL
               THEN 'Cannot delete location that has inventory items assigned to it' END AS reason
-FROM location_commands c LEFT JOIN locations l USING (location_id) LEFT JOIN removals r USING (location_id)""",
+FROM location_commands c LEFT JOIN rooms l USING (location_id) LEFT JOIN removals r USING (location_id)""",
     ),
     "loc_final": (
-        ["locations", "loc_judged"],
+        ["rooms", "loc_judged"],
         """
 SELECT l.* REPLACE (coalesce(n, l.room_name) AS room_name, coalesce(t, l.room_type) AS room_type)
-FROM locations l LEFT JOIN (
+FROM rooms l LEFT JOIN (
   SELECT location_id, arg_max(room_name, command_ts) FILTER (room_name IS NOT NULL) AS n,
          arg_max(room_type, command_ts) FILTER (room_type IS NOT NULL) AS t
   FROM loc_judged WHERE kind = 'UPDATE' AND reason IS NULL GROUP BY location_id) u USING (location_id)""",
     ),
     "loc_created": (
-        ["locations", "loc_judged"],
+        ["rooms", "loc_judged"],
         """
-SELECT (SELECT max(location_id) FROM locations) + row_number() OVER (ORDER BY command_ts, command_id) AS location_id,
+SELECT (SELECT max(location_id) FROM rooms) + row_number() OVER (ORDER BY command_ts, command_id) AS location_id,
        site_name, room_number, room_name, room_type, changed_by, command_ts
 FROM loc_judged WHERE kind = 'CREATE' AND reason IS NULL""",
     ),
@@ -230,30 +242,45 @@ _add("backup_snapshot", "SELECT * FROM inventory", "inventory")
 _add("replace_table", "SELECT * FROM inventory WHERE is_loaner", "inventory")
 _add(
     "append_audit",
-    "SELECT * REPLACE (row_number() OVER (ORDER BY changed_at, audit_id) AS audit_id) FROM audit_log",
+    f"""
+SELECT * EXCLUDE (at) REPLACE (row_number() OVER (ORDER BY action_type = 'UPDATE', at, audit_id) AS audit_id, at AS changed_at)
+FROM (SELECT *, CASE WHEN action_type = 'UPDATE' AND audit_id % 2 <> 0 THEN {AS_OF_SQL} ELSE changed_at END AS at FROM audit_log) stamped""",
     "audit_log",
 )
 _add("insert_select_distinct", "SELECT DISTINCT site_name, room_number, room_name FROM inventory", "inventory")
+_MALFORMED = "(inventory_id % 3 = 2 AND (inventory_id % 41 = 7 OR inventory_id % 43 = 8))"
+_LINE = "concat_ws(',', {})".format(
+    ", ".join(f"coalesce({c}, '')" for c in "manufacturer model_number hardware_type serial_number assigned_to location date_assigned date_decommissioned".split())
+)
 _add(
     "import_accepted",
-    """
+    f"""
 SELECT manufacturer, model_number, nullif(hardware_type, '') AS hardware_type, serial_number, assigned_to, location AS room_name,
        nullif(date_assigned, '') AS date_assigned, nullif(date_decommissioned, '') AS date_decommissioned
-FROM sheet WHERE date_assigned <> 'n/a'""",
+FROM sheet WHERE date_assigned <> 'n/a' AND NOT {_MALFORMED}""",
     "sheet",
 )
 _add(
     "import_rejected",
-    "SELECT serial_number, 'unreadable date_assigned: n/a' AS reason FROM sheet WHERE date_assigned = 'n/a'",
+    f"""
+SELECT if({_MALFORMED}, NULL, serial_number) AS serial_number,
+       CASE WHEN inventory_id % 3 = 2 AND inventory_id % 43 = 8
+              THEN 'wrong number of cells: ' || array_to_string(string_split({_LINE}, ',')[1:3], ',')
+            WHEN {_MALFORMED} THEN 'wrong number of cells: ' || {_LINE} || ',more'
+            ELSE 'unreadable date_assigned: n/a' END AS reason
+FROM sheet WHERE date_assigned = 'n/a' OR {_MALFORMED}""",
     "sheet",
 )
 _add(
     "import_summary",
-    """
-SELECT count(*) FILTER (date_assigned <> 'n/a') AS success_count,
-       count(*) FILTER (date_assigned = 'n/a') AS error_count FROM sheet""",
+    f"""
+SELECT count(*) FILTER (date_assigned <> 'n/a' AND NOT {_MALFORMED}) AS success_count,
+       count(*) FILTER (date_assigned = 'n/a' OR {_MALFORMED}) AS error_count FROM sheet""",
     "sheet",
 )
+_add("peek", "SELECT 5 AS drawn_rows, 0 AS foreign_rows")
+_add("sample_random", "SELECT 5 AS drawn_rows, 0 AS foreign_rows")
+_add("required_columns", "SELECT 'hardware_type, serial_number' AS missing_columns, count(*) AS rows FROM sheet", "sheet")
 
 # --- projections, filters and cell functions -----------------------------------------------------
 _add(
@@ -329,14 +356,14 @@ FROM sheet""",
 _add("build_locations", "SELECT * FROM locations", "locations")
 _add(
     "build_locations_four_rules",
-    _locations(FOUR_RULES, "coalesce(site_name, room_number, room_name) IS NOT NULL"),
+    _locations(_FOUR, "coalesce(site_name, room_number, room_name) IS NOT NULL"),
     "inventory",
 )
-_add("build_locations_case_sensitive", _locations(NINE_RULES, "room_number IS NOT NULL", "LIKE"), "inventory")
+_add("build_locations_case_sensitive", _locations(_NINE, "room_number IS NOT NULL", "LIKE"), "inventory")
 _add(
     "category_preview",
     f"""
-SELECT DISTINCT site_name, room_number, room_name, {_category("room_name", NINE_RULES)} AS proposed_category
+SELECT DISTINCT site_name, room_number, room_name, {_category("room_name", _NINE)} AS proposed_category
 FROM inventory WHERE room_number IS NOT NULL""",
     "inventory",
 )
@@ -357,15 +384,23 @@ WHERE i.site_name IS NOT NULL AND i.room_number IS NOT NULL""",
     "inventory",
     "locations",
 )
-_add("deletable_locations", "SELECT * FROM locations SEMI JOIN removable USING (location_id)", "locations", "removable")
-_add("location_list", "SELECT * FROM locations", "locations")
-_add("room_types", "SELECT DISTINCT room_type FROM locations", "locations")
+_add("deletable_locations", "SELECT * FROM rooms SEMI JOIN removable USING (location_id)", "rooms", "removable")
+_add(
+    "location_list",
+    "SELECT *, row_number() OVER (ORDER BY site_name, room_number, location_id) AS position FROM locations",
+    "locations",
+)
+_add(
+    "room_types",
+    "SELECT *, row_number() OVER (ORDER BY room_type) AS position FROM (SELECT DISTINCT room_type FROM locations) kinds",
+    "locations",
+)
 _add(
     "locations_by_site_type_left",
-    f"""
+    """
 SELECT l.site_name, l.room_type, count(*) AS equipment_count
-FROM locations l LEFT JOIN (SELECT * FROM located WHERE {_RETIRED}) i ON i.location_id = l.location_id GROUP BY 1, 2""",
-    "locations",
+FROM rooms l LEFT JOIN located i ON i.location_id = l.location_id GROUP BY 1, 2""",
+    "rooms",
     "located",
 )
 _add(
@@ -488,8 +523,18 @@ _add(
 )
 _add("page_boundary", f"SELECT {_BOUNDARY} AS boundary", "sheet")
 _add("total_items", "SELECT count(location_id) AS total_items FROM located", "located")
-_add("sort_by_text", "SELECT * FROM sheet", "sheet")
-_add("sort_by_date", "SELECT * FROM sheet", "sheet")
+_add(
+    "sort_by_text",
+    "SELECT *, row_number() OVER (ORDER BY coalesce(assigned_to, '') DESC, inventory_id) AS position FROM sheet",
+    "sheet",
+)
+_add(
+    "sort_by_date",
+    """
+SELECT *, row_number() OVER (ORDER BY coalesce(TRY_CAST(date_assigned AS DATE), DATE '1970-01-01'), inventory_id) AS position
+FROM sheet""",
+    "sheet",
+)
 _add(
     "newest_assigned",
     """
@@ -623,7 +668,7 @@ _add("table_counts", _COUNTS, "equipment", "locations")
 _add(
     "tags_per_room",
     """
-SELECT site_name, room_number, CAST(0 AS BIGINT) AS part, string_agg(asset_tag, ',' ORDER BY asset_tag, inventory_id) AS asset_tag
+SELECT site_name, room_number, string_agg(asset_tag, ',' ORDER BY asset_tag, inventory_id) AS asset_tag
 FROM inventory WHERE asset_tag <> '' GROUP BY site_name, room_number""",
     "inventory",
 )
@@ -688,6 +733,40 @@ _add(
     ),
     "inventory",
 )
+# Columns by table: ! marks those that must be set, numbers are the longest texts.
+_DECLARED = {
+    "inventory": ("located", """inventory_id! site_name:100 room_number:50 room_name:100 asset_tag:100 asset_type:100 model:255
+        serial_number:100 notes assigned_to:255 date_assigned date_decommissioned location_id is_loaner!"""),
+    "locations": ("locations", "location_id! site_name!:100 room_number!:50 room_name!:100 room_type!:50"),
+    "loaner_checkouts": ("loans", """checkout_id! inventory_id! user_name!:100 checkout_date! expected_return_date checkin_date
+        checkout_notes:500"""),
+    "equipment": ("equipment", """asset_tag!:100 site_name:100 room_number:50 room_name:100 location_id asset_type!:100 model:255
+        serial_number:100 assigned_to:255 date_assigned date_decommissioned is_loaner! notes last_updated! last_updated_by:100"""),
+    "equipment_loans": ("equipment_loans", """loan_id! asset_tag!:100 loaned_to!:255 checkout_date! expected_return_date!
+        actual_return_date original_location_id temporary_location_id checkout_notes return_notes checked_out_by!:255
+        checked_in_by:255 created_date! created_by!:100 last_updated! last_updated_by!:100"""),
+    "audit_log": ("audit_log", """audit_id! action_type!:10 asset_tag!:100 field_name!:100 old_value new_value changed_by!:255
+        changed_at! notes"""),
+}
+
+
+def _declared(label: str, table: str, columns: str) -> list[str]:
+    parts = []
+    for word in columns.split():
+        name, _, length = word.partition(":")
+        column = name.rstrip("!")
+        nulls = f"count(*) - count({column})" if name.endswith("!") else "0 * count(*)"
+        long = f"count(*) FILTER (length({column}) > {length})" if length else "0 * count(*)"
+        parts.append(f"SELECT '{label}' AS table_name, '{column}' AS column_name, {nulls} AS null_count, {long} AS too_long_count FROM {table}")
+    return parts
+
+
+_add(
+    "conformance_of_tables",
+    " UNION ALL ".join(part for label, (table, columns) in _DECLARED.items() for part in _declared(label, table, columns)),
+    *[table for table, _ in _DECLARED.values()],
+)
+_add("view_after_checkout", "SELECT inventory_id FROM available WHERE inventory_id % 2 <> 0", "available")
 _ORDERS = {
     "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
     "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
@@ -728,19 +807,18 @@ _add("newest_audit", "SELECT * FROM audit_log ORDER BY changed_at DESC, audit_id
 _add(
     "snapshot_diff",
     f"""
-SELECT CASE WHEN kept THEN 'UPDATE' ELSE 'DELETE' END AS action_type, CAST(inventory_id AS VARCHAR) AS asset_tag,
-       field_name, old_value, new_value, 'Migration Script' AS changed_by, {AS_OF_SQL} AS changed_at,
+SELECT CASE WHEN was AND kept THEN 'UPDATE' WHEN was THEN 'DELETE' ELSE 'CREATE' END AS action_type,
+       CAST(inventory_id AS VARCHAR) AS asset_tag, field_name, if(was, old_value, NULL) AS old_value,
+       if(kept, new_value, NULL) AS new_value, 'Migration Script' AS changed_by, {AS_OF_SQL} AS changed_at,
        CAST(NULL AS VARCHAR) AS notes
 FROM (
-  SELECT inventory_id, coalesce(asset_tag, '') <> '' AS kept, 'asset_type' AS field_name, asset_type AS old_value,
-         if(coalesce(asset_tag, '') <> '', {_LAPTOP_TRIMMED}, NULL) AS new_value FROM located
+  SELECT inventory_id, 'asset_type' AS field_name, asset_type AS old_value, {_LAPTOP_TRIMMED} AS new_value FROM located
   UNION ALL
-  SELECT inventory_id, coalesce(asset_tag, '') <> '', 'location_id', NULL,
-         if(coalesce(asset_tag, '') <> '', CAST(location_id AS VARCHAR), NULL) FROM located
+  SELECT inventory_id, 'location_id', NULL, CAST(location_id AS VARCHAR) FROM located
   UNION ALL
-  SELECT inventory_id, coalesce(asset_tag, '') <> '', 'is_loaner', if(is_loaner, 'True', 'False'),
-         if(coalesce(asset_tag, '') <> '', if(is_loaner, 'True', 'False'), NULL) FROM located) cells
-WHERE NOT kept OR old_value IS DISTINCT FROM new_value""",
+  SELECT inventory_id, 'is_loaner', if(is_loaner, 'True', 'False'), if(is_loaner, 'True', 'False') FROM located) cells
+JOIN (SELECT inventory_id, inventory_id % 37 <> 5 AS was, coalesce(asset_tag, '') <> '' AS kept FROM located) sides USING (inventory_id)
+WHERE (was OR kept) AND (NOT was OR NOT kept OR old_value IS DISTINCT FROM new_value)""",
     "located",
 )
 _add("loan_commands_loans", "SELECT * FROM new_loans", "new_loans")
@@ -845,10 +923,10 @@ _add(
     "location_moves",
     """
 SELECT l.* REPLACE (coalesce(s, l.site_name) AS site_name, coalesce(n, l.room_number) AS room_number)
-FROM locations l LEFT JOIN (
+FROM rooms l LEFT JOIN (
   SELECT location_id, arg_max(site_name, command_ts) FILTER (site_name IS NOT NULL) AS s,
          arg_max(room_number, command_ts) AS n FROM moved GROUP BY location_id) m USING (location_id)""",
-    "locations",
+    "rooms",
     "moved",
 )
 _add(

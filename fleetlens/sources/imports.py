@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.cells import clean_date_text, is_blank
 from fleetlens.operators.quality import QualityError
@@ -14,6 +18,7 @@ from fleetlens.sources.storage import stored
 DATE_COLUMNS = ["date_assigned", "date_decommissioned"]
 # Number of the first data row: the header is row 1 of its sheet.
 FIRST_DATA_ROW = 2
+MALFORMED = "wrong number of cells: "
 
 
 def check_required(columns: list[str], required: list[str] = IMPORT_REQUIRED) -> list[str]:
@@ -21,35 +26,36 @@ def check_required(columns: list[str], required: list[str] = IMPORT_REQUIRED) ->
     return [c for c in required if c not in columns]
 
 
+def read_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The header line of every sheet, with the files that have it."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    # One line per file, like the list of the files themselves.
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()
+    headers: dict[str, list[str]] = {}
+    for row in sorted(first):
+        headers.setdefault(row.line.removeprefix("\ufeff"), []).append(row.file)
+    return headers
+
+
 def read_import(
     spark: SparkSession, path: str | list[str], aliases: dict[str, str] = IMPORT_ALIASES
 ) -> DataFrame:
-    """Read sheets with one common header; absent optional columns are NULL.
+    """Read sheets, each under its own header; absent optional columns are NULL.
 
     ``source_row`` is the row's number in its file, where the header is row 1. Files are split over
     many tasks: rows are numbered inside each split, and a table with one row per split says how
-    many rows stand before it.
+    many rows stand before it. A row with more or fewer cells than its header is kept as text in
+    ``malformed``.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    names = {c: aliases.get(c.strip(), c.strip()) for c in raw.columns}
-    missing = check_required(list(names.values()))
-    if missing:
-        raise QualityError(
-            f"Missing required columns: {', '.join(missing)}. Found columns: {', '.join(raw.columns)}"
-        )
-    cells = [F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items() if n in IMPORT_COLUMNS]
-    absent = [F.lit(None).cast("string").alias(c) for c in IMPORT_OPTIONAL if c not in names.values()]
+    sheets = [_read_sheets(spark, files, header, aliases) for header, files in read_headers(spark, path).items()]
+    if not sheets:
+        raise QualityError("No sheet has a header")
+    raw = reduce(DataFrame.unionByName, sheets)
     # Split positions are only good within one read, so the text is read once and kept as columns.
-    placed = stored(
-        raw.select(
-            *cells,
-            *absent,
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
-        ),
-        "sheet",
-    )
+    placed = stored(raw.withColumn("_at", F.monotonically_increasing_id()), "sheet")
     splits = placed.groupBy("source_file", "_block").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     line = Window.partitionBy("source_file").orderBy("_block")
     before = stored(
@@ -61,9 +67,30 @@ def read_import(
         *IMPORT_COLUMNS,
         (F.col("_before") + F.col("_at") - F.col("_first") + FIRST_DATA_ROW).alias("source_row"),
         "source_file",
+        "malformed",
     )
 
 
+def _read_sheets(spark: SparkSession, files: list[str], header: str, aliases: dict[str, str]) -> DataFrame:
+    """Sheets with the same header line."""
+    found = next(csv.reader([header]), [])
+    names = [aliases.get(c.strip(), c.strip()) for c in found]
+    missing = check_required(names)
+    if missing:
+        raise QualityError(
+            f"Missing required columns: {', '.join(missing)}. Found columns: {', '.join(found)}. Sheet: {files[0]}"
+        )
+    twice = sorted({n for n in names if n in IMPORT_COLUMNS and names.count(n) > 1})
+    if twice:
+        raise QualityError(f"Columns given twice: {', '.join(twice)}. Sheet: {files[0]}")
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed", "columnPruning": False}
+    raw = spark.read.schema(T.StructType([*fields, T.StructField("malformed", T.StringType())])).options(**options).csv(files)
+    cells = [F.col(f"c{names.index(c)}").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in IMPORT_COLUMNS]
+    place = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block")]
+    return raw.select(*cells, *place, "malformed")
+
+
 def _date_problem(column: str) -> Column:
     unreadable = ~is_blank(F.trim(column)) & clean_date_text(column).isNull()
     return F.when(unreadable, F.concat(F.lit(f"unreadable {column}: "), F.col(column)))
@@ -72,12 +99,15 @@ def _date_problem(column: str) -> Column:
 def import_rows(df: DataFrame, required_values: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted rows, rejected rows with the reason, and both counts. One bad row stops no other.
 
-    An empty cell is a missing value, in every column.
+    An empty cell is a missing value, in every column. A row with the wrong number of cells is rejected
+    for that alone, as its cells cannot be told apart.
     """
     checks = [_date_problem(c) for c in DATE_COLUMNS]
     if required_values:
         checks += [F.when(is_blank(c), F.lit(f"missing {c}")) for c in IMPORT_REQUIRED]
     reason = F.nullif(F.concat_ws("; ", *checks), F.lit(""))
+    if "malformed" in df.columns:
+        reason = F.when(F.col("malformed").isNotNull(), F.concat(F.lit(MALFORMED), F.col("malformed"))).otherwise(reason)
     judged = df.withColumn("reason", reason)
 
     place = [c for c in ("source_file", "source_row") if c in df.columns]
@@ -87,7 +117,8 @@ def import_rows(df: DataFrame, required_values: bool = False) -> tuple[DataFrame
         *[clean_date_text(c).alias(c) for c in DATE_COLUMNS],
         *place,
     )
-    rejected = judged.where("reason IS NOT NULL").select(*place, "serial_number", "reason")
+    serial = F.when(F.col("malformed").isNull(), F.col("serial_number")) if "malformed" in df.columns else F.col("serial_number")
+    rejected = judged.where("reason IS NOT NULL").select(*place, serial.alias("serial_number"), "reason")
     summary = judged.agg(
         F.count_if(F.col("reason").isNull()).alias("success_count"),
         F.count_if(F.col("reason").isNotNull()).alias("error_count"),

@@ -42,6 +42,12 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return table
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of ``stored`` tables that nothing will read any more.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fleetlens.functions.cells import log_text
 from fleetlens.operators.ordering import assign_ids
 from fleetlens.schemas import AUDIT_COLUMNS, AUDIT_LOG
+from fleetlens.sources.storage import exists
 
 _VERSIONS = T.StructType(
     [T.StructField("version", T.LongType(), False), T.StructField("path", T.StringType(), False)]
@@ -88,10 +89,24 @@ def to_log_rows(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return rows.select(*columns)
 
 
-def append_audit(rows: DataFrame, path: str, order: list[str], start: int = 1) -> None:
-    """Append change records with ids in the order of ``order`` (unique together)."""
+def append_audit(
+    rows: DataFrame, path: str, order: list[str], start: int | None = None, as_of: datetime | None = None
+) -> None:
+    """Append change records with ids in the order of ``order`` (unique together).
+
+    Ids go on behind the largest of the log unless ``start`` is given. ``as_of`` stands in for a
+    time of change that is missing; without it such a record is refused.
+    """
     extra = [c for c in order if c not in AUDIT_COLUMNS]
-    numbered = assign_ids(to_log_rows(rows, extra), order, start, "audit_id")
+    if start is None:
+        spark = rows.sparkSession
+        start = next_id(spark.read.schema(AUDIT_LOG).parquet(path), "audit_id") if exists(spark, path) else 1
+    rows = to_log_rows(rows, extra)
+    if as_of is not None:
+        rows = rows.withColumn("changed_at", F.coalesce("changed_at", F.lit(as_of).cast("timestamp_ntz")))
+    elif not rows.where("changed_at IS NULL").isEmpty():
+        raise ValueError("records without changed_at need as_of")
+    numbered = assign_ids(rows, order, start, "audit_id")
     numbered.select("audit_id", *AUDIT_COLUMNS).write.mode("append").parquet(path)
 
 

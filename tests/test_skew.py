@@ -51,3 +51,9 @@ def test_empty_sides(sides):
     nothing = fact.where("row < 0")
     assert skew.join_unique(nothing, dim, ["k"], "inner", ["row"]).count() == 0
     assert skew.join_unique(fact, dim.where("v < 0"), ["k"], "left", ["row"]).count() == 2000
+
+
+def test_no_pass_where_nothing_can_be_spread(sides, monkeypatch):
+    fact, dim = sides
+    monkeypatch.setattr(skew, "hot_keys", lambda *a: pytest.fail("counted keys"))
+    assert skew.join_unique(fact, dim, ["k"], "inner", ["k"]).count() == fact.join(dim, "k").count()

@@ -98,12 +98,33 @@ def test_audit_ids_go_on(spark, tmp_path):
         "action_type string, asset_tag string, field_name string, old_value boolean, new_value boolean, changed_by string, changed_at timestamp_ntz",
     )
     tables.append_audit(rows, path, ["changed_at"])
-    first = tables.load_table(spark, path, schemas.AUDIT_LOG)
-    tables.append_audit(rows, path, ["changed_at"], tables.next_id(first, "audit_id"))
+    tables.append_audit(rows, path, ["changed_at"])
     got = sorted((r.audit_id, r.changed_at.day, r.old_value, r.new_value) for r in spark.read.parquet(path).collect())
     assert got == [(1, 1, "True", None), (2, 2, "True", None), (3, 1, "True", None), (4, 2, "True", None)]
 
 
+def test_audit_time_is_filled_in(spark, tmp_path):
+    rows = spark.createDataFrame([("UPDATE", "T1", "x", "ann", None)], "action_type string, asset_tag string, field_name string, changed_by string, changed_at timestamp_ntz")
+    with pytest.raises(ValueError, match="as_of"):
+        tables.append_audit(rows, str(tmp_path / "a"), ["asset_tag"])
+    tables.append_audit(rows, str(tmp_path / "a"), ["asset_tag"], as_of=datetime(2024, 1, 2))
+    assert spark.read.parquet(str(tmp_path / "a")).first().changed_at == datetime(2024, 1, 2)
+
+
+def test_broken_rows_and_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("manufacturer,model_number,hardware_type,serial_number,date_assigned\nDell,X,Laptop,S1,20240105\nDell,X\nHP,Y,Dock,S2,2024-01-05,more,cells\n")
+    (tmp_path / "b.csv").write_text('serial_number,manufacturer,hardware_type,location,model_number,date_assigned\nS3,Dell,"Laptop, big",R1,Z,"Jan 5, 2024"\n')
+    df = read_import(spark, str(tmp_path))
+    accepted, rejected, summary = import_rows(df)
+    assert sorted((r.serial_number, r.manufacturer, r.hardware_type, r.room_name, r.date_assigned) for r in accepted.collect()) == [
+        ("S1", "Dell", "Laptop", None, "2024-01-05"), ("S3", "Dell", "Laptop, big", "R1", "2024-01-05"),
+    ]
+    assert sorted((r.source_row, r.reason) for r in rejected.collect()) == [
+        (3, "wrong number of cells: Dell,X"), (4, "wrong number of cells: HP,Y,Dock,S2,2024-01-05,more,cells"),
+    ]
+    assert tuple(summary.first()) == (2, 2)
+
+
 def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = storage.shared_folder(spark)
