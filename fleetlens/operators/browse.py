@@ -81,11 +81,27 @@ def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
 
 
 def page_of(df: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:
-    """Rows ``offset``..``offset + n`` in an order that is unique; exact at any depth."""
+    """Rows ``offset``..``offset + n`` in ascending ``order``, which must be unique; exact at any depth.
+
+    Far down, only the order columns are sorted and stored, to find where the page begins; the
+    wide rows are then filtered from there on.
+    """
     if offset + n <= TOP_K_DEPTH:
         return df.orderBy(*order).offset(offset).limit(n)
-    numbered = assign_ids(df, order, 0, "_row")
-    return numbered.where(F.col("_row").between(offset, offset + n - 1)).drop("_row").orderBy(*order)
+    keys = assign_ids(df.select(*order), order, 0, "_row")
+    begin = keys.where(F.col("_row") == offset).drop("_row").first()
+    if begin is None:
+        return df.limit(0)
+    return df.where(_not_before(order, list(begin))).orderBy(*order).limit(n)
+
+
+def _not_before(order: list[str], values: list) -> Column:
+    """True for rows at or behind ``values``, where NULL comes first."""
+    at = F.lit(True)
+    for name, value in reversed(list(zip(order, values, strict=True))):
+        behind = F.col(name).isNotNull() if value is None else F.coalesce(F.col(name) > F.lit(value), F.lit(False))
+        at = behind | (F.col(name).eqNullSafe(F.lit(value)) & at)
+    return at
 
 
 def inventory_page(

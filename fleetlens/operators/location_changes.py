@@ -10,6 +10,8 @@ whoever takes a room would leave it again. In each room the first to ask gets it
 ask after that one left, and so on; jumps of doubled length find all of them in a few steps, however
 many ask for one room. If the answers for the moves come out as assumed, they are those of going one
 by one. If not, the next pass assumes the new ones; the earliest wrong answer is right from then on.
+A move that turns out to be refused does not leave its old room either, so whoever got that room by
+it is refused too, and so on; jumps of doubled length follow such a chain to its end within one pass.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
         asks = takes.where("_seq = 1").select(*_ROOM, "command_ts", "command_id", "kind", "_ok")
         asked = asks.select(*_ROOM).distinct()
         here = bystanders.join(asked, _ROOM, "left_semi").withColumn("_leave", F.lit(None).cast(takes.schema["_leave"].dataType))
-        winners = _winners(takes.unionByName(here, allowMissingColumns=True), asks)
+        winners, onward = _winners(takes.unionByName(here, allowMissingColumns=True), asks)
 
         judged_asks = asks.join(winners.withColumn("_won", F.lit(True)), "command_id", "left").select(
             "command_id", "kind", F.coalesce("_won", F.lit(False)).alias("_ok"), F.col("_ok").alias("_was")
@@ -147,43 +149,59 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
         # Whether a CREATE got its room changes nothing for the path of any location.
         if answers.where(F.col("kind") == UPDATE).where("_ok <> _was").isEmpty():
             return answers.select("command_id", "_ok")
-        flagged = events.join(answers.select("command_id", "_ok"), "command_id").unionByName(starts)
+        stuck = _reached(answers.where((F.col("kind") == UPDATE) & F.col("_was") & ~F.col("_ok")).select("command_id"), onward)
+        stuck = stored(stuck.distinct().withColumn("_stuck", F.lit(True)), "stuck")
+        assumed = join_checked(answers.select("command_id", "_ok"), stuck, ["command_id"], "left", ["command_id"])
+        assumed = assumed.select("command_id", (F.col("_ok") & F.col("_stuck").isNull()).alias("_ok"))
+        flagged = events.join(assumed, "command_id").unionByName(starts)
 
 
-def _winners(takes: DataFrame, asks: DataFrame) -> DataFrame:
-    """command_id of every ask that finds its room empty, given when each taker would leave."""
+def _reached(found: DataFrame, jumps: DataFrame) -> DataFrame:
+    """command_id of all commands that a chain of ``jumps`` (command_id, _to) leads to, the first ones included.
+
+    Each command has at most one jump, to a later one. What is found grows by jumps of doubled length.
+    """
+    while not jumps.isEmpty():
+        # found holds the first 2^k commands of each chain, and a jump passes over 2^k of them
+        more = found.join(jumps, "command_id").select(F.col("_to").alias("command_id"))
+        found = stored(found.unionByName(more), "found")
+        onward = jumps.select(F.col("command_id").alias("_to"), F.col("_to").alias("_then"))
+        jumps = stored(
+            join_checked(jumps, onward, ["_to"], "inner", ["command_id"]).select("command_id", F.col("_then").alias("_to")),
+            "jumps",
+        )
+    return found
+
+
+def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """command_id of every ask that finds its room empty, given when each taker would leave.
+
+    Also the jumps from a move (command_id) to the first ask (_to) for the room that it leaves.
+    """
     first = takes.groupBy(*_ROOM).agg(
         F.min_by(F.struct("_seq", "command_id"), F.struct("_seq", "command_ts", "command_id")).alias("first")
     )
     # For each taker, the first ask for the same room after it left.
     ask_marks = asks.select(
         *_ROOM, "command_ts", "command_id", F.lit(0).alias("_mark"), F.lit(None).cast("int").alias("_seq"),
-        F.lit(None).cast("long").alias("_by"),
+        F.lit(None).cast("long").alias("_by"), F.lit(None).cast("long").alias("_move"),
     )
     leave_marks = takes.where("_leave IS NOT NULL").select(
         *_ROOM, F.col("_leave.command_ts").alias("command_ts"), F.col("_leave.command_id").alias("command_id"),
-        F.lit(1).alias("_mark"), "_seq", F.col("command_id").alias("_by"),
+        F.lit(1).alias("_mark"), "_seq", F.col("command_id").alias("_by"), F.col("_leave.command_id").alias("_move"),
     )
     line = cut_pieces(
         ask_marks.unionByName(leave_marks), [*_ROOM, "command_ts", "command_id", "_mark", "_seq", "_by"]
     )
     nexts = running_last(line, _ROOM, {"_next": F.when(F.col("_mark") == 0, F.col("command_id"))}, backwards=True)
-    nexts = stored(nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next"), "nexts")
+    nexts = stored(nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next", "_move"), "nexts")
 
     found = first.where("first._seq = 1").select(F.col("first.command_id").alias("command_id")).unionByName(
         nexts.where("_seq = 0").select(F.col("_next").alias("command_id"))
     )
     jumps = nexts.where("_seq = 1").select(F.col("_by").alias("command_id"), F.col("_next").alias("_to"))
-    while not jumps.isEmpty():
-        # found holds the first 2^k winners of each room, and a jump passes over 2^k of them
-        more = found.join(jumps, "command_id").select(F.col("_to").alias("command_id"))
-        found = stored(found.unionByName(more), "found")
-        onward = jumps.select(F.col("command_id").alias("_to"), F.col("_to").alias("_then"))
-        jumps = stored(
-            join_checked(jumps, onward, ["_to"], "inner", ["command_id"]).select("command_id", F.col("_then").alias("_to")),
-            "jumps",
-        )
-    return found
+    onward = nexts.select(F.col("_move").alias("command_id"), F.col("_next").alias("_to")).distinct()
+    return _reached(found, jumps), onward
 
 
 def apply_location_changes(

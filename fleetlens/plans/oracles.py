@@ -243,8 +243,8 @@ _add("replace_table", "SELECT * FROM inventory WHERE is_loaner", "inventory")
 _add(
     "append_audit",
     f"""
-SELECT * EXCLUDE (at) REPLACE (row_number() OVER (ORDER BY action_type = 'UPDATE', at, audit_id) AS audit_id, at AS changed_at)
-FROM (SELECT *, CASE WHEN action_type = 'UPDATE' AND audit_id % 2 <> 0 THEN {AS_OF_SQL} ELSE changed_at END AS at FROM audit_log) stamped""",
+SELECT * EXCLUDE (stamp) REPLACE (row_number() OVER (ORDER BY action_type = 'UPDATE', stamp, audit_id) AS audit_id, stamp AS changed_at)
+FROM (SELECT *, CASE WHEN action_type = 'UPDATE' AND audit_id % 2 <> 0 THEN {AS_OF_SQL} ELSE changed_at END AS stamp FROM audit_log) stamped""",
     "audit_log",
 )
 _add("insert_select_distinct", "SELECT DISTINCT site_name, room_number, room_name FROM inventory", "inventory")

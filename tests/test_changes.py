@@ -302,6 +302,31 @@ def test_one_room_changes_hands_many_times(spark, monkeypatch):
     assert len(passes) < 12
 
 
+@pytest.mark.parametrize("chain", [8, 64])
+def test_chain_of_refused_moves(spark, monkeypatch, chain):
+    """Everyone moves one door down, and the last door is taken: all stay, found out in a few passes."""
+    locs = [(n, "S", f"R{n}", "x", "Other") for n in range(1, chain + 2)]
+    cmds = [
+        dict(
+            command_id=clock, command_ts=START + timedelta(minutes=clock), kind="UPDATE", location_id=chain + 1 - clock,
+            site_name=None, room_number=f"R{chain + 2 - clock}", room_name=None, room_type=None, given=["room_number"], changed_by="ann",
+        )
+        for clock in range(1, chain + 1)
+    ]
+    passes = []
+    inner = location_changes._winners
+    monkeypatch.setattr(location_changes, "_winners", lambda *a: passes.append(1) or inner(*a))
+    names = schemas.LOCATION_COMMANDS.fieldNames()
+    new, _, rejected = apply_location_changes(
+        spark.createDataFrame(locs, schemas.LOCATIONS),
+        inventory(spark, [(1, "T", False, 1)]),
+        spark.createDataFrame([tuple(c[n] for n in names) for c in cmds], schemas.LOCATION_COMMANDS),
+    )
+    assert {r.command_id: r.reason for r in rejected.collect()} == dict.fromkeys(range(1, chain + 1), EXISTS)
+    assert sorted(map(tuple, new.collect())) == sorted(locs)
+    assert len(passes) <= 4
+
+
 # --- toggles -------------------------------------------------------------------------------------
 
 
