@@ -9,17 +9,22 @@ A CHECKIN names a device, which returns everything open on it, or a stored loan
 which returns that loan. A device with several stored open loans is in again once all of them came
 back one by one or a CHECKIN named the device; these first returns are settled before the rule
 above takes over.
+
+With ``ids_from_commands`` a new loan has the id of the command that makes it, so a CHECKIN can name
+a loan made earlier in the same batch, and it makes no difference where a log is cut into batches.
+Between two returns of the whole device, the first CHECKOUT counts; a loan that is then named makes
+room for the next CHECKOUT behind that, and so on. Jumps of doubled length follow these chains.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import is_blank
 from fleetlens.operators.history import log_rows
 from fleetlens.operators.loans import open_loans
-from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last
+from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, reached, running_last
 from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 from fleetlens.sources.tables import next_id
@@ -52,12 +57,19 @@ def _well_formed(cmds: DataFrame, require_due: bool) -> DataFrame:
     return cmds.select("*", reason.alias("reason"), named, F.struct("command_ts", "command_id").alias("_when"))
 
 
+def _batch_loans(cmds: DataFrame, ids_from_commands: bool) -> DataFrame:
+    """_loan and _device of the loans that commands of the batch ask for, if those can be named."""
+    made = cmds.where(F.col("kind") == OUT) if ids_from_commands else cmds.where("false")
+    return made.select(F.col("command_id").alias("_loan"), F.col("inventory_id").alias("_device"))
+
+
 def _device_facts(cmds: DataFrame, inv: DataFrame, opened: DataFrame) -> DataFrame:
     """One row per device named in the batch: its tag, its flag, and when its stored loans are back.
 
     ``_back`` is the moment the device is first in again, NULL if it never is or if it starts in.
     """
-    first_plain_in = F.min(F.when((F.col("kind") == IN) & F.col("_loan").isNull(), F.col("_when")))
+    of_device = (F.col("kind") == IN) & F.col("_loan").isNull() & F.col("_made").isNull()
+    first_plain_in = F.min(F.when(of_device, F.col("_when")))
     asked = stored(
         cmds.groupBy("inventory_id").agg(first_plain_in.alias("_first_in")).where("inventory_id IS NOT NULL"),
         "asked",
@@ -88,14 +100,47 @@ def _device_facts(cmds: DataFrame, inv: DataFrame, opened: DataFrame) -> DataFra
     )
 
 
+def _decide_by_loan(line: DataFrame, still_out: Column) -> DataFrame:
+    """Add ``_ok`` where some check-ins name a loan of the batch (``_made``, the command that makes it)."""
+    out = (F.col("kind") == OUT) & ~still_out
+    whole = (F.col("kind") == IN) & F.col("_made").isNull()
+    event = F.when(out | whole, F.struct((F.col("kind") == OUT).alias("out"), "command_id"))
+    line = running_last(line, ["inventory_id"], {"_prev": event})
+    line = running_last(line, ["inventory_id"], {"_next": event, "_whole": F.when(whole, F.col("_when"))}, backwards=True)
+    line = stored(line, "line")
+
+    # The first command that names a loan before the whole device comes back ends it.
+    made = line.where(out).select(F.col("command_id").alias("_made"), F.col("_when").alias("_from"), F.col("_whole").alias("_until"))
+    names = line.where("_made IS NOT NULL").select("_made", "_when", "command_id", F.col("_next").alias("_then"))
+    inside = (F.col("_when") > F.col("_from")) & (F.col("_until").isNull() | (F.col("_when") < F.col("_until")))
+    ends = names.join(made, "_made").where(inside).groupBy("_made").agg(F.min_by(F.struct("command_id", "_then"), "_when").alias("_end"))
+    ends = stored(ends, "ends")
+    jumps = ends.where("_end._then.out").select(F.col("_made").alias("command_id"), F.col("_end._then.command_id").alias("_to"))
+    heads = line.where(out & ~F.coalesce(F.col("_prev.out"), F.lit(False))).select("command_id")
+    taken = stored(reached(heads, stored(jumps, "jumps")).distinct(), "taken")
+
+    ended = taken.join(ends.withColumnRenamed("_made", "command_id"), "command_id").select(F.col("_end.command_id").alias("command_id"))
+    unnamed = taken.join(ends.select(F.col("_made").alias("command_id")), "command_id", "left_anti")
+    whole_back = line.where(out & F.col("_whole").isNotNull()).join(unnamed, "command_id", "left_semi")
+    whole_back = whole_back.select(F.col("_whole.command_id").alias("command_id"))
+    good = taken.unionByName(ended).unionByName(whole_back).distinct().withColumn("_good", F.lit(True))
+    decided = join_checked(line, stored(good, "good"), ["command_id"], "left", ["_when"])
+    return decided.withColumn("_ok", F.coalesce("_good", F.lit(False)) | (still_out & whole)).drop("_prev", "_next", "_whole", "_good")
+
+
 def apply_loan_commands(
     inv: DataFrame,
     loans: DataFrame,
     cmds: DataFrame,
     require_due: bool = False,
     first_id: int | None = None,
+    ids_from_commands: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New loans table, log rows and rejected commands. ``first_id`` numbers the new loans."""
+    """New loans table, log rows and rejected commands.
+
+    ``first_id`` numbers the new loans; with ``ids_from_commands`` they are numbered by their
+    commands, whose ids must then differ from those of all loans.
+    """
     opened = open_loans(loans)
     checked = _well_formed(cmds, require_due)
     malformed = checked.where("reason IS NOT NULL").select("command_id", "reason")
@@ -105,12 +150,19 @@ def apply_loan_commands(
     by_name = fine.where("_loan IS NOT NULL")
     named = by_name.groupBy("_loan").agg(F.min("_when").alias("_first_named"))
     named = stored(
-        named.join(opened.select(F.col("checkout_id").alias("_loan"), "inventory_id"), "_loan", "left"), "named"
-    )
+        named.join(opened.select(F.col("checkout_id").alias("_loan"), "inventory_id"), "_loan", "left")
+        .join(_batch_loans(fine, ids_from_commands), "_loan", "left")
+        .select(
+            "_loan", "_first_named", F.coalesce("inventory_id", "_device").alias("inventory_id"),
+            F.when(F.col("inventory_id").isNull() & F.col("_device").isNotNull(), F.col("_loan")).alias("_made"),
+        ),
+        "named",
+    )
     by_loan = join_checked(by_name.drop("inventory_id"), named, ["_loan"], "left", ["command_id"])
+    by_loan = by_loan.withColumn("_loan", F.when(F.col("_made").isNull(), F.col("_loan")))
     unknown_loan = by_loan.where("inventory_id IS NULL").select("command_id", F.lit(NOT_OUT).alias("reason"))
     placed = stored(
-        fine.where("_loan IS NULL").unionByName(by_loan.where("inventory_id IS NOT NULL"), allowMissingColumns=True),
+        fine.where("_loan IS NULL").withColumn("_made", F.lit(None).cast("long")).unionByName(by_loan.where("inventory_id IS NOT NULL"), allowMissingColumns=True),
         "placed",
     )
     facts = stored(_device_facts(placed, inv, opened), "devices")
@@ -134,12 +186,15 @@ def apply_loan_commands(
 
     # What is left follows the rule: accepted if the state before is the opposite one.
     pieces = cut_pieces(rows.where("_settled IS NULL"), ["inventory_id", "command_ts", "command_id"])
-    ordered = running_last(pieces, ["inventory_id"], {"_before": F.col("kind")})
     # Before its stored loans are back a device is out, whatever commands came first.
-    state = F.coalesce("_before", F.when(F.col("_open") > 0, OUT).otherwise(IN))
-    still_out = (F.col("_open") > 0) & (F.col("_back").isNull() | (F.col("_when") <= F.col("_back")))
-    accepted = F.when(still_out, F.col("kind") == IN).otherwise(F.col("kind") != state)
-    decided = stored(ordered.withColumn("_ok", accepted), "decided")
+    still_out = F.coalesce((F.col("_open") > 0) & (F.col("_back").isNull() | (F.col("_when") <= F.col("_back"))), F.lit(False))
+    if ids_from_commands:
+        decided = _decide_by_loan(pieces, still_out)
+    else:
+        ordered = running_last(pieces, ["inventory_id"], {"_before": F.col("kind")})
+        state = F.coalesce("_before", F.when(F.col("_open") > 0, OUT).otherwise(IN))
+        decided = ordered.withColumn("_ok", F.when(still_out, F.col("kind") == IN).otherwise(F.col("kind") != state))
+    decided = stored(decided, "decided")
     state_rejects = decided.where("NOT _ok").select(
         "command_id", F.when(F.col("kind") == OUT, NOT_AVAILABLE).otherwise(NOT_OUT).alias("reason")
     )
@@ -150,16 +205,16 @@ def apply_loan_commands(
         {"_next": F.when(F.col("kind") == IN, F.col("command_ts"))}, backwards=True,
     )
     taken = plain(spans).where(F.col("kind") == OUT)
-    if first_id is None:
-        first_id = next_id(loans, "checkout_id")
-    fresh = assign_ids(
-        taken.select(
-            "command_ts", "command_id", "inventory_id", "user_name", F.col("command_ts").alias("checkout_date"),
-            "expected_return_date", F.col("_next").alias("checkin_date"), F.col("notes").alias("checkout_notes"),
-            "asset_tag",
-        ),
-        ["command_ts", "command_id"], first_id, "checkout_id",
+    fresh = taken.select(
+        "command_ts", "command_id", "inventory_id", "user_name", F.col("command_ts").alias("checkout_date"),
+        "expected_return_date", F.col("_next").alias("checkin_date"), F.col("notes").alias("checkout_notes"),
+        "asset_tag",
     )
+    if ids_from_commands:
+        fresh = fresh.withColumn("checkout_id", F.col("command_id"))
+    else:
+        first_id = next_id(loans, "checkout_id") if first_id is None else first_id
+        fresh = assign_ids(fresh, ["command_ts", "command_id"], first_id, "checkout_id")
 
     # Stored loans: returned by name, or with the device by its first plain CHECKIN.
     one_by_one = rows.where(good_return).select(F.col("_loan").alias("checkout_id"), F.col("command_ts").alias("_named_ts"))

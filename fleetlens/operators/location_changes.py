@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import any_of, is_blank, location_label, location_ref
 from fleetlens.operators.history import log_rows
-from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, running_last
+from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, reached, running_last
 from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
@@ -149,30 +149,13 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
         # Whether a CREATE got its room changes nothing for the path of any location.
         if answers.where(F.col("kind") == UPDATE).where("_ok <> _was").isEmpty():
             return answers.select("command_id", "_ok")
-        stuck = _reached(answers.where((F.col("kind") == UPDATE) & F.col("_was") & ~F.col("_ok")).select("command_id"), onward)
+        stuck = reached(answers.where((F.col("kind") == UPDATE) & F.col("_was") & ~F.col("_ok")).select("command_id"), onward)
         stuck = stored(stuck.distinct().withColumn("_stuck", F.lit(True)), "stuck")
         assumed = join_checked(answers.select("command_id", "_ok"), stuck, ["command_id"], "left", ["command_id"])
         assumed = assumed.select("command_id", (F.col("_ok") & F.col("_stuck").isNull()).alias("_ok"))
         flagged = events.join(assumed, "command_id").unionByName(starts)
 
 
-def _reached(found: DataFrame, jumps: DataFrame) -> DataFrame:
-    """command_id of all commands that a chain of ``jumps`` (command_id, _to) leads to, the first ones included.
-
-    Each command has at most one jump, to a later one. What is found grows by jumps of doubled length.
-    """
-    while not jumps.isEmpty():
-        # found holds the first 2^k commands of each chain, and a jump passes over 2^k of them
-        more = found.join(jumps, "command_id").select(F.col("_to").alias("command_id"))
-        found = stored(found.unionByName(more), "found")
-        onward = jumps.select(F.col("command_id").alias("_to"), F.col("_to").alias("_then"))
-        jumps = stored(
-            join_checked(jumps, onward, ["_to"], "inner", ["command_id"]).select("command_id", F.col("_then").alias("_to")),
-            "jumps",
-        )
-    return found
-
-
 def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """command_id of every ask that finds its room empty, given when each taker would leave.
 
@@ -201,7 +184,7 @@ def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     jumps = nexts.where("_seq = 1").select(F.col("_by").alias("command_id"), F.col("_next").alias("_to"))
     onward = nexts.select(F.col("_move").alias("command_id"), F.col("_next").alias("_to")).distinct()
-    return _reached(found, jumps), onward
+    return reached(found, jumps), onward
 
 
 def apply_location_changes(

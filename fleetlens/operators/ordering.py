@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.skew import join_checked
 from fleetlens.sources.storage import stored
 
 PIECE, AT = "_piece", "_at"
@@ -146,3 +147,20 @@ def _carried(rows: DataFrame, names: list[str], how: str, backwards: bool) -> Da
         F.lag("_tail").over(line).alias("_carry_key"),
         *[F.lag(f"_t_{n}").over(line).alias(f"_carry_{n}") for n in names],
     )
+
+
+def reached(found: DataFrame, jumps: DataFrame) -> DataFrame:
+    """command_id of all commands that a chain of ``jumps`` (command_id, _to) leads to, the first ones included.
+
+    Each command has at most one jump, to a later one. What is found grows by jumps of doubled length.
+    """
+    while not jumps.isEmpty():
+        # found holds the first 2^k commands of each chain, and a jump passes over 2^k of them
+        more = found.join(jumps, "command_id").select(F.col("_to").alias("command_id"))
+        found = stored(found.unionByName(more), "found")
+        onward = jumps.select(F.col("command_id").alias("_to"), F.col("_to").alias("_then"))
+        jumps = stored(
+            join_checked(jumps, onward, ["_to"], "inner", ["command_id"]).select("command_id", F.col("_then").alias("_to")),
+            "jumps",
+        )
+    return found

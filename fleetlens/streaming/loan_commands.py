@@ -24,13 +24,14 @@ def start_state(inv: DataFrame, loans: DataFrame, state_dir: str) -> None:
 
 
 def loan_command_stream(
-    spark: SparkSession, in_dir: str, state_dir: str, files_per_batch: int | None = None
+    spark: SparkSession, in_dir: str, state_dir: str, files_per_batch: int | None = None, ids_from_commands: bool = False
 ) -> StreamingQuery:
     """Run all waiting command files against the state under ``state_dir``.
 
     A batch reads the open loans its predecessor left and writes its own folders, so a repeated
     batch replaces only its own output. Closed loans are written once and never read again.
-    Commands of one batch are ordered by time; a later batch finds the state already moved.
+    Commands of one batch are ordered by time; a later batch finds the state already moved. With
+    ``ids_from_commands`` check-ins may name loans of the same batch by their command.
     """
     inventory = spark.read.parquet(f"{state_dir}/inventory")
 
@@ -39,7 +40,9 @@ def loan_command_stream(
         before = f"batch={batch - 1}"
         opened = session.read.schema(LOANER_CHECKOUTS).parquet(f"{state_dir}/open/{before}")
         next_id = session.read.schema(_NEXT_ID).parquet(f"{state_dir}/ids/{before}").first()[0]
-        loans, audit, rejected = apply_loan_commands(inventory, opened, commands, first_id=next_id)
+        loans, audit, rejected = apply_loan_commands(
+            inventory, opened, commands, first_id=next_id, ids_from_commands=ids_from_commands
+        )
 
         def put(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{state_dir}/{name}/batch={batch}")

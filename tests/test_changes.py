@@ -24,6 +24,7 @@ from fleetlens.operators.location_changes import (
     apply_location_changes,
 )
 from fleetlens.operators.toggles import toggle_loaner
+from fleetlens.sources.storage import stored
 
 START = datetime(2024, 1, 1)
 FIELDS = schemas.LOCATION_FIELDS
@@ -150,6 +151,67 @@ def test_one_batch_equals_two(spark):
     assert rejected.count() == rejected1.count() + rejected2.count()
 
 
+def with_handles(cmds):
+    """Half of the check-ins name a loan by the command that makes it, mostly one of the same device."""
+    rng = random.Random(3)
+    outs = {}
+    for c in cmds:
+        if c[2] == "CHECKOUT" and c[3]:
+            outs.setdefault(c[3], []).append(c[0])
+    every, named = [i for ids in outs.values() for i in ids], []
+    for c in cmds:
+        if c[2] == "CHECKIN" and c[4] is None and c[3] and rng.random() < 0.6:
+            c = (*c[:3], None, rng.choice(outs.get(c[3], every) if rng.random() < 0.9 else every), *c[5:])
+        named.append(c)
+    return named
+
+
+def simulate_handles(inv, loans, cmds):
+    tags, flags = {i: t for i, t, _l, _p in inv}, {i: l for i, _t, l, _p in inv}
+    state, rejected = [dict(zip(schemas.LOANER_CHECKOUTS.fieldNames(), l)) for l in loans], {}
+    for cid, ts, kind, device, loan, user, due, notes in sorted(cmds, key=lambda c: (c[1], c[0])):
+        away = [l for l in state if l["checkin_date"] is None and l["inventory_id"] in tags]
+        if kind == "CHECKOUT":
+            if not device or not user:
+                rejected[cid] = MISSING_FIELDS
+            elif not flags.get(device) or any(l["inventory_id"] == device for l in away):
+                rejected[cid] = NOT_AVAILABLE
+            else:
+                state.append(dict(zip(schemas.LOANER_CHECKOUTS.fieldNames(), (cid, device, user, ts, due, None, notes))))
+            continue
+        if not loan and not device:
+            rejected[cid] = MISSING_CHECKOUT
+            continue
+        hits = [l for l in away if (l["checkout_id"] == loan if loan else l["inventory_id"] == device)]
+        if not hits:
+            rejected[cid] = NOT_OUT
+        for l in hits:
+            l["checkin_date"] = ts
+    return [tuple(l.values()) for l in state], rejected
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_loans_named_by_their_commands(spark, seed):
+    """One by one, as one batch, and cut into three batches anywhere: always the same."""
+    inv, loans, cmds = random_loans(seed)
+    shift = 100_000
+    cmds = with_handles([(c[0] + shift, *c[1:]) for c in cmds if c[2] in ("CHECKOUT", "CHECKIN")])
+    want, want_rejected = simulate_handles(inv, loans, cmds)
+    new, _, rejected = run_loans(spark, inv, loans, cmds, ids_from_commands=True)
+    assert {r.command_id: r.reason for r in rejected.collect()} == want_rejected
+    assert sorted(map(repr, map(tuple, new.collect()))) == sorted(map(repr, want))
+    assert sum(c[4] is not None and c[4] > shift and c[0] not in want_rejected for c in cmds) > 3
+    if seed == 1:
+        cmds.sort(key=lambda c: (c[1], c[0]))
+        state, refused = spark.createDataFrame(loans, schemas.LOANER_CHECKOUTS), {}
+        for a, b in ((0, len(cmds) // 3), (len(cmds) // 3, len(cmds) // 2), (len(cmds) // 2, len(cmds))):
+            some = spark.createDataFrame(cmds[a:b], schemas.LOAN_COMMANDS)
+            state, _, rejected = apply_loan_commands(inventory(spark, inv), stored(state), some, ids_from_commands=True)
+            refused |= {r.command_id: r.reason for r in rejected.collect()}
+        assert refused == want_rejected
+        assert sorted(map(repr, map(tuple, state.collect()))) == sorted(map(repr, want))
+
+
 def test_command_order_of_one_device(spark):
     inv = [(1, "T1", True, None)]
     kinds = ["CHECKOUT", "CHECKOUT", "CHECKIN", "CHECKIN", "CHECKOUT"]
