@@ -78,3 +78,15 @@ def shingle_lists(texts: list[bytes], size: int) -> list[np.ndarray]:
             out.append(line[:0])
         at += n
     return out
+
+
+def to_bytes(shingles: np.ndarray) -> bytes:
+    """The high 40 bits of each shingle, five bytes each."""
+    return (shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def to_numbers(raw: bytes) -> np.ndarray:
+    """What ``to_bytes`` has kept of each shingle, as numbers."""
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
