@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
@@ -26,13 +27,14 @@ END_ID = 1
 #: In combinations of three, the middle length takes such a share of what the longest leaves.
 SHARES = (2, 3, 4, 6)
 ROUNDS = 400
-#: Words whose ids a worker remembers, and the longest word (bytes) it does.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Words whose ids a worker remembers, and the longest word (characters) it does.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 48
 #: Bytes of text that are split into words at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 4 << 20
 
-#: Letters below this code point keep their form and their place under the tokenizer's normalizer.
-PLAIN_BELOW = "\u0130"
+#: Words of Latin letters up to U+00FF, which the tokenizer's normalizer keeps but for their case,
+#: with full stops and commas behind them.
+PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,]{0,8})$"
 LINE = 256
 
 _known: dict[str, WordEncoder] = {}
@@ -41,9 +43,9 @@ _known: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of texts under a tokenizer whose tokens never span white space, word by word.
 
-    A repeated word is looked up instead of encoded again. A word of plain letters, with or
+    Each different word is encoded once for a portion of texts. A word of plain letters, with or
     without full stops and commas behind it, skips the tokenizer's normalizer, which would only
-    lower its case. Ids are little-endian unsigned 16-bit.
+    lower its case, and is remembered. Ids are little-endian unsigned 16-bit.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,7 +58,7 @@ class WordEncoder:
         self.letters = Tokenizer(self.whole.model)
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
-        self.seen: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     @staticmethod
     def at(path: str) -> WordEncoder:
@@ -70,51 +72,58 @@ class WordEncoder:
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of plain letters: each ends with the only token of it that ends a word."""
-        lines = [" ".join(words[i : i + LINE]).lower() for i in range(0, len(words), LINE)]
+        lines = [" ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
         ids = np.array([i for e in self.letters.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u2")
         raw, at = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()]
         if len(at) != len(words) + 1:
             raise ValueError("words and word ends differ")
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain, other = [], []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(".,")
-            if core.isalpha() and max(core) < PLAIN_BELOW and len(w) <= LONGEST_REMEMBERED:
-                plain.append((w, core, text[len(core) :]))
-            else:
-                other.append((w, text))
-        found = dict(zip([w for w, _ in other], self._any([t for _, t in other]), strict=True))
-        tails = sorted({t for _, _, t in plain})
-        tail = dict(zip(tails, self._any(tails), strict=True))
-        found.update((w, ids + tail[t]) for (w, _, t), ids in zip(plain, self._plain([c for _, c, _ in plain]), strict=True))
-        return found
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen = self.seen
-        found = self._new([*{w for line in words for w in line if w not in seen}])
-        seen.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_REMEMBERED)
-        long = {w: ids for w, ids in found.items() if len(w) > LONGEST_REMEMBERED}
-        find = (lambda w: long.get(w) if w in long else seen[w]) if long else seen.__getitem__
-        return [b"".join(map(find, line)) for line in words]
-
-
-def portions(texts: list[str | None], most: int = AT_ONCE) -> Iterator[list[bytes]]:
-    """The texts as bytes (null: empty), in lists of about ``most`` bytes."""
-    some, size = [], 0
-    for text in texts:
-        some.append((text or "").encode())
-        size += len(some[-1])
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+    def _ids(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words."""
+        parts = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(parts)
+        whole = iter(self._any(words.filter(pc.invert(plain)).to_pylist()))
+        # Case makes no difference, but each letter has its own small form.
+        low = pc.utf8_lower(parts.field("core")).filter(plain).dictionary_encode()
+        tail = parts.field("tail").filter(plain).dictionary_encode()
+        cores = self._remembered(low.dictionary.to_pylist())
+        tails = self._any(tail.dictionary.to_pylist())
+        both = iter([cores[i] + tails[j] for i, j in zip(low.indices.to_pylist(), tail.indices.to_pylist(), strict=True)])
+        return [next(both) if p else next(whole) for p in plain.to_pylist()]
+
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        if len(self.cores) > REMEMBERED:
+            self.cores.clear()
+        fresh = [w for w in words if w not in self.cores]
+        found = dict(zip(fresh, self._plain(fresh), strict=True))
+        self.cores.update((w, i) for w, i in found.items() if len(w) <= LONGEST_REMEMBERED)
+        return [found[w] if w in found else self.cores[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text (null: none) as binary."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        each = self._ids(coded.dictionary)
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 2
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), "<u2")
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.append(0, np.cumsum(lengths))
+        places = np.arange(ends[-1], dtype=np.int32) + np.repeat((starts[at] - ends[:-1]).astype(np.int32), lengths)
+        borders = (ends[words.offsets.to_numpy() - words.offsets[0].as_py()] * 2).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(flat[places].tobytes())])
+
+
+def portions(texts: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
+    """Slices of the texts with about ``most`` bytes each."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -123,9 +132,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.at(path)
         for batch in batches:
-            ids = [i for some in portions(batch["text"].to_pylist()) for i in encoder.encode(some)]
-            tokens = pa.array([len(i) // 2 + 1 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], tokens, pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            ids = pa.concat_arrays([encoder.encode(some) for some in portions(batch["text"])])
+            tokens = pc.add(pc.divide(pc.binary_length(ids), 2), 1).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], tokens, ids], ["doc_id", "doc_tokens", "ids"])
+            pa.default_memory_pool().release_unused()
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = coded.mapInArrow(encode, "doc_id long, doc_tokens long, ids binary")
@@ -187,10 +197,11 @@ def plan_slots(histogram: np.ndarray, length: int) -> tuple[int, np.ndarray]:
     return sequence, np.array(sorted(slots), np.int64).reshape(-1, 5)
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) in sequences of at most ``length`` tokens.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array). Every
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids
+    (array). Every
     document ends with ``END_ID``; a null or empty text consists of that id alone. Every sequence
     but the last of all is full. Repeated rows, and rows without id, are packed like any other. An
     empty table gives an empty result. Other columns are not read.
@@ -229,24 +240,31 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list[int]] = [[] for _ in PIECE_COLUMNS]
+            lists: list[np.ndarray] = []
             for r in batch.to_pylist():
                 raw = np.frombuffer(r["ids"], "<u2")
                 ids = np.empty(len(raw) + 1, "<u4")
                 ids[:-1], ids[-1] = raw, END_ID
                 for start, size, sequence, offset in _pieces(r, length, after_plan, after_full):
                     own = ids[start : start + size]
-                    for column, value in zip(out, (r["doc_id"], start, size, zlib.crc32(own.tobytes()), len(ids), sequence, offset, own), strict=True):
+                    facts = (r["doc_id"], start, size, zlib.crc32(own.tobytes()), len(ids), sequence, offset)
+                    for column, value in zip(out, facts, strict=True):
                         column.append(value)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, out[7])]).astype(np.int32), np.concatenate(out[7]).astype(np.int32)) if out[7] else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), lists], PIECE_COLUMNS)
+                    if with_ids:
+                        lists.append(own)
+            columns = [pa.array(c, pa.int64()) for c in out]
+            if with_ids:
+                ends, flat = np.cumsum([0, *map(len, lists)]), np.concatenate([np.zeros(0, "<u4"), *lists])
+                columns.append(pa.ListArray.from_arrays(ends.astype(np.int32), flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = tokens.select("row", "doc_id", "ids").join(plan, "row").drop("row")
-    return joined.mapInArrow(cut, PIECE_SCHEMA)
+    names = PIECE_COLUMNS + ["ids"] * with_ids
+    return joined.mapInArrow(cut, ", ".join(f"`{c}` {'array<int>' if c == 'ids' else 'long'}" for c in names))
 
 
-PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-PIECE_SCHEMA = ", ".join(f"`{c}` {'array<int>' if c == 'ids' else 'long'}" for c in PIECE_COLUMNS)
+PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def _pieces(row: dict, length: int, after_plan: int, after_full: int) -> Iterator[tuple[int, int, int, int]]:

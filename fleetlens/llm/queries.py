@@ -57,8 +57,8 @@ def op7_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
-    return placed.drop("ids")
+    path = public_tokenizers.path(PACKING_TOKENIZER)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
