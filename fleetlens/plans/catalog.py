@@ -693,6 +693,22 @@ def loan_returns_rejected(t):
     return _loan_returns(t)[2]
 
 
+def _loan_handles(t):
+    """All devices may be lent here, so that most checkouts have something to do."""
+    lent = t.inventory.withColumn("is_loaner", F.lit(True))
+    return apply_loan_commands(lent, t.loans, t.derived("loan_handles"), ids_from_commands=True)
+
+
+@query
+def loan_handles_loans(t):
+    return _loan_handles(t)[0]
+
+
+@query
+def loan_handles_rejected(t):
+    return _loan_handles(t)[2]
+
+
 @query
 def toggle_loaner_inventory(t):
     return toggle_loaner(t.inventory, t.derived("toggle_commands"))[0].select("inventory_id", "asset_tag", "is_loaner")

@@ -136,6 +136,15 @@ SELECT event_id AS command_id, ts AS command_ts, 'CHECKIN' AS kind, CAST(NULL AS
        CAST(NULL AS TIMESTAMP) AS expected_return_date, CAST(NULL AS STRING) AS notes
 FROM {events}"""
 
+# Checkouts, and check-ins that name a device or a loan by the command that makes it; twelve commands per device.
+LOAN_HANDLES = """
+SELECT 10000000 + event_id AS command_id, ts AS command_ts, CASE WHEN event_type IN ('click', 'signup') THEN 'CHECKOUT' ELSE 'CHECKIN' END AS kind,
+       CASE WHEN event_type IN ('click', 'signup') OR event_id % 5 = 0 THEN event_id - event_id % 12 + 2 END AS inventory_id,
+       CASE WHEN event_type IN ('click', 'signup') OR event_id % 5 = 0 THEN NULL
+            ELSE 10000000 + event_id - event_id % 12 + user_id % 12 END AS checkout_id,
+       concat('user', user_id) AS user_name, ts + INTERVAL 7 DAY AS expected_return_date, CAST(NULL AS STRING) AS notes
+FROM {events}"""
+
 # Every event moves a room to a number of its own.
 LOCATION_MOVES = """
 SELECT event_id AS command_id, ts AS command_ts, 'UPDATE' AS kind, event_id % 900 + 1 AS location_id,
@@ -156,6 +165,7 @@ NEEDS = {
     "location_commands": (LOCATION_COMMANDS, ["events"]),
     "loan_returns": (LOAN_RETURNS, ["events"]),
     "location_moves": (LOCATION_MOVES, ["events"]),
+    "loan_handles": (LOAN_HANDLES, ["events"]),
 }
 
 

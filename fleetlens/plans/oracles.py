@@ -138,6 +138,41 @@ FROM location_moves m JOIN rooms l USING (location_id)
 WINDOW before AS (PARTITION BY location_id ORDER BY command_ts, command_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
+    # Loans named by their commands, one command of each device after the other. State: NULL in, -1 out by stored
+    # loans, else the command of the loan.
+    "handle_line": (
+        ["loan_handles", "inventory"],
+        """
+SELECT c.*, coalesce(c.inventory_id, m.inventory_id) AS device, i.inventory_id IS NOT NULL AS known,
+       row_number() OVER (PARTITION BY coalesce(c.inventory_id, m.inventory_id) ORDER BY c.command_ts, c.command_id) AS n
+FROM loan_handles c LEFT JOIN (SELECT command_id, inventory_id FROM loan_handles WHERE kind = 'CHECKOUT') m ON c.checkout_id = m.command_id
+LEFT JOIN inventory i ON i.inventory_id = coalesce(c.inventory_id, m.inventory_id)""",
+    ),
+    "handle_steps": (
+        ["handle_line", "open_loans"],
+        """
+SELECT * FROM (
+WITH RECURSIVE walk AS (
+  SELECT device, CAST(0 AS BIGINT) AS n, CASE WHEN device IN (SELECT inventory_id FROM open_loans) THEN -1 END AS state,
+         CAST(NULL AS BIGINT) AS command_id, false AS ok
+  FROM (SELECT DISTINCT device FROM handle_line WHERE known) devices
+  UNION ALL
+  SELECT l.device, l.n,
+         CASE WHEN l.kind = 'CHECKOUT' THEN coalesce(w.state, l.command_id)
+              WHEN l.checkout_id IS NULL OR l.checkout_id = w.state THEN NULL ELSE w.state END,
+         l.command_id,
+         CASE WHEN l.kind = 'CHECKOUT' THEN w.state IS NULL WHEN l.checkout_id IS NULL THEN w.state IS NOT NULL
+              ELSE coalesce(l.checkout_id = w.state, false) END
+  FROM walk w JOIN handle_line l ON l.device = w.device AND l.n = w.n + 1)
+SELECT * FROM walk WHERE n > 0) steps""",
+    ),
+    "handle_ok": (
+        ["handle_steps", "handle_line"],
+        """
+SELECT l.*, lead(l.command_ts) OVER (PARTITION BY l.device ORDER BY l.n) AS until,
+       row_number() OVER (PARTITION BY l.device, l.kind ORDER BY l.n) AS turn
+FROM handle_line l JOIN (SELECT command_id FROM handle_steps WHERE ok) s USING (command_id)""",
+    ),
     # Toggle commands
     "tag_flags": (
         ["inventory"],
@@ -822,6 +857,28 @@ WHERE (was OR kept) AND (NOT was OR NOT kept OR old_value IS DISTINCT FROM new_v
     "located",
 )
 _add("loan_commands_loans", "SELECT * FROM new_loans", "new_loans")
+_add(
+    "loan_handles_loans",
+    """
+SELECT * FROM loans WHERE checkin_date IS NOT NULL
+UNION ALL
+SELECT o.* REPLACE (r.command_ts AS checkin_date) FROM open_loans o
+LEFT JOIN (SELECT device, command_ts FROM handle_ok WHERE kind = 'CHECKIN' AND turn = 1) r ON r.device = o.inventory_id
+UNION ALL
+SELECT command_id, device, user_name, command_ts, expected_return_date, until, notes FROM handle_ok WHERE kind = 'CHECKOUT'""",
+    "loans",
+    "open_loans",
+    "handle_ok",
+)
+_add(
+    "loan_handles_rejected",
+    """
+SELECT command_id, CASE WHEN kind = 'CHECKOUT' THEN 'Item is not available for checkout'
+                        ELSE 'Invalid checkout or already checked in' END AS reason
+FROM loan_handles WHERE command_id NOT IN (SELECT command_id FROM handle_ok)""",
+    "loan_handles",
+    "handle_ok",
+)
 _add("loan_command_stream_loans", "SELECT * FROM new_loans", "new_loans")
 _add(
     "loan_commands_audit",
