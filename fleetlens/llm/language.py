@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.workers import tidy
+
 BUCKETS = 1 << 16
 #: Cost of a change of language, in nats.
 SWITCH = 8.0
@@ -37,7 +39,7 @@ SCRIPTS = [
 ]
 SCRIPT_NAMES = ["other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
 #: Code points (in words of four bytes) that are looked at together.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 _letters: list[np.ndarray] = []
 
@@ -101,6 +103,7 @@ class Model:
     langs: list[str]
     logs: np.ndarray  # bucket x language
     fits: np.ndarray  # script x language
+    usual: int = 0  # the language with the most letters
 
     def emissions(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word x language scores, and which words have any candidate at all."""
@@ -142,7 +145,7 @@ def learn(docs: DataFrame) -> Model:
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # A language has at most BUCKETS + len(SCRIPT_NAMES) rows here.
     table = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
     found = sorted(table.limit(MOST_LANGUAGES + 1).collect())
@@ -155,7 +158,9 @@ def learn(docs: DataFrame) -> Model:
     # Witten-Bell: unseen trigrams share as much as there are different ones.
     total, kinds = grams.sum(axis=0), np.maximum((grams > 0).sum(axis=0), 1)
     logs = np.log((grams + kinds / BUCKETS) / np.maximum(total + kinds, 1)).astype(np.float32)
-    return Model([lang for lang, _, _ in found], logs, scripts > SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+    letters = scripts.sum(axis=0)
+    fits = scripts > SCRIPT_SHARE * np.maximum(letters, 1)
+    return Model([lang for lang, _, _ in found], logs, fits, int(letters.argmax()) if found else 0)
 
 
 def best_paths(scores: np.ndarray, text: np.ndarray, texts: int, switch: float = SWITCH) -> np.ndarray:
@@ -187,12 +192,13 @@ def best_paths(scores: np.ndarray, text: np.ndarray, texts: int, switch: float =
     return path
 
 
-def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+def label_texts(model: Model, texts: list[str | None], always: bool = False) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, share of the letters in it, spans) of each text; spans are (first, end, language).
 
     Places are counted in the lower-cased text. Letters in a script that no learned language has
     form spans of ``und``. The language with the most letters wins, ties go to the smaller name,
-    and ``und`` wins only alone or with more letters than any language.
+    and ``und`` wins only alone or with more letters than any language. With ``always`` every text
+    with a letter gets a language: without a word of any, the most common one with score 0.
     """
     out: list[tuple[str, float, list[tuple[int, int, str]]]] = []
     names, width = [*model.langs, UNKNOWN], len(model.langs)
@@ -204,7 +210,10 @@ def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float,
         else:
             path = np.full(len(words.starts), width)
         votes = np.bincount(words.text * (width + 1) + path, words.letters, len(some) * (width + 1)).reshape(-1, width + 1)
-        won, total = votes.argmax(axis=1), np.maximum(votes.sum(axis=1), 1)
+        total = np.maximum(votes.sum(axis=1), 1)
+        won = votes.argmax(axis=1)
+        if always and width:
+            won = np.where(votes[:, :width].any(axis=1), votes[:, :width].argmax(axis=1), model.usual)
         share = votes[np.arange(len(some)), won] / total
         won = np.where(votes.sum(axis=1) > 0, won, width)
         new = np.flatnonzero(np.append(True, (np.diff(words.text) != 0) | (np.diff(path) != 0))) if len(path) else np.zeros(0, np.int64)
@@ -217,10 +226,11 @@ def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float,
     return out
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, spans: bool = False, always: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and, if wanted, ``spans`` (in place of columns so named).
 
-    A null text, or one without letters, is ``und`` with score 0. Nothing but the text is looked at.
+    A null text, or one without letters, is ``und`` with score 0; so is one in unknown scripts, unless
+    a language is ``always`` wanted. Nothing but the text is looked at.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES fixed tables
@@ -228,14 +238,14 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = label_texts(shared.value, batch["text"].to_pylist())
+            found = label_texts(shared.value, batch["text"].to_pylist(), always)
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             rows = [[dict(zip(("first", "end", "lang"), s, strict=True)) for s in f[2]] if spans else None for f in found]
             columns.append(pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, "lang_pred", "score", "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    named = docs.select(*kept).mapInArrow(label, f"{fields}, {kind}")
+    named = docs.select(*kept).mapInArrow(tidy(label), f"{fields}, {kind}")
     return named if spans else named.drop("spans")
 
 
@@ -252,4 +262,4 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     """
     rows = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     model = learn(rows.where("NOT held_out AND doc_id IS NOT NULL"))
-    return identify(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows.select("doc_id", "held_out", "text"), model, always=True).select("doc_id", "held_out", "lang_pred", "score")

@@ -118,6 +118,9 @@ def test_spans_and_scripts(docs_of):
     assert [s.lang for s in rows[1].spans] == ["en", "de", "ru"] and abs(rows[1].spans[1].first - 200) < 12
     assert [(rows[i].lang_pred, rows[i].score) for i in (2, 3, 4)] == [("und", 0.0)] * 3
     assert rows[5].lang_pred == "und" and rows[None].lang_pred == "ru"
+    found = language.label_texts(model, ["日本語 です", "12", None, "日本語日本語 haus"], always=True)
+    assert [(lang, score) for lang, score, _ in found[:3]] == [(model.langs[model.usual], 0.0), ("und", 0.0), ("und", 0.0)]
+    assert found[3][0] in model.langs and 0 < found[3][1] < 0.5
 
 
 def test_languages_without_anything_to_learn(docs_of):
