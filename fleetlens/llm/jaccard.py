@@ -5,8 +5,8 @@ global order, rare shingles first, and only as much of its head is indexed as a
 share. The lists of the index are cut into blocks by set size; the place of a shingle in a set
 bounds the sizes of possible partners, so an entry skips all other blocks.
 
-Answers are derived from those of similar sets: first all sets of a list are compared with its
-first set only. What is thereby linked has the same answer, a group, and inside a group nothing is
+Answers are derived from those of similar sets: first all sets of a list are compared only with the
+set that leads it. What is thereby linked has the same answer, a group, and inside a group nothing is
 compared any more. Only sets of one list in different groups are, and a list within one group is
 skipped as a whole. How common a shingle is comes from a sketch of fixed size over all documents;
 it decides the order, never the result.
@@ -23,15 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.links import components
-from fleetlens.llm.shingles import portions, shingle_lists
-from fleetlens.sources.storage import stored
+from fleetlens.llm.shingles import portions, shingle_lists, to_bytes, to_numbers
+from fleetlens.llm.workers import tidy
+from fleetlens.sources.storage import forget, stored
 
 #: The sketch has 2 ** SKETCH_BITS counters, and travels in slabs.
 SKETCH_BITS, SLABS = 20, 16
 #: Bits of a token above its hash, for how common it is.
 LEVEL_BITS = 5
-#: 64-bit words of the parities of a set.
-PARITY_WORDS = 8
+#: Least and most 64-bit words of the parities of a set; in between there are two bits for each shingle.
+PARITY_WORDS = (8, 512)
 #: Ids (8 bytes) that are still broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -65,7 +66,7 @@ def describe_sets(docs: DataFrame, words: int) -> DataFrame:
         yield _arrow({"doc_id": none, "fetch": none, "n": none, "key": none, "slab": list(range(SLABS)), "counts": slabs}, types)
 
     kinds = "doc_id long, fetch long, n long, key long, slab int, counts binary"
-    return stored(docs.select("doc_id", "fetch", "text").mapInArrow(describe, kinds), "sets")
+    return stored(docs.select("doc_id", "fetch", "text").mapInArrow(tidy(describe), kinds), "sets")
 
 
 def _summed(slabs: DataFrame, by: Column) -> DataFrame:
@@ -79,18 +80,22 @@ def _summed(slabs: DataFrame, by: Column) -> DataFrame:
                 sums[slab] = sums[slab] + found if slab in sums else found
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slab", "counts"])
 
-    return slabs.repartition(SLABS, by).mapInArrow(add, "slab int, counts binary")
+    return slabs.repartition(SLABS, by).mapInArrow(tidy(add), "slab int, counts binary")
 
 
 def levels(slabs: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are: 0 for all but those far above the usual count."""
+    """How common the shingles of each counter are: by how many standard deviations it is above the usual.
+
+    A shingle that is in more documents than chance would add to its counter so comes behind rarer ones.
+    """
     first = _summed(slabs, F.xxhash64("slab", "counts"))
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     part = len(total) // SLABS
     for slab, counts in _summed(first, F.col("slab")).collect():  # SLABS rows of a fixed size
         total[slab * part : (slab + 1) * part] += np.frombuffer(counts, "<i8")
     usual = total.mean()
-    above = np.log2(np.maximum(total, 1) / (usual + 6 * np.sqrt(usual) + 4))
+    above = np.maximum((total - usual) / np.sqrt(usual + 1), 0)
+    above = np.where(above < 12, above, 12 + np.log2(np.maximum(above, 12) / 12))
     return np.clip(np.ceil(above), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
@@ -102,11 +107,20 @@ def tokens_of(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """One bit for each of 64 * PARITY_WORDS classes of tokens: whether their number is odd."""
-    odd = np.bincount(tokens & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    """A bit for each class of tokens (by their last bits): whether their number is odd."""
+    least, most = PARITY_WORDS
+    bits = 64 * min(most, max(least, 1 << max(0, len(tokens) // 32 - 1).bit_length()))
+    odd = np.bincount(tokens & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _folded(longer: str, other: str) -> Column:
+    """Parities with half as many classes, if there are more than in ``other``; sizes that can link differ no more."""
+    half = F.size(other)
+    both = F.zip_with(F.slice(longer, 1, half), F.slice(longer, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(longer) > half, both).otherwise(F.col(longer))
+
+
 def head_entries(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> DataFrame:
     """token, key, n, pos of the head of every set; the entry at place 1 has the parities of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** SKETCH_BITS bytes
@@ -130,7 +144,7 @@ def head_entries(docs: DataFrame, words: int, percent: int, level: np.ndarray) -
                 if token:
                     yield _arrow({"token": np.concatenate(token), "key": np.concatenate(key), "n": np.concatenate(size), "pos": np.concatenate(pos), "parity": parity}, types)
 
-    return stored(docs.select("text").mapInArrow(enter, "token long, key long, n int, pos int, parity array<long>"), "heads")
+    return stored(docs.select("text").mapInArrow(tidy(enter), "token long, key long, n int, pos int, parity array<long>"), "heads")
 
 
 def _least_common(na: Column, nb: Column, percent: int) -> Column:
@@ -141,42 +155,54 @@ def linked_pairs(pairs: DataFrame, sizes: DataFrame, facts: DataFrame, docs: Dat
     """Those of the ``pairs`` (a, b) of keys whose sets are similar enough, by their whole sets.
 
     The parities of two sets differ in no more places than the sets do; that rules out most pairs
-    before the texts of the others are read again.
+    before the texts of the others are read again. Sets are compared by 40 bits of each shingle:
+    two sets of 20,000 different shingles agree by chance in 0.0004 of them.
     """
     one = sizes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     two = sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     differing = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        F.zip_with(_folded("pa", "pb"), _folded("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
     na, nb = F.col("na"), F.col("nb")
-    close = (F.lit(percent) * F.greatest(na, nb) <= 100 * F.least(na, nb)) & (
-        differing <= na + nb - 2 * _least_common(na, nb, percent)
-    )
+    sized = F.lit(percent) * F.greatest(na, nb) <= 100 * F.least(na, nb)
+    close = F.when(sized, differing <= na + nb - 2 * _least_common(na, nb, percent))
     likely = stored(pairs.join(one, "a").join(two, "b").where(close).select("a", "b"), "likely")
-    needed = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
-    fetch = stored(facts.join(needed, "key", "left_semi").groupBy("key").agg(F.min("fetch").alias("fetch")).select("fetch").distinct(), "fetch")
-    wanted = _small(fetch)
+    # Each set goes to the second ones of its pairs; those stay where they are.
+    routes = likely.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("to"))
+    routes = routes.unionByName(likely.select(F.col("b").alias("key"), F.array().cast("array<bigint>").alias("to")).distinct())
+    routes = routes.groupBy("key").agg(F.flatten(F.collect_list("to")).alias("to"))
+    fetch = facts.join(routes.select("key"), "key", "left_semi").groupBy("key").agg(F.min("fetch").alias("fetch"))
+    routes = stored(routes.join(fetch, "key"), "routes")
+    wanted = F.broadcast(routes) if routes.agg(F.coalesce(F.sum(F.size("to") + 3), F.lit(0))).first()[0] <= BROADCAST_IDS else routes
+    heads = likely.select(F.col("b").alias("key")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that a task meets again as they are
         for batch in batches:
-            for _, texts in portions(batch["text"].to_pylist()):
-                own = [np.unique(s).tobytes() for s in shingle_lists(texts, words)]
-                yield _arrow({"key": [xxhash.xxh64_intdigest(s) - (1 << 63) for s in own], "shingles": own}, {"key": pa.int64(), "shingles": pa.binary()})
+            keys = batch["key"].to_pylist()
+            new = [k not in done and not done.add(k) for k in keys]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            for first, texts in portions(batch["text"].to_pylist()):
+                own = [to_bytes(np.unique(s)) for s in shingle_lists(texts, words)]
+                part = batch.slice(first, len(own))
+                yield pa.RecordBatch.from_arrays([part["key"], part["to"], pa.array(own, pa.binary())], ["key", "to", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = to_numbers(x.as_buffer()), to_numbers(y.as_buffer())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.join(wanted, "fetch", "left_semi").select("text").mapInArrow(sets, "key long, shingles binary")
-    found = stored(found.dropDuplicates(["key"]), "found")
-    sa = found.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    sb = found.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    return likely.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    found = docs.join(wanted, "fetch").select("key", "to", "text").mapInArrow(tidy(sets), "key long, to array<long>, shingles binary")
+    found = stored(found, "found")
+    sa = found.select(F.col("key").alias("a"), F.explode("to").alias("b"), F.col("shingles").alias("sa"))
+    sb = found.join(_small(heads), "key", "left_semi").select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    linked = stored(sa.join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(compare), "a long, b long"), "linked")
+    forget(found, likely, routes)
+    return linked
 
 
 def _block(size: Column, percent: int) -> Column:
@@ -214,10 +240,11 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     stays = rows.where("n > 0").groupBy("root").agg(F.min_by("fetch", order).alias("fetch")).select("fetch", F.lit(True).alias("stays"))
     judged = stored(rows.where("n > 0").join(stays, "fetch", "left").select("fetch", "times", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
     # Rows that are repeated as they are go too, and one of each comes back.
-    gone, again = judged.where("NOT stays OR times > 1").select("fetch"), judged.where("stays AND times > 1").select("fetch")
-    keyed = docs.withColumn("fetch", _fetch())
-    once = keyed.join(_small(again), "fetch", "left_semi").dropDuplicates(["fetch"])
-    return keyed.join(_small(gone), "fetch", "left_anti").unionByName(once).select(*docs.columns)
+    gone = judged.where("NOT stays OR times > 1").select(F.col("fetch").alias("__row"))
+    again = judged.where("stays AND times > 1").select(F.col("fetch").alias("__row"))
+    keyed = docs.withColumn("__row", _fetch())
+    once = keyed.join(_small(again), "__row", "left_semi").dropDuplicates(["__row"])
+    return keyed.join(_small(gone), "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def _fetch() -> Column:
@@ -238,16 +265,24 @@ def _rooted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     entries = head_entries(docs, words, percent, level)
     sizes = stored(entries.where("pos = 1").select("key", "n", "parity").dropDuplicates(["key"]), "parities")
 
-    # Lists of more than one set, each with its first set.
+    # Lists of more than one set.
     lists = entries.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    alive = stored(entries.select("token", "key", "n", "pos").join(lists.select("token", "first"), "token").distinct(), "lists")
-    stars = alive.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
-    links = stored(linked_pairs(stars, sizes, facts, docs, words, percent), "links")
-    links = stored(links.unionByName(_across_groups(alive, links, sizes, facts, docs, words, percent)), "links")
+    alive = stored(entries.select("token", "key", "n", "pos").join(lists.select("token"), "token").distinct(), "lists")
+    forget(entries)
+    # Each list is led by the set that shares most of its head. Among copies that were changed here
+    # and there this is the one that was not: the others have shingles of their own in front.
+    head = F.first("n") - F.ceil(percent * F.first("n") / 100) + 1
+    shared = alive.groupBy("key").agg((F.count("*") / head).alias("shared"))
+    leads = alive.select("token", "key").join(shared, "key").groupBy("token").agg(F.max_by("key", F.struct("shared", "key")).alias("lead"))
+    stars = alive.select("token", "key").join(leads, "token").where("key <> lead")
+    links = linked_pairs(stars.select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), sizes, facts, docs, words, percent)
+    links = links.unionByName(_across_groups(alive, links, sizes, facts, docs, words, percent))
 
     roots = components(links)
     named = facts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    return stored(named.select("doc_id", "fetch", "n", F.coalesce("root", "key").alias("root")), "named")
+    named = stored(named.select("doc_id", "fetch", "n", F.coalesce("root", "key").alias("root")), "named")
+    forget(described, alive, sizes)
+    return named
 
 
 def _across_groups(
@@ -259,7 +294,7 @@ def _across_groups(
     many sets is only ever met by others, never by itself.
     """
     roots = components(links).select(F.col("node").alias("key"), "root")
-    rooted = alive.drop("first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = alive.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = stored(rooted, "rooted")
     shares = rooted.groupBy("token", "root").agg(F.count("*").alias("rows"))
     mixed = shares.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
@@ -285,5 +320,6 @@ def _across_groups(
         & (place <= smaller - F.ceil(2 * percent * smaller / (100 + percent)) + 1)
         & (1 + F.least(na - ia, nb - ib) >= _least_common(na, nb, percent))
     )
-    pairs = asking.join(asked, ["token", "block"]).where(fits).select("a", "b").distinct()
+    pairs = stored(asking.join(asked, ["token", "block"]).where(fits).select("a", "b").distinct(), "pairs")
+    forget(rooted, mixed)
     return linked_pairs(pairs, sizes, facts, docs, words, percent)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.sources.storage import stored
+from fleetlens.sources.storage import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         small = near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        edges = stored(small.where("u <> v").distinct(), "small")
+        older, edges = edges, stored(small.where("u <> v").distinct(), "small")
+        forget(older, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from fleetlens.llm.workers import REMEMBERED as KEPT
+
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bytes of text that are split into words at a time.
 AT_ONCE = 1 << 21
 
@@ -22,6 +24,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+KEPT.append(_words)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -42,6 +42,9 @@ def rows(prose):
             out.append(" ".join(base))
             base = [w if rng.random() > 0.006 else f"x{rng.random()}" for w in base] + [f"y{rng.random()}"] * rng.randrange(2)
     out += [" ".join(prose(80, 50 + i) + line) for i in range(10)]
+    for family in range(3):  # long texts, on both sides of a power of two
+        base = prose(1000 + 30 * family, 200 + family)
+        out += [" ".join(base), " ".join([*base[:300], "zz", *base[301:]]), " ".join(base[: 900 + 10 * family])]
     out += ["One two", "one TWO", "one two three", "", "  \n", None, None, "a", out[0], out[0], "école É", "École É", "x " * 3000]
     rng.shuffle(out)
     return [(100 - i, t) for i, t in enumerate(out)]
