@@ -17,19 +17,20 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
+from fleetlens.llm.packing import portions
+from fleetlens.llm.workers import tidy
+
 SPACE = "▁"
-BLOCK = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Segmentations that a worker remembers, and the longest word (characters) it does.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 40
-#: Stands for a literal U+2581 in a text, which is written as bytes. Texts hold no such surrogate.
-LITERAL = "\udbff"
-#: Characters of text that are split into words at a time, and of words merged side by side.
-AT_ONCE = 1 << 20
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 40
+#: Bytes of text that are split into words at a time, and characters of words merged side by side.
+AT_ONCE, SIDE_BY_SIDE = 2 << 20, 1 << 17
 NEVER = -np.inf
 MASK = (1 << 64) - 1
 
@@ -169,13 +170,15 @@ class PieceCoder:
             counts.append(len(out) - first)
         return np.array(out, np.int64), np.array(counts)
 
-    def _new(self, words: list[str], seed: int, variant: int, variants: int, dropout: float) -> Iterator[tuple[str, bytes]]:
+    def _new(self, words: list[str], seed: int, variant: int, variants: int, dropout: float, literal: str) -> Iterator[tuple[str, bytes]]:
         """Ids of different words, little-endian unsigned 32-bit."""
         same = defaultdict(list)
         for w in words:
             same[len(w)].append(w)
+        if same.pop(0, None):
+            yield "", b""
         for n, some in same.items():
-            step = max(1, AT_ONCE // n // 8)
+            step = max(1, SIDE_BY_SIDE // n)
             for group in (some[i : i + step] for i in range(0, len(some), step)):
                 own = seed * variants + variant
                 merge = self.merge if n <= LONGEST_REMEMBERED else self.merge_long
@@ -186,9 +189,9 @@ class PieceCoder:
                 odd = np.zeros(len(group), bool)
                 odd[np.searchsorted(ends, np.flatnonzero(symbols >= self.size), "right")] = True
                 for w, i, j, strange in zip(group, at[:-1], at[1:], odd.tolist(), strict=True):
-                    yield w, self._with_bytes(w, raw[i:j]) if strange else raw[i:j]
+                    yield w, self._with_bytes(w, raw[i:j], literal) if strange else raw[i:j]
 
-    def _with_bytes(self, word: str, raw: bytes) -> bytes:
+    def _with_bytes(self, word: str, raw: bytes, literal: str) -> bytes:
         """The same ids with the bytes of characters that are no piece in their place."""
         out, place = [], 0
         for s in np.frombuffer(raw, "<u4").tolist():
@@ -196,7 +199,7 @@ class PieceCoder:
                 out.append(s)
                 place += len(self._piece_text(s))
             else:
-                c = SPACE if word[place] == LITERAL else word[place]
+                c = SPACE if word[place] == literal else word[place]
                 out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
                 place += 1
         return np.array(out, "<u4").tobytes()
@@ -204,34 +207,66 @@ class PieceCoder:
     def _piece_text(self, i: int) -> str:
         return self.surface[i].decode()
 
-    def encode(self, texts: list[str], seed: int = 0, dropout: float = 0.0, variants: int = 4) -> list[bytes]:
-        """Ids of whole texts, little-endian unsigned 32-bit. Without dropout they are the model's own,
-        but for the character U+2581 in a text, which the model itself would turn into a space."""
+    def encode(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, variants: int = 4) -> list[bytes]:
+        """Ids of whole texts (null: none), little-endian unsigned 32-bit. Without dropout they are the
+        model's own, but for the character U+2581 in a text, which the model would turn into a space."""
+        flat, ends = self.encode_all(pa.array(texts, pa.string()), seed, dropout, variants)
+        raw, at = flat.tobytes(), (ends * 4).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
+
+    def encode_all(self, texts: pa.Array, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text ends (after a leading 0)."""
         variants = variants if dropout else 1
-        words = [BLOCK.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
+        texts = texts.fill_null("")
+        literal, border = self._unused(texts)
+        marked = pc.replace_substring(pc.replace_substring(texts, SPACE, literal), " ", SPACE)
+        marked = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", SPACE), marked, "")
+        words = pc.split_pattern(pc.replace_substring_regex(marked, f"([^{SPACE}]){SPACE}", f"\\1{border}{SPACE}"), border)
+        coded = words.flatten().dictionary_encode()
+        borders = words.offsets.to_numpy() - words.offsets[0].as_py()
+        word = coded.indices.to_numpy().astype(np.int64)
+        # Which variant each place of a text draws.
+        keys = [xxhash.xxh64_intdigest(t, seed) for t in texts.cast(pa.binary()).to_pylist()]
+        counts = np.diff(borders)
+        place = np.arange(len(word)) - np.repeat(borders[:-1], counts)
+        drawn = (place.astype(np.uint64) + np.repeat(np.array(keys, np.uint64), counts)) * np.uint64(0x9E3779B97F4A7C15)
+        code = word * variants + ((drawn >> np.uint64(33)) % np.uint64(variants)).astype(np.int64)
+
+        wanted = np.zeros(len(coded.dictionary) * variants, bool)
+        wanted[code] = True
+        sizes, starts, parts, total = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64), [], 0
+        for v in range(variants):
+            own = np.flatnonzero(wanted[v::variants])
+            found = self._segmented(coded.dictionary.take(pa.array(own)).to_pylist(), literal, seed, v, variants, dropout)
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            sizes[own * variants + v], starts[own * variants + v] = size, total + np.cumsum(size) - size
+            parts += found
+            total += int(size.sum())
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        lengths = sizes[code]
+        ends = np.append(0, np.cumsum(lengths))
+        return flat[np.arange(ends[-1]) + np.repeat(starts[code] - ends[:-1], lengths)], ends[borders]
+
+    def _segmented(self, words: list[str], literal: str, seed: int, variant: int, variants: int, dropout: float) -> list[bytes]:
+        """Ids of different words under one variant; short words are remembered."""
         if sum(map(len, self.seen.values())) > REMEMBERED:
             self.seen.clear()
-        held = [self.seen[seed, dropout, variants, v] for v in range(variants)]
-        keys = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed) for t in texts]
-        draws = [self._draws(k, len(line), variants) for k, line in zip(keys, words, strict=True)]
-        wanted: list[set[str]] = [set() for _ in held]
-        for line, drawn in zip(words, draws, strict=True):
-            for v in range(variants):
-                wanted[v].update([w for w, d in zip(line, drawn, strict=True) if d == v and w not in held[v]])
-        for v, some in enumerate(wanted):
-            held[v].update(self._new([*some], seed, v, variants, dropout))
-        out = [b"".join([held[d][w] for w, d in zip(line, drawn, strict=True)]) for line, drawn in zip(words, draws, strict=True)]
-        for v, some in enumerate(wanted):
-            for w in some:
-                if len(w) > LONGEST_REMEMBERED:
-                    held[v].pop(w, None)
-        return out
+        held = self.seen[seed, dropout, variants, variant]
+        found = dict(self._new([w for w in words if w not in held], seed, variant, variants, dropout, literal))
+        ids = [found[w] if w in found else held[w] for w in words]
+        held.update((w, i) for w, i in found.items() if len(w) <= LONGEST_REMEMBERED and literal not in w)
+        return ids
 
     @staticmethod
-    def _draws(key: int, n: int, variants: int) -> list[int]:
-        """Which variant each place of a text draws."""
-        x = (np.arange(n, dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x >> np.uint64(33)) % np.uint64(variants)).tolist()
+    def _unused(texts: pa.Array) -> tuple[str, str]:
+        """Two characters that no text has: one to stand for a literal U+2581, one between words."""
+        found: list[str] = []
+        for code in range(0x10FFFF, 0xF0000, -1):
+            if not pc.any(pc.match_substring(texts, chr(code))).as_py():
+                found.append(chr(code))
+                if len(found) == 2:
+                    return found[0], found[1]
+        raise ValueError("these texts use every character there is")
 
     def decode(self, ids: list[int]) -> str:
         """The text of these ids; the space that encoding put in front is taken away again."""
@@ -239,19 +274,6 @@ class PieceCoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def portions(texts: list[str | None]) -> Iterator[list[str]]:
-    """The texts (null: empty) in lists of about ``AT_ONCE`` characters."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text or "")
-        size += len(some[-1])
-        if size >= AT_ONCE:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def encode_documents(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, variants: int = 4) -> DataFrame:
     """doc_id, n_pieces and ids (array) of every text of ``docs`` (doc_id, text).
 
@@ -262,14 +284,15 @@ def encode_documents(docs: DataFrame, path: str, seed: int = 0, dropout: float =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder.at(path)
         for batch in batches:
-            raw = [i for some in portions(batch["text"].to_pylist()) for i in coder.encode(some, seed, dropout, variants)]
-            counts = np.array([len(r) // 4 for r in raw], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+            coded = [coder.encode_all(some, seed, dropout, variants) for some in portions(batch["text"], AT_ONCE)]
+            counts = np.concatenate([np.zeros(0, np.int64), *[np.diff(ends) for _, ends in coded]])
+            flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *[ids for ids, _ in coded]]).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts), lists], ["doc_id", "n_pieces", "ids"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_pieces long, ids array<int>")
+    return rows.mapInArrow(tidy(encode), "doc_id long, n_pieces long, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -281,4 +304,4 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
             texts = [coder.decode(ids or []) for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(tidy(decode), "doc_id long, text string")
