@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm.workers import tidy
 from fleetlens.sources.storage import stored
 
 TABLES, PROBES, NEAREST = 12, 20, 20
@@ -133,7 +134,7 @@ def _placed(vectors: DataFrame, tables: int, probes: int, largest: float | None)
                     where = [np.full(axes.size, dim, np.int32), np.full(axes.size, table, np.int32), axes.ravel().astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, where)], names)
 
-    return vectors.mapInArrow(place, f"{kinds}, dim int, table int, axis int")
+    return vectors.mapInArrow(tidy(place), f"{kinds}, dim int, table int, axis int")
 
 
 def _meet(data: DataFrame, asking: DataFrame, most: int) -> DataFrame:

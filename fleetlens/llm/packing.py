@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from fleetlens.llm.workers import tidy
 from fleetlens.operators.ordering import cut_pieces, number_within, running_sum
 from fleetlens.sources.storage import stored
 
@@ -28,9 +29,9 @@ END_ID = 1
 SHARES = (2, 3, 4, 6)
 ROUNDS = 400
 #: Words whose ids a worker remembers, and the longest word (characters) it does.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 48
 #: Bytes of text that are split into words at a time.
-AT_ONCE = 4 << 20
+AT_ONCE = 6 << 20
 
 #: Words of Latin letters up to U+00FF, which the tokenizer's normalizer keeps but for their case,
 #: with full stops and commas behind them.
@@ -93,8 +94,8 @@ class WordEncoder:
         return [next(both) if p else next(whole) for p in plain.to_pylist()]
 
     def _remembered(self, words: list[str]) -> list[bytes]:
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
+        if len(self.cores) > REMEMBERED:  # words that come again stay
+            self.cores = {w: self.cores[w] for w in words if w in self.cores}
         fresh = [w for w in words if w not in self.cores]
         found = dict(zip(fresh, self._plain(fresh), strict=True))
         self.cores.update((w, i) for w, i in found.items() if len(w) <= LONGEST_REMEMBERED)
@@ -138,7 +139,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = coded.mapInArrow(encode, "doc_id long, doc_tokens long, ids binary")
+    coded = coded.mapInArrow(tidy(encode), "doc_id long, doc_tokens long, ids binary")
     return stored(coded.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -232,7 +233,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: b
             yield pa.RecordBatch.from_arrays(columns, ["row", "rest", "full", "full_before", "sequence", "at"])
 
     kinds = "row long, rest long, full long, full_before long, sequence long, at long"
-    chosen = stored(placed.select("row", "rest", "full", "full_before", "rank").mapInArrow(assign, kinds), "chosen")
+    chosen = stored(placed.select("row", "rest", "full", "full_before", "rank").mapInArrow(tidy(assign), kinds), "chosen")
     left = chosen.where("sequence < 0 AND rest > 0").select("row", "rest", F.lit(0).alias("all"))
     stream = running_sum(cut_pieces(left, ["rest", "row"]), ["all"], {"stream": F.col("rest")}, including=False)
     plan = chosen.join(stream.select("row", "stream"), "row", "left")
@@ -261,7 +262,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: b
 
     joined = tokens.select("row", "doc_id", "ids").join(plan, "row").drop("row")
     names = PIECE_COLUMNS + ["ids"] * with_ids
-    return joined.mapInArrow(cut, ", ".join(f"`{c}` {'array<int>' if c == 'ids' else 'long'}" for c in names))
+    return joined.mapInArrow(tidy(cut), ", ".join(f"`{c}` {'array<int>' if c == 'ids' else 'long'}" for c in names))
 
 
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.workers import tidy
 from fleetlens.sources.storage import stored
 
 KEY = b"surrogates"
@@ -230,7 +231,7 @@ def _attempted(entities: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(*x, key) for x in zip(b["kind"].to_pylist(), b["form"].to_pylist(), b["attempt"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["kind"], b["form"], b["attempt"], pa.array(made, pa.string())], ["kind", "form", "attempt", "made"])
 
-    return entities.select("kind", "form", "attempt").mapInArrow(make, "kind string, form string, attempt int, made string")
+    return entities.select("kind", "form", "attempt").mapInArrow(tidy(make), "kind string, form string, attempt int, made string")
 
 
 def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -284,7 +285,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, spans: bool = True) -> D
             columns = list(zip(*sorted(rows))) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["__tid", "kind", "form"])
 
-    found = stored(keyed.select("__tid", "text").mapInArrow(find, "__tid long, kind string, form string").distinct(), "mentions")
+    found = stored(keyed.select("__tid", "text").mapInArrow(tidy(find), "__tid long, kind string, form string").distinct(), "mentions")
     again = exceptions(found.select("kind", "form").distinct(), key)
     swaps = found.join(again, ["kind", "form"]).groupBy("__tid").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("__swaps"))
     swaps = stored(swaps, "swaps")
@@ -303,5 +304,5 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, spans: bool = True) -> D
                 places.append([dict(zip(("kind", "first", "end"), s, strict=True)) for s in at])
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(texts, pa.string()), pa.array(places, struct)], [*kept, "text", "spans"])
 
-    done = keyed.join(swaps, "__tid", "left").select(*kept, "text", "__swaps").mapInArrow(swap, kinds)
+    done = keyed.join(swaps, "__tid", "left").select(*kept, "text", "__swaps").mapInArrow(tidy(swap), kinds)
     return done if spans else done.drop("spans")
