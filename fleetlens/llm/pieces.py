@@ -3,8 +3,8 @@
 The pieces and their scores come from a merge-type SentencePiece model. The candidates of a word
 wait in its agenda, best score first, leftmost among equals; each one that comes up is skipped
 when the keyed hash of its place falls below the dropout. Which segmentation a word gets depends
-on the key, on the word, and on which of ``variants`` its place in the document draws, so runs
-agree and words vary. No piece of such a model goes on past the start of a space, so words are
+on a key drawn from the seed, the document's text and the place in it, so runs agree and every
+occurrence varies; if ``variants`` are asked for, on the word and on which of these its place draws. No piece of such a model goes on past the start of a space, so words are
 merged on their own; words of one length are merged side by side.
 """
 
@@ -207,14 +207,14 @@ class PieceCoder:
     def _piece_text(self, i: int) -> str:
         return self.surface[i].decode()
 
-    def encode(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, variants: int = 4) -> list[bytes]:
+    def encode(self, texts: list[str | None], seed: int = 0, dropout: float = 0.0, variants: int | None = None) -> list[bytes]:
         """Ids of whole texts (null: none), little-endian unsigned 32-bit. Without dropout they are the
         model's own, but for the character U+2581 in a text, which the model would turn into a space."""
         flat, ends = self.encode_all(pa.array(texts, pa.string()), seed, dropout, variants)
         raw, at = flat.tobytes(), (ends * 4).tolist()
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    def encode_all(self, texts: pa.Array, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array, seed: int, dropout: float, variants: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text ends (after a leading 0)."""
         variants = variants if dropout else 1
         texts = texts.fill_null("")
@@ -225,11 +225,14 @@ class PieceCoder:
         coded = words.flatten().dictionary_encode()
         borders = words.offsets.to_numpy() - words.offsets[0].as_py()
         word = coded.indices.to_numpy().astype(np.int64)
-        # Which variant each place of a text draws.
+        # What each place of a text draws: a key, or which variant.
         keys = [xxhash.xxh64_intdigest(t, seed) for t in texts.cast(pa.binary()).to_pylist()]
         counts = np.diff(borders)
         place = np.arange(len(word)) - np.repeat(borders[:-1], counts)
         drawn = (place.astype(np.uint64) + np.repeat(np.array(keys, np.uint64), counts)) * np.uint64(0x9E3779B97F4A7C15)
+        if variants is None:
+            flat, lengths = self._each(coded.dictionary.to_pylist(), word, drawn ^ (drawn >> np.uint64(29)), literal, dropout)
+            return flat, np.append(0, np.cumsum(lengths))[borders]
         code = word * variants + ((drawn >> np.uint64(33)) % np.uint64(variants)).astype(np.int64)
 
         wanted = np.zeros(len(coded.dictionary) * variants, bool)
@@ -247,6 +250,34 @@ class PieceCoder:
         ends = np.append(0, np.cumsum(lengths))
         return flat[np.arange(ends[-1]) + np.repeat(starts[code] - ends[:-1], lengths)], ends[borders]
 
+    def _each(self, words: list[str], word: np.ndarray, keys: np.ndarray, literal: str, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each occurrence (number of its word) under its own key, one after the other, and how many each has."""
+        sizes = np.zeros(len(word), np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words))[word]
+        order, parts = [], []
+        for n in np.unique(length[length > 0]).tolist():
+            some, step = np.flatnonzero(length == n), max(1, SIDE_BY_SIDE // n)
+            merge = self.merge if n <= LONGEST_REMEMBERED else self.merge_long
+            for at in (some[i : i + step] for i in range(0, len(some), step)):
+                group = [words[w] for w in word[at].tolist()]
+                symbols, counts = merge(group, keys[at], dropout)
+                ends = np.cumsum(counts)
+                odd = np.unique(np.searchsorted(ends, np.flatnonzero(symbols >= self.size), "right"))
+                if len(odd):
+                    pieces = np.split(symbols, ends[:-1])
+                    for i in odd.tolist():
+                        pieces[i] = np.frombuffer(self._with_bytes(group[i], pieces[i].astype("<u4").tobytes(), literal), "<u4")
+                    symbols, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+                sizes[at] = counts
+                order.append(at)
+                parts.append(symbols.astype("<u4"))
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(sizes.sum()), "<u4")
+        for at, ids in zip(order, parts, strict=True):
+            own = np.cumsum(sizes[at])
+            out[np.arange(len(ids)) + np.repeat(ends[at] - own, sizes[at])] = ids
+        return out, sizes
+
     def _segmented(self, words: list[str], literal: str, seed: int, variant: int, variants: int, dropout: float) -> list[bytes]:
         """Ids of different words under one variant; short words are remembered."""
         if sum(map(len, self.seen.values())) > REMEMBERED:
@@ -274,7 +305,7 @@ class PieceCoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, variants: int = 4) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, seed: int = 0, dropout: float = 0.1, variants: int | None = None) -> DataFrame:
     """doc_id, n_pieces and ids (array) of every text of ``docs`` (doc_id, text).
 
     A null or empty text has no ids. Repeated rows give the same ids, as do equal texts. An empty

@@ -157,6 +157,15 @@ def test_pieces_are_lossless(spark, dropout):
         assert sum(map(len, coded)) > sum(map(len, coder.encode(texts)))
 
 
+def test_every_occurrence_draws_its_own_pieces():
+    coder = pieces.PieceCoder(MODEL)
+    text = "antidisestablishment " * 400
+    coded = ids(coder.encode([text], 5, 0.3)[0])
+    assert coder.decode(coded) == text
+    marked = "|".join(("#" if coder.surface[i][:1] == b" " else "") + str(i) for i in coded)
+    assert len(set(marked.split("#"))) > 20
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.2, 0.7])
 def test_agendas_agree(spark, dropout):
     coder = pieces.PieceCoder(MODEL)
