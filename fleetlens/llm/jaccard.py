@@ -35,6 +35,8 @@ LEVEL_BITS = 5
 PARITY_WORDS = (8, 512)
 #: Ids (8 bytes) that are still broadcast.
 BROADCAST_IDS = 2_000_000
+#: Shingles up to which a set travels with 40 bits of each: two such sets agree by chance in one of 10,000 pairs.
+SHORT_SET = 10_000
 
 
 def _arrow(columns: dict, types: dict) -> pa.RecordBatch:
@@ -183,7 +185,7 @@ def linked_pairs(pairs: DataFrame, sizes: DataFrame, facts: DataFrame, docs: Dat
             new = [k not in done and not done.add(k) for k in keys]
             batch = batch.filter(pa.array(new, pa.bool_()))
             for first, texts in portions(batch["text"].to_pylist()):
-                own = [to_bytes(np.unique(s)) for s in shingle_lists(texts, words)]
+                own = [pack(np.unique(s)) for s in shingle_lists(texts, words)]
                 part = batch.slice(first, len(own))
                 yield pa.RecordBatch.from_arrays([part["key"], part["to"], pa.array(own, pa.binary())], ["key", "to", "shingles"])
 
@@ -191,9 +193,9 @@ def linked_pairs(pairs: DataFrame, sizes: DataFrame, facts: DataFrame, docs: Dat
         for batch in batches:
             keep = []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = to_numbers(x.as_buffer()), to_numbers(y.as_buffer())
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                (n, x), (m, y) = unpack(x.as_buffer(), y.as_buffer())
+                common = len(np.intersect1d(x, y))
+                keep.append(100 * common >= percent * (n + m - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = docs.join(wanted, "fetch").select("key", "to", "text").mapInArrow(tidy(sets), "key long, to array<long>, shingles binary")
@@ -205,6 +207,21 @@ def linked_pairs(pairs: DataFrame, sizes: DataFrame, facts: DataFrame, docs: Dat
     return linked
 
 
+def pack(shingles: np.ndarray) -> bytes:
+    """A set as bytes: 40 bits of each shingle, or all 64 if the set is long or 40 do not tell its own apart."""
+    short = len(shingles) <= SHORT_SET and len(np.unique(shingles >> np.uint64(24))) == len(shingles)
+    return b"\5" + to_bytes(shingles) if short else b"\10" + shingles.astype("<u8").tobytes()
+
+
+def unpack(*raw: bytes) -> list[tuple[int, np.ndarray]]:
+    """Size and numbers of sets from ``pack``; all 64 bits if all have them, else the high 40 of each."""
+    raw = [bytes(x) for x in raw]
+    sets = [to_numbers(x[1:]) if x[0] == 5 else np.frombuffer(x, "<u8", offset=1) for x in raw]
+    if len({x[0] for x in raw}) > 1:
+        return [(len(s), s if x[0] == 5 else s >> np.uint64(24)) for s, x in zip(sets, raw, strict=True)]
+    return [(len(s), s) for s in sets]
+
+
 def _block(size: Column, percent: int) -> Column:
     """Blocks of set sizes; sizes in one block differ by no more than the similarity allows."""
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from fleetlens.llm import jaccard
@@ -92,3 +93,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shingles_that_share_their_high_bits():
+    """They are neither taken for one another between long sets nor counted as shared inside one."""
+    long = np.arange(20_000, dtype=np.uint64) << np.uint64(24)
+    (n, x), (m, y) = jaccard.unpack(jaccard.pack(long), jaccard.pack(long + np.uint64(1)))
+    assert (n, m, len(np.intersect1d(x, y))) == (20_000, 20_000, 0)
+    twice, other = np.array([5 << 24, (5 << 24) + 1, 9 << 24], np.uint64), np.array([7 << 24, 8 << 24], np.uint64)
+    (n, x), (m, y) = jaccard.unpack(jaccard.pack(twice), jaccard.pack(other))
+    assert (n, m, len(np.intersect1d(x, y))) == (3, 2, 0)
