@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import ann, imatch, jaccard, language, packing, passages, pieces, sharding, surrogates, url_reputation
+from fleetlens.llm import ann, codes, filter_audit, imatch, jaccard, language, packing, passages, pieces, sharding, surrogates, token_files, url_reputation
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL, PIECE_SEED = "piece_bpe_32k.model", 20240601
@@ -69,6 +69,18 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), PIECE_SEED)
 
 
+def op11_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+
+
+def op12_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope": op1_cross_polytope,
     "op2_compact_windows": op2_compact_windows,
@@ -80,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_huffman_files": op11_huffman_files,
+    "op12_limb_codes": op12_limb_codes,
+    "op13_filter_paths": op13_filter_paths,
 }

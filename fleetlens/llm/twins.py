@@ -118,4 +118,99 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
 FROM counted
 """
 
-ORACLES = {"op3_ngram_jaccard": OP3, "op4_url_reputation": OP4, "op5_imatch": OP5}
+OP12 = r"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS xs
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), items AS MATERIALIZED (
+  SELECT row, (i - 1) // (len(xs) // 16) AS part, (i - 1) % (len(xs) // 16) AS pos, xs[i] AS x
+  FROM kept, range(1, len(xs) + 1) AS t(i)
+), book0 AS MATERIALIZED (
+  SELECT part, row AS entry, pos, x FROM items WHERE row < 64
+), near0 AS MATERIALIZED (
+  SELECT row, part, entry, dist FROM (
+    SELECT row, part, entry, dist, row_number() OVER (PARTITION BY row, part ORDER BY dist, entry) AS r
+    FROM (SELECT i.row, part, c.entry, sum((i.x - c.x) * (i.x - c.x)) AS dist
+          FROM items i JOIN book0 c USING (part, pos) GROUP BY i.row, part, c.entry)) WHERE r = 1
+), sums0 AS (
+  SELECT part, n.entry, pos, CAST(sum(i.x) AS BIGINT) AS s, count(*) AS n
+  FROM items i JOIN near0 n USING (row, part) GROUP BY part, n.entry, pos
+), book1 AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE (s - (s % n + n) % n) // n END AS x
+  FROM book0 LEFT JOIN sums0 USING (part, entry, pos)
+), near1 AS MATERIALIZED (
+  SELECT row, part, entry, dist FROM (
+    SELECT row, part, entry, dist, row_number() OVER (PARTITION BY row, part ORDER BY dist, entry) AS r
+    FROM (SELECT i.row, part, c.entry, sum((i.x - c.x) * (i.x - c.x)) AS dist
+          FROM items i JOIN book1 c USING (part, pos) GROUP BY i.row, part, c.entry)) WHERE r = 1
+), sums1 AS (
+  SELECT part, n.entry, pos, CAST(sum(i.x) AS BIGINT) AS s, count(*) AS n
+  FROM items i JOIN near1 n USING (row, part) GROUP BY part, n.entry, pos
+), book2 AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN x ELSE (s - (s % n + n) % n) // n END AS x
+  FROM book1 LEFT JOIN sums1 USING (part, entry, pos)
+), near2 AS MATERIALIZED (
+  SELECT row, part, entry, dist FROM (
+    SELECT row, part, entry, dist, row_number() OVER (PARTITION BY row, part ORDER BY dist, entry) AS r
+    FROM (SELECT i.row, part, c.entry, sum((i.x - c.x) * (i.x - c.x)) AS dist
+          FROM items i JOIN book2 c USING (part, pos) GROUP BY i.row, part, c.entry)) WHERE r = 1
+), coded AS (
+  SELECT row, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM near2 GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (row)
+"""
+
+OP13 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copied
+  FROM documents
+), failing AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copied THEN 16 ELSE 0 END AS failed
+  FROM texts
+), known AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), cells AS MATERIALIZED (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing LEFT JOIN known USING (doc_id) GROUP BY part, failed
+), letters AS (
+  SELECT substr('ABCDE', i, 1) AS letter, 1 << (i - 1) AS bit FROM (SELECT CAST(i AS INTEGER) AS i FROM range(1, 6) AS t(i))
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+  FROM orders, range(1, 6) AS t(step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (failed & (before | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (failed & before = 0 AND failed & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (failed & before > 0 AND failed & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (failed = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (failed & before = 0 AND failed & bit > 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & bit > 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLES = {
+    "op3_ngram_jaccard": OP3,
+    "op4_url_reputation": OP4,
+    "op5_imatch": OP5,
+    "op12_limb_codes": OP12,
+    "op13_filter_paths": OP13,
+}

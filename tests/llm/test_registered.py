@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_names():
     names = set(entry_points.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near copies", "repeated passages", "personal data", "packing"]
 
 
