@@ -10,7 +10,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from fleetlens.llm import language, packing, pieces, surrogates
+from fleetlens.llm import language, packing, pieces, surrogates, word_ids
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -189,8 +189,8 @@ def test_pieces_of_a_table(docs_of):
 
 
 def test_words_are_encoded_as_the_tokenizer_does(spark):
-    encoder, texts = packing.WordEncoder(WORDS), texts_of(spark)
-    own = packing.pa.concat_arrays([encoder.encode(p) for p in packing.portions(pa.array([*texts, None]), 50_000)]).to_pylist()
+    encoder, texts = word_ids.WordEncoder(WORDS), texts_of(spark)
+    own = pa.concat_arrays([encoder.encode(p) for p in word_ids.portions(pa.array([*texts, None]), 50_000)]).to_pylist()
     expected = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([*texts, ""], add_special_tokens=False)]
     assert [np.frombuffer(r, "<u2").tolist() for r in own] == expected
 
