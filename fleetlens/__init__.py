@@ -17,8 +17,10 @@ from fleetlens.operators.browse import (
     search,
     sort_by,
 )
+from fleetlens.operators.directory import PageDirectory
 from fleetlens.operators.equipment import build_equipment
 from fleetlens.operators.history import asset_history, diff_to_audit, newest_audit
+from fleetlens.operators.kept_counts import add_deltas, device_counts, flag_deltas, kept_by_room, location_counts, location_deltas
 from fleetlens.operators.loan_changes import apply_loan_commands
 from fleetlens.operators.loans import (
     active_loans,
@@ -42,7 +44,9 @@ from fleetlens.operators.locations import (
     location_list,
     location_review,
     locations_by_type,
+    new_locations,
     reconcile_locations,
+    refill_locations,
     room_types,
     with_location,
 )
@@ -76,16 +80,19 @@ from fleetlens.operators.reports import (
     table_counts,
     total_items,
 )
+from fleetlens.operators.sketches import profile_of_sketches, profile_sketches
 from fleetlens.operators.tidy import add_flag_column, add_nullable_column, rename_if_present
 from fleetlens.operators.toggles import toggle_loaner
 from fleetlens.plans.migration import Migration, migrate
 from fleetlens.plans.views import register_views
 from fleetlens.sources.imports import check_required, import_rows, read_import
+from fleetlens.sources.layout import append_audit_by_tag, diff_versions, history_by_tag, store_version
 from fleetlens.sources.tables import (
     append_audit,
     append_rows,
     backup_snapshot,
     current_table,
+    insert_absent,
     insert_select_distinct,
     load_table,
     next_id,

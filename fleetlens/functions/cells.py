@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
 
+#: Texts that differ in case or in spaces at the end are equal, and are sorted as equals.
+CASE_BLIND = "UTF8_LCASE_RTRIM"
+
 
 def _c(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def under(column: Column | str, collation: str | None) -> Column:
+    """A text column that is compared, grouped, joined and sorted under ``collation`` from here on."""
+    c = _c(column)
+    return c if collation is None else F.collate(c, collation)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

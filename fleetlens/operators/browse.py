@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.functions.cells import all_of, any_of, contains, day_of, text_or_empty
+from fleetlens.functions.cells import all_of, any_of, contains, day_of, text_or_empty, under
+from fleetlens.operators.collation import group_under, join_under
 from fleetlens.operators.locations import devices_per_location, with_location
 from fleetlens.operators.ordering import assign_ids
 from fleetlens.operators.skew import join_checked
+from fleetlens.schemas import PAGE_COLUMNS
 from fleetlens.sources.storage import stored
 
 PAGE_SIZE = 25
@@ -17,15 +20,15 @@ KEYSET_PAGE_SIZE = 35
 TOP_K_DEPTH = 100_000
 
 
-def equals_given(df: DataFrame, **wanted) -> DataFrame:
-    """Equality on each column whose value was given."""
-    return df.where(all_of([F.col(c) == v for c, v in wanted.items() if v is not None]))
+def equals_given(df: DataFrame, collation: str | None = None, **wanted) -> DataFrame:
+    """Equality on each column whose value was given; ``collation`` holds for texts."""
+    return df.where(all_of([under(c, collation if isinstance(v, str) else None) == v for c, v in wanted.items() if v is not None]))
 
 
-def lookup(df: DataFrame, keys: DataFrame, on: str, spread_by: list[str]) -> DataFrame:
+def lookup(df: DataFrame, keys: DataFrame, on: str, spread_by: list[str], collation: str | None = None) -> DataFrame:
     """Rows for a batch of keys."""
-    wanted = stored(keys.where(F.col(on).isNotNull()).select(on).distinct(), "keys")
-    return join_checked(df, wanted, [on], "left_semi", spread_by)
+    wanted = stored(group_under(keys.where(F.col(on).isNotNull()), [on], collation, F.lit(1).alias("_one")).select(on), "keys")
+    return join_under(df, wanted, [on], "left_semi", collation, spread_by)
 
 
 def has_any(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,7 +66,9 @@ def filter_inventory(
     return df.where(all_of(tests))
 
 
-def sort_by(df: DataFrame, column: str, tie: list[str], desc: bool = False, is_date: bool = False) -> DataFrame:
+def sort_by(
+    df: DataFrame, column: str, tie: list[str], desc: bool = False, is_date: bool = False, collation: str | None = None
+) -> DataFrame:
     """Order by one column: missing dates as the epoch, missing text as empty.
 
     ``tie`` orders rows of equal value by something unique; without it a value that many rows share,
@@ -72,35 +77,47 @@ def sort_by(df: DataFrame, column: str, tie: list[str], desc: bool = False, is_d
     if is_date:
         value = F.coalesce(day_of(column), F.lit("1970-01-01").cast("date"))
     else:
-        value = text_or_empty(column)
+        value = under(text_or_empty(column), collation)
     return df.orderBy(value.desc() if desc else value.asc(), *tie)
 
 
-def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct().orderBy(column)
+def distinct_sorted(df: DataFrame, column: str, collation: str | None = None) -> DataFrame:
+    if collation is None:
+        return df.select(column).distinct().orderBy(column)
+    spelled = group_under(df.select(column).distinct(), [column], collation, F.lit(1).alias("_one"))
+    return spelled.select(column).orderBy(under(column, collation))
 
 
-def page_of(df: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:
+def page_of(
+    df: DataFrame, order: list[str], offset: int, n: int, collation: str | None = None, top_k_depth: int = TOP_K_DEPTH
+) -> DataFrame:
     """Rows ``offset``..``offset + n`` in ascending ``order``, which must be unique; exact at any depth.
 
     Far down, only the order columns are sorted and stored, to find where the page begins; the
-    wide rows are then filtered from there on.
+    wide rows are then filtered from there on. Under a collation the last column of ``order`` must
+    tell rows apart that the others do not.
     """
-    if offset + n <= TOP_K_DEPTH:
-        return df.orderBy(*order).offset(offset).limit(n)
-    keys = assign_ids(df.select(*order), order, 0, "_row")
+    sorted_by = order_under(df, order, collation)
+    if offset + n <= top_k_depth:
+        return df.orderBy(*sorted_by).offset(offset).limit(n)
+    keys = assign_ids(df.select(*[c.alias(name) for c, name in zip(sorted_by, order, strict=True)]), order, 0, "_row")
     begin = keys.where(F.col("_row") == offset).drop("_row").first()
     if begin is None:
         return df.limit(0)
-    return df.where(_not_before(order, list(begin))).orderBy(*order).limit(n)
+    return df.where(not_before(sorted_by, list(begin))).orderBy(*sorted_by).limit(n)
+
+
+def order_under(df: DataFrame, order: list[str], collation: str | None) -> list[Column]:
+    """The columns of ``order``, texts under the collation."""
+    return [under(c, collation if isinstance(df.schema[c].dataType, T.StringType) else None) for c in order]
 
 
-def _not_before(order: list[str], values: list) -> Column:
+def not_before(order: list[Column], values: list) -> Column:
     """True for rows at or behind ``values``, where NULL comes first."""
     at = F.lit(True)
-    for name, value in reversed(list(zip(order, values, strict=True))):
-        behind = F.col(name).isNotNull() if value is None else F.coalesce(F.col(name) > F.lit(value), F.lit(False))
-        at = behind | (F.col(name).eqNullSafe(F.lit(value)) & at)
+    for column, value in reversed(list(zip(order, values, strict=True))):
+        behind = column.isNotNull() if value is None else F.coalesce(column > F.lit(value), F.lit(False))
+        at = behind | (column.eqNullSafe(F.lit(value)) & at)
     return at
 
 
@@ -112,19 +129,17 @@ def inventory_page(
     room_type: str | None = None,
     include_unlocated: bool = False,
     with_total: bool = True,
+    collation: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """A page of linked devices by site, room and tag, and the numbers for the page footer.
 
     The total needs no join of the rows: devices are counted per location first.
     """
-    places = equals_given(loc, room_type=room_type)
+    places = equals_given(loc, collation, room_type=room_type)
     how = "left" if include_unlocated and room_type is None else "inner"
-    rows = with_location(inv, places, how).select(
-        "inventory_id", "site_name", "room_number", "room_name", "room_type", "asset_tag", "asset_type", "model",
-        "serial_number", "notes", "assigned_to", "date_assigned", "date_decommissioned", "is_loaner",
-    )
+    rows = with_location(inv, places, how).select(*PAGE_COLUMNS)
     order = ["site_name", "room_number", "asset_tag", "inventory_id"]
-    shown = page_of(rows, order, (page - 1) * per_page, per_page)
+    shown = page_of(rows, order, (page - 1) * per_page, per_page, collation)
     if not with_total:
         return shown, None
     if how == "left":
@@ -145,9 +160,9 @@ def page_numbers(total: DataFrame, page: int, per_page: int) -> DataFrame:
     )
 
 
-def page_boundary(df: DataFrame, column: str, offset: int, tie: str) -> DataFrame:
+def page_boundary(df: DataFrame, column: str, offset: int, tie: str, top_k_depth: int = TOP_K_DEPTH) -> DataFrame:
     """Largest value among the first ``offset`` rows by ``column``, ``''`` if there is none."""
-    if offset <= TOP_K_DEPTH:
+    if offset <= top_k_depth:
         first = df.select(column).orderBy(column).limit(offset)
     else:
         first = assign_ids(df.select(column, tie), [column, tie], 0, "_row").where(F.col("_row") < offset)
@@ -161,16 +176,18 @@ def keyset_page(
     after_id: int | None = None,
     column: str = "serial_number",
     tie: str = "inventory_id",
+    collation: str | None = None,
 ) -> DataFrame:
     """The next rows after a key.
 
     Strict mode (no ``after_id``) skips rows that share the key of the last row shown. With
     ``after_id`` the pair (key, id) decides and nothing is skipped.
     """
-    beyond = F.col(column) > after
+    key = under(column, collation)
+    beyond = key > after
     if after_id is not None:
-        beyond = beyond | ((F.col(column) == after) & (F.col(tie) > after_id))
-    return df.where(beyond).orderBy(column, tie).limit(per_page)
+        beyond = beyond | ((key == after) & (F.col(tie) > after_id))
+    return df.where(beyond).orderBy(key, tie).limit(per_page)
 
 
 def numbered_keyset_page(df: DataFrame, page: int, per_page: int = KEYSET_PAGE_SIZE) -> DataFrame:

@@ -9,14 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import display, is_blank, overdue
 from fleetlens.operators.skew import fits_broadcast, join_checked, join_unique
+from fleetlens.schemas import CHECKED_OUT_COLUMNS
 from fleetlens.sources.storage import stored
 
-CHECKED_OUT_COLUMNS = [
-    "inventory_id", "site_name", "room_number", "room_name", "asset_tag", "asset_type", "model", "serial_number",
-    "inventory_notes", "assigned_to", "date_assigned", "date_decommissioned", "location_id", "checkout_id",
-    "user_name", "checkout_date", "expected_return_date", "checkin_date", "checkout_notes",
-]
-
 
 def as_of_column(as_of: datetime | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
@@ -46,7 +41,7 @@ def available_loaners(inv: DataFrame, loans: DataFrame, skip_decommissioned: boo
 
 def checked_out_loaners(inv: DataFrame, loans: DataFrame) -> DataFrame:
     """Open loans with their device, one row per open loan."""
-    devices = inv.where("is_loaner").withColumnRenamed("notes", "inventory_notes").drop("is_loaner")
+    devices = inv.where("is_loaner").withColumnRenamed("notes", "inventory_notes")
     opened = stored(open_loans(loans), "open")
     return join_devices(opened, devices, ["inventory_id"], ["checkout_id"]).select(*CHECKED_OUT_COLUMNS)
 

@@ -11,7 +11,14 @@ ask after that one left, and so on; jumps of doubled length find all of them in
 many ask for one room. If the answers for the moves come out as assumed, they are those of going one
 by one. If not, the next pass assumes the new ones; the earliest wrong answer is right from then on.
 A move that turns out to be refused does not leave its old room either, so whoever got that room by
-it is refused too, and so on; jumps of doubled length follow such a chain to its end within one pass.
+it is refused too, and so on; and one that turns out to be accepted makes room for the next in the
+same way. Jumps of doubled length follow such chains to their end within one pass.
+
+With ``ids_from_commands`` a new location has the id of the command that makes it, so later commands
+of the same batch can change, move and delete it, and it makes no difference where a log is cut into
+batches. Such a location lives from its CREATE, if that got its room, to its first DELETE; what
+names it outside that span finds nothing. A pass then also assumes an answer for every CREATE: the
+commands on a location that was not made neither take nor leave a room.
 """
 
 from __future__ import annotations
@@ -43,53 +50,75 @@ def _given(field: str) -> Column:
     return F.coalesce(F.array_contains("given", field), F.lit(False))
 
 
-def _judge_alone(loc: DataFrame, inv: DataFrame, cmds: DataFrame) -> DataFrame:
-    """Every command with the stored fields of its location and the reason against it, if any."""
+def _lacking(field: str) -> Column:
+    return ~_given(field) | is_blank(field)
+
+
+def _made_in_batch(cmds: DataFrame, ids_from_commands: bool) -> DataFrame:
+    """location_id, fields and moment (``_made``) of the locations that well-formed commands of the batch ask for."""
+    wanted = cmds.where(F.col("kind") == CREATE).where(~any_of([_lacking(f) for f in LOCATION_FIELDS]))
+    if not ids_from_commands:
+        wanted = wanted.where("false")
+    return wanted.select(F.col("command_id").alias("location_id"), *LOCATION_FIELDS, F.col("_when").alias("_made"))
+
+
+def _judge_alone(loc: DataFrame, inv: DataFrame, cmds: DataFrame, ids_from_commands: bool) -> DataFrame:
+    """Every command with the fields that its location starts with and the reason against it, if any.
+
+    ``_made`` is the moment at which a command of the batch makes the location, NULL for stored ones.
+    """
     kind = F.coalesce("kind", F.lit(""))
-    when = F.struct("command_ts", "command_id")
-    cmds = cmds.select("*", when.alias("_when"))
-    named = (
-        cmds.where(F.col("kind").isin(UPDATE, DELETE) & F.col("location_id").isNotNull())
-        .groupBy("location_id")
-        .agg(F.min(F.when(F.col("kind") == DELETE, F.col("_when"))).alias("_first_delete"))
-    )
+    cmds = cmds.select("*", F.struct("command_ts", "command_id").alias("_when"))
+    naming = cmds.where(F.col("kind").isin(UPDATE, DELETE) & F.col("location_id").isNotNull())
+    deletes = F.when(F.col("kind") == DELETE, F.col("_when"))
+    named = naming.groupBy("location_id").agg(F.min(deletes).alias("_first_delete"))
     used = inv.where("location_id IS NOT NULL").select("location_id").distinct()
     used = used.join(named, "location_id", "left_semi").withColumn("_used", F.lit(True))
+    begins = [F.col(f).alias(f"_old_{f}") for f in LOCATION_FIELDS]
     facts = (
         loc.join(named, "location_id")
         .join(used, "location_id", "left")
         .select(
             "location_id",
-            *[F.col(f).alias(f"_old_{f}") for f in LOCATION_FIELDS],
+            *begins,
             F.coalesce("_used", F.lit(False)).alias("_used"),
             F.when(F.col("_used").isNull(), F.col("_first_delete")).alias("_gone"),
+            F.lit(None).cast(cmds.schema["_when"].dataType).alias("_made"),
         )
     )
+    if ids_from_commands:
+        made = stored(_made_in_batch(cmds, ids_from_commands).join(named.select("location_id"), "location_id", "left_semi"), "made")
+        after = join_checked(naming.select("location_id", "kind", "_when"), made.select("location_id", "_made"), ["location_id"], "inner", ["_when"])
+        ends = after.where("_when > _made").groupBy("location_id").agg(F.min(deletes).alias("_gone"))
+        made = made.join(ends, "location_id", "left")
+        facts = facts.unionByName(made.select("location_id", *begins, F.lit(False).alias("_used"), "_gone", "_made"))
     rows = join_checked(cmds, stored(facts, "facts"), ["location_id"], "left", ["command_id"])
 
-    absent = F.col("_used").isNull() | F.coalesce(F.col("_when") > F.col("_gone"), F.lit(False))
+    early = F.coalesce(F.col("_when") <= F.col("_made"), F.lit(False))
+    absent = F.col("_used").isNull() | early | F.coalesce(F.col("_when") > F.col("_gone"), F.lit(False))
     reason = F.when(~kind.isin(CREATE, UPDATE, DELETE), UNKNOWN_COMMAND)
     for f in LOCATION_FIELDS:
-        lacking = ~_given(f) | is_blank(f)
-        reason = reason.when((kind == CREATE) & lacking, f"Missing required field: {f}")
+        reason = reason.when((kind == CREATE) & _lacking(f), f"Missing required field: {f}")
     reason = reason.when(kind.isin(UPDATE, DELETE) & absent, NOT_FOUND)
     reason = reason.when((kind == UPDATE) & ~any_of([_given(f) for f in LOCATION_FIELDS]), NOTHING_GIVEN)
     for f in LOCATION_FIELDS:
         reason = reason.when((kind == UPDATE) & _given(f) & F.col(f).isNull(), f"Field must not be NULL: {f}")
     reason = reason.when((kind == DELETE) & F.col("_used"), IN_USE)
     fields = [F.when(_given(f), F.col(f)).alias(f) for f in LOCATION_FIELDS]
-    others = [c for c in rows.columns if c not in LOCATION_FIELDS]
-    return stored(rows.select(*others, *fields, reason.alias("reason")), "judged")
+    others = [c for c in rows.columns if c not in LOCATION_FIELDS and c != "_made"]
+    made_at = F.when(kind.isin(UPDATE, DELETE), F.col("_made")).alias("_made")
+    return stored(rows.select(*others, made_at, *fields, reason.alias("reason")), "judged")
 
 
-def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
+def _settle_rooms(loc: DataFrame, judged: DataFrame, ids_from_commands: bool) -> DataFrame:
     """command_id and ``_ok`` of every command that takes or leaves a room."""
     created = F.col("kind") == CREATE
+    # A DELETE or a move of a new location counts only if that was made; other updates wait for the outcome.
     events = judged.where("reason IS NULL").where(
         (F.col("kind") != UPDATE) | F.col("site_name").isNotNull() | F.col("room_number").isNotNull()
     )
     events = events.select(
-        created.alias("_new"),
+        (created | F.col("_made").isNotNull()).alias("_new"),
         F.when(created, F.col("command_id")).otherwise(F.col("location_id")).alias("_ent"),
         F.lit(1).alias("_seq"),
         "command_ts",
@@ -123,43 +152,61 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame) -> DataFrame:
         path = running_last(
             cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"]),
             _ENTITY,
-            {"_from_site": F.when(F.col("_ok"), F.col("_site")), "_from_room": F.when(F.col("_ok"), F.col("_roomno"))},
+            {
+                "_from_site": F.when(F.col("_ok"), F.col("_site")),
+                "_from_room": F.when(F.col("_ok"), F.col("_roomno")),
+                "_born": F.when(F.col("kind") == CREATE, F.col("_ok")),
+            },
         )
         to_site, to_room = F.coalesce("_site", "_from_site"), F.coalesce("_roomno", "_from_room")
         stays = (F.col("kind") == UPDATE) & (to_site == F.col("_from_site")) & (to_room == F.col("_from_room"))
-        path = path.withColumns({"_site": to_site, "_roomno": to_room, "_stays": F.coalesce(stays, F.lit(False))})
+        path = path.withColumns(
+            {"_site": to_site, "_roomno": to_room, "_stays": F.coalesce(stays, F.lit(False)), "_alive": F.coalesce("_born", F.lit(True))}
+        )
         path = stored(path, "path")
-        leaving = (F.col("kind") == DELETE) | ((F.col("kind") == UPDATE) & F.col("_ok") & ~F.col("_stays"))
+        moves = (F.col("kind") == UPDATE) & ~F.col("_stays")
+        leaving = F.col("_alive") & ((F.col("kind") == DELETE) | (moves & F.col("_ok")))
         path = running_last(path, _ENTITY, {"_leave": F.when(leaving, when)}, backwards=True)
         path = stored(plain(path), "path")
 
-        takes = path.where(~F.col("_stays") & (F.col("kind") != DELETE))
+        takes = path.where(F.col("_alive") & ~F.col("_stays") & (F.col("kind") != DELETE))
         asks = takes.where("_seq = 1").select(*_ROOM, "command_ts", "command_id", "kind", "_ok")
         asked = asks.select(*_ROOM).distinct()
         here = bystanders.join(asked, _ROOM, "left_semi").withColumn("_leave", F.lit(None).cast(takes.schema["_leave"].dataType))
-        winners, onward = _winners(takes.unionByName(here, allowMissingColumns=True), asks)
+        would_leave = path.where(F.col("_alive") & moves & ~F.col("_ok")).select(
+            F.col("_from_site").alias("_site"), F.col("_from_room").alias("_roomno"), "command_ts", "command_id"
+        )
+        winners, onward = _winners(takes.unionByName(here, allowMissingColumns=True), asks, would_leave)
 
         judged_asks = asks.join(winners.withColumn("_won", F.lit(True)), "command_id", "left").select(
             "command_id", "kind", F.coalesce("_won", F.lit(False)).alias("_ok"), F.col("_ok").alias("_was")
         )
-        rest = path.where("_seq = 1 AND (_stays OR kind = 'DELETE')").select(
-            "command_id", "kind", F.lit(True).alias("_ok"), F.col("_ok").alias("_was")
+        rest = path.where("_seq = 1 AND (_stays OR kind = 'DELETE' OR NOT _alive)").select(
+            "command_id", "kind", F.col("_alive").alias("_ok"), F.col("_ok").alias("_was")
         )
         answers = stored(judged_asks.unionByName(rest), "answers")
-        # Whether a CREATE got its room changes nothing for the path of any location.
-        if answers.where(F.col("kind") == UPDATE).where("_ok <> _was").isEmpty():
+        # Whether a CREATE got its room, or a DELETE a location, changes no path if nobody can name new locations.
+        weighs = F.lit(True) if ids_from_commands else F.col("kind") == UPDATE
+        refused, accepted = weighs & F.col("_was") & ~F.col("_ok"), weighs & ~F.col("_was") & F.col("_ok")
+        turned = answers.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in (("refused", refused), ("accepted", accepted))]).first()
+        if not (turned.refused or turned.accepted):
             return answers.select("command_id", "_ok")
-        stuck = reached(answers.where((F.col("kind") == UPDATE) & F.col("_was") & ~F.col("_ok")).select("command_id"), onward)
-        stuck = stored(stuck.distinct().withColumn("_stuck", F.lit(True)), "stuck")
-        assumed = join_checked(answers.select("command_id", "_ok"), stuck, ["command_id"], "left", ["command_id"])
-        assumed = assumed.select("command_id", (F.col("_ok") & F.col("_stuck").isNull()).alias("_ok"))
+        assumed = answers.select("command_id", "_ok")
+        # What follows from an answer that turned out otherwise is assumed along with it.
+        for came, which, then in ((turned.accepted, accepted, True), (turned.refused, refused, False)):
+            if came:
+                found = reached(answers.where(which & (F.col("kind") == UPDATE)).select("command_id"), onward)
+                found = stored(found.distinct().withColumn("_then", F.lit(then)), "turned")
+                assumed = join_checked(assumed, found, ["command_id"], "left", ["command_id"])
+                assumed = assumed.select("command_id", F.coalesce("_then", "_ok").alias("_ok"))
         flagged = events.join(assumed, "command_id").unionByName(starts)
 
 
-def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _winners(takes: DataFrame, asks: DataFrame, would_leave: DataFrame) -> tuple[DataFrame, DataFrame]:
     """command_id of every ask that finds its room empty, given when each taker would leave.
 
-    Also the jumps from a move (command_id) to the first ask (_to) for the room that it leaves.
+    Also the jumps from a move (command_id) to the first ask (_to) for the room that it leaves, or
+    would leave if it were accepted.
     """
     first = takes.groupBy(*_ROOM).agg(
         F.min_by(F.struct("_seq", "command_id"), F.struct("_seq", "command_ts", "command_id")).alias("first")
@@ -173,8 +220,12 @@ def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
         *_ROOM, F.col("_leave.command_ts").alias("command_ts"), F.col("_leave.command_id").alias("command_id"),
         F.lit(1).alias("_mark"), "_seq", F.col("command_id").alias("_by"), F.col("_leave.command_id").alias("_move"),
     )
+    idle_marks = would_leave.select(
+        *_ROOM, "command_ts", "command_id", F.lit(1).alias("_mark"), F.lit(None).cast("int").alias("_seq"),
+        F.lit(None).cast("long").alias("_by"), F.col("command_id").alias("_move"),
+    )
     line = cut_pieces(
-        ask_marks.unionByName(leave_marks), [*_ROOM, "command_ts", "command_id", "_mark", "_seq", "_by"]
+        ask_marks.unionByName(leave_marks).unionByName(idle_marks), [*_ROOM, "command_ts", "command_id", "_mark", "_seq", "_by"]
     )
     nexts = running_last(line, _ROOM, {"_next": F.when(F.col("_mark") == 0, F.col("command_id"))}, backwards=True)
     nexts = stored(nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next", "_move"), "nexts")
@@ -188,39 +239,44 @@ def _winners(takes: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_location_changes(
-    loc: DataFrame, inv: DataFrame, cmds: DataFrame, first_id: int | None = None
+    loc: DataFrame, inv: DataFrame, cmds: DataFrame, first_id: int | None = None, ids_from_commands: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New locations, log rows and rejected commands. ``first_id`` numbers the new locations."""
-    alone = _judge_alone(loc, inv, cmds)
-    rooms = _settle_rooms(loc, alone)
-    clash = F.when(F.col("reason").isNull() & ~F.coalesce("_ok", F.lit(True)), EXISTS)
-    judged = stored(
-        alone.join(rooms, "command_id", "left").withColumn("reason", F.coalesce("reason", clash)).drop("_ok"),
-        "settled",
-    )
+    """New locations, log rows and rejected commands.
+
+    ``first_id`` numbers the new locations; with ``ids_from_commands`` they are numbered by their
+    commands, whose ids must then differ from those of all locations.
+    """
+    alone = _judge_alone(loc, inv, cmds, ids_from_commands)
+    rooms = _settle_rooms(loc, alone, ids_from_commands)
+    clash = F.when(~F.coalesce("_ok", F.lit(True)), EXISTS)
+    answered = alone.join(rooms, "command_id", "left").withColumn("_unmade", F.lit(False))
+    if ids_from_commands:
+        # Commands on a location whose CREATE was refused, whatever they ask for.
+        refused = rooms.where("NOT _ok").join(alone.where(F.col("kind") == CREATE).select("command_id"), "command_id")
+        refused = stored(refused.select(F.col("command_id").alias("location_id"), F.lit(True).alias("_unmade")), "refused")
+        answered = join_checked(answered.drop("_unmade"), refused, ["location_id"], "left", ["command_id"])
+    unmade = F.coalesce(F.col("_unmade") & F.col("_made").isNotNull(), F.lit(False))
+    reason = F.when(unmade, NOT_FOUND).otherwise(F.coalesce("reason", clash))
+    judged = stored(answered.withColumn("reason", reason).drop("_ok", "_unmade"), "settled")
     rejected = judged.where("reason IS NOT NULL").select("command_id", "reason")
     good = judged.where("reason IS NULL")
     updates, deletes = good.where(F.col("kind") == UPDATE), good.where(F.col("kind") == DELETE)
 
+    created = good.where(F.col("kind") == CREATE).select("command_ts", "command_id", *LOCATION_FIELDS, "changed_by")
+    if ids_from_commands:
+        created = created.withColumn("location_id", F.col("command_id"))
+    else:
+        first_id = next_id(loc, "location_id") if first_id is None else first_id
+        created = assign_ids(created, ["command_ts", "command_id"], first_id, "location_id")
     latest = updates.groupBy("location_id").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_when"))).alias(f"_last_{f}") for f in LOCATION_FIELDS]
     )
-    changed = loc.join(latest, "location_id", "left")
+    changed = loc.select("location_id", *LOCATION_FIELDS).unionByName(created.select("location_id", *LOCATION_FIELDS))
+    changed = changed.join(latest, "location_id", "left")
     changed = changed.select(
         "location_id", *[F.coalesce(f"_last_{f}", f).alias(f) for f in LOCATION_FIELDS]
     )
-    if first_id is None:
-        first_id = next_id(loc, "location_id")
-    created = assign_ids(
-        good.where(F.col("kind") == CREATE).select("command_ts", "command_id", *LOCATION_FIELDS, "changed_by"),
-        ["command_ts", "command_id"],
-        first_id,
-        "location_id",
-    )
-    gone = deletes.select("location_id")
-    new_loc = changed.join(gone, "location_id", "left_anti").unionByName(
-        created.select("location_id", *LOCATION_FIELDS)
-    )
+    new_loc = changed.join(deletes.select("location_id"), "location_id", "left_anti")
 
     by = F.coalesce("changed_by", F.lit("system"))
     nothing = F.lit(None).cast("string")

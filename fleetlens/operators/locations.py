@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.cells import UNKNOWN, joined_key, key_or_unknown
+from fleetlens.functions.cells import UNKNOWN, joined_key, key_or_unknown, under
 from fleetlens.functions.taxonomy import NINE_RULES, room_category
+from fleetlens.operators.collation import group_under, join_under
 from fleetlens.operators.ordering import assign_ids
 from fleetlens.operators.skew import join_checked
-from fleetlens.schemas import LOCATION_CHECK
+from fleetlens.schemas import LOCATION_CHECK, LOCATION_FIELDS
+from fleetlens.sources.tables import next_id
 
 Rules = list[tuple[list[str], str]]
 _KEYS = ["_site", "_room"]
@@ -31,6 +33,23 @@ def _kept(inv: DataFrame, keep: str) -> DataFrame:
     raise ValueError(f"keep must be any_field, room_number or all, not {keep!r}")
 
 
+def _rooms(inv: DataFrame, taxonomy: Rules, keep: str, case_sensitive: bool, fold_keys: bool) -> DataFrame:
+    """One row per (site, room) of the inventory with name and category, and its keys."""
+    site, room = key_or_unknown("site_name"), key_or_unknown("room_number")
+    rooms = (
+        _with_keys(_kept(inv, keep), fold_keys)
+        .groupBy(*_KEYS)
+        .agg(F.min(site).alias("site_name"), F.min(room).alias("room_number"), F.min("room_name").alias("_name"))
+    )
+    return rooms.select(
+        *_KEYS,
+        "site_name",
+        "room_number",
+        F.coalesce("_name", F.lit(UNKNOWN)).alias("room_name"),
+        room_category("_name", taxonomy, case_sensitive).alias("room_type"),
+    )
+
+
 def build_locations(
     inv: DataFrame,
     taxonomy: Rules = NINE_RULES,
@@ -43,21 +62,32 @@ def build_locations(
 
     A room with several names gets the smallest one; ``location_conflicts`` lists such rooms.
     """
-    site, room = key_or_unknown("site_name"), key_or_unknown("room_number")
-    rooms = (
-        _with_keys(_kept(inv, keep), fold_keys)
-        .groupBy(*_KEYS)
-        .agg(F.min(site).alias("site_name"), F.min(room).alias("room_number"), F.min("room_name").alias("_name"))
-    )
-    named = rooms.select(
-        "site_name",
-        "room_number",
-        F.coalesce("_name", F.lit(UNKNOWN)).alias("room_name"),
-        room_category("_name", taxonomy, case_sensitive).alias("room_type"),
-    )
+    named = _rooms(inv, taxonomy, keep, case_sensitive, fold_keys).drop(*_KEYS)
     return assign_ids(named, ["site_name", "room_number"], start, "location_id")
 
 
+def new_locations(
+    loc: DataFrame,
+    inv: DataFrame,
+    taxonomy: Rules = NINE_RULES,
+    keep: str = "all",
+    case_sensitive: bool = False,
+    fold_keys: bool = False,
+) -> DataFrame:
+    """The rooms of the inventory that ``loc`` lacks, with ids that go on behind its largest one."""
+    known = _with_keys(loc, fold_keys).select(*_KEYS)
+    fresh = _rooms(inv, taxonomy, keep, case_sensitive, fold_keys).join(known, _KEYS, "left_anti").drop(*_KEYS)
+    return assign_ids(fresh, ["site_name", "room_number"], next_id(loc, "location_id"), "location_id")
+
+
+def refill_locations(loc: DataFrame, inv: DataFrame, **how) -> DataFrame:
+    """``loc`` as it is, and the rooms that it lacks: a second run over the same inventory adds nothing.
+
+    Takes what ``build_locations`` takes. Rooms that are known keep id, name and category.
+    """
+    return loc.select("location_id", *LOCATION_FIELDS).unionByName(new_locations(loc, inv, **how))
+
+
 def category_preview(
     inv: DataFrame, taxonomy: Rules = NINE_RULES, keep: str = "room_number", case_sensitive: bool = False
 ) -> DataFrame:
@@ -101,12 +131,19 @@ def assign_location(
     return linked.select(*inv.columns) if "location_id" in inv.columns else linked
 
 
-def location_exists(candidates: DataFrame, loc: DataFrame) -> DataFrame:
-    """For each candidate (site, room): is it there, and under which id."""
-    wanted = candidates.select("site_name", "room_number").distinct()
-    known = loc.select("site_name", "room_number", "location_id")
-    return wanted.join(known, ["site_name", "room_number"], "left").select(
-        "site_name", "room_number", F.col("location_id").isNotNull().alias("exists"), "location_id"
+def location_exists(candidates: DataFrame, loc: DataFrame, collation: str | None = None) -> DataFrame:
+    """For each candidate (site, room): is it there, and under which id. NULL is no room.
+
+    Under a collation candidates that are equal are asked once; of several locations the smallest id.
+    """
+    key = ["site_name", "room_number"]
+    wanted = candidates.select(*key).distinct()
+    known = loc.select(*key, "location_id")
+    if collation is not None:
+        wanted = group_under(wanted, key, collation, F.lit(1).alias("_one")).select(*key)
+        known = group_under(known, key, collation, F.min("location_id").alias("location_id"))
+    return join_under(wanted, known, key, "left", collation, key).select(
+        *key, F.col("location_id").isNotNull().alias("exists"), "location_id"
     )
 
 
@@ -116,14 +153,16 @@ def deletable_locations(loc: DataFrame, inv: DataFrame) -> DataFrame:
     return loc.join(used, "location_id", "left_anti")
 
 
-def location_list(loc: DataFrame) -> DataFrame:
-    return loc.select("location_id", "site_name", "room_number", "room_name", "room_type").orderBy(
-        "site_name", "room_number"
-    )
+def location_list(loc: DataFrame, collation: str | None = None) -> DataFrame:
+    by = [under("site_name", collation), under("room_number", collation)]
+    return loc.select("location_id", *LOCATION_FIELDS).orderBy(*by, *["location_id"] * bool(collation))
 
 
-def room_types(loc: DataFrame) -> DataFrame:
-    return loc.select("room_type").distinct().orderBy("room_type")
+def room_types(loc: DataFrame, collation: str | None = None) -> DataFrame:
+    types = loc.select("room_type").distinct()
+    if collation is not None:
+        types = group_under(types, ["room_type"], collation, F.lit(1).alias("_one")).select("room_type")
+    return types.orderBy(under("room_type", collation))
 
 
 def devices_per_location(rows: DataFrame, *sums) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.cells import all_of, is_blank, not_blank
+from fleetlens.functions.cells import all_of, is_blank, not_blank, under
+from fleetlens.operators.collation import group_under, join_under
 from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import NO_LOCATION_DATA, SOME_LOCATION_DATA
 from fleetlens.sources.storage import stored
@@ -27,20 +28,12 @@ def blank_count(df: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_keys(
-    df: DataFrame, keys: list[str], include_empty: bool = False, fold: bool = False
+    df: DataFrame, keys: list[str], include_empty: bool = False, collation: str | None = None
 ) -> DataFrame:
-    """Keys that occur more than once. NULL keys never count, ``''`` only with ``include_empty``.
-
-    ``fold`` ignores case and trailing spaces of text keys.
-    """
-    present = [F.col(k).isNotNull() if include_empty else not_blank(k) for k in keys]
-    same = [F.lower(F.rtrim(k)).alias(k) if fold else F.col(k) for k in keys]
-    return (
-        df.where(all_of(present))
-        .groupBy(*same)
-        .agg(F.count("*").alias("duplicate_count"))
-        .where("duplicate_count > 1")
-    )
+    """Keys that occur more than once. NULL keys never count, ``''`` only with ``include_empty``."""
+    present = [F.col(k).isNotNull() if include_empty else not_blank(under(k, collation)) for k in keys]
+    counted = group_under(df.where(all_of(present)), keys, collation, F.count("*").alias("duplicate_count"))
+    return counted.where("duplicate_count > 1")
 
 
 def duplicate_key_count(df: DataFrame, keys: list[str], include_empty: bool = False) -> DataFrame:
@@ -48,11 +41,16 @@ def duplicate_key_count(df: DataFrame, keys: list[str], include_empty: bool = Fa
 
 
 def duplicate_rows(
-    df: DataFrame, keys: list[str], spread_by: list[str], order: list[str], include_empty: bool = True
+    df: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    order: list[str],
+    include_empty: bool = True,
+    collation: str | None = None,
 ) -> DataFrame:
     """All rows whose key is not unique. Only keys are counted; wide rows meet the stored key list."""
-    repeated = stored(duplicate_keys(df.select(*keys), keys, include_empty).select(*keys), "keys")
-    return join_checked(df, repeated, keys, "left_semi", spread_by).orderBy(*order)
+    repeated = stored(duplicate_keys(df.select(*keys), keys, include_empty, collation).select(*keys), "keys")
+    return join_under(df, repeated, keys, "left_semi", collation, spread_by).orderBy(*order)
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, key: str, spread_by: list[str]) -> DataFrame:

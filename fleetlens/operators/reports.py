@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.cells import is_blank, joined_key, not_blank, percent_text
+from fleetlens.functions.cells import is_blank, joined_key, not_blank, percent_text, under
+from fleetlens.operators.collation import group_under
 from fleetlens.operators.ordering import AT, PIECE, cut_pieces
 from fleetlens.schemas import EQUIPMENT_CHECK, ROOM_NAME_REPORT
 from fleetlens.sources.storage import stored
@@ -22,26 +23,30 @@ def side_by_side(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     return rows.agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def inventory_profile(inv: DataFrame, nonblank_only: bool = False, approx: bool = False) -> DataFrame:
+def inventory_profile(
+    inv: DataFrame, nonblank_only: bool = False, approx: bool = False, collation: str | None = None
+) -> DataFrame:
     """Totals, distinct counts and blank counts.
 
     Sites, rooms and locations come from one small pre-aggregation by (site, room); only the asset
     tags need a wide distinct, done on that column alone.
     """
-    rows = inv.where(not_blank("asset_tag")) if nonblank_only else inv
+    tag = under("asset_tag", collation)
+    rows = inv.where(not_blank(tag)) if nonblank_only else inv
     rooms = rows.groupBy("site_name", "room_number").agg(
-        F.count("*").alias("_n"), F.count_if(is_blank("asset_tag")).alias("_blank_tags")
+        F.count("*").alias("_n"), F.count_if(is_blank(tag)).alias("_blank_tags")
     )
+    site, room = under("site_name", collation), under("room_number", collation)
     places = rooms.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
-        F.count_distinct("site_name").alias("unique_sites"),
-        F.count_distinct("room_number").alias("unique_rooms"),
-        F.count_distinct(joined_key("site_name", "room_number")).alias("unique_locations"),
+        F.count_distinct(site).alias("unique_sites"),
+        F.count_distinct(room).alias("unique_rooms"),
+        F.count_distinct(under(joined_key("site_name", "room_number"), collation)).alias("unique_locations"),
         F.coalesce(F.sum("_blank_tags"), F.lit(0)).alias("null_asset_tags"),
-        F.coalesce(F.sum(F.when(is_blank("site_name"), F.col("_n"))), F.lit(0)).alias("null_sites"),
-        F.coalesce(F.sum(F.when(is_blank("room_number"), F.col("_n"))), F.lit(0)).alias("null_rooms"),
+        F.coalesce(F.sum(F.when(is_blank(site), F.col("_n"))), F.lit(0)).alias("null_sites"),
+        F.coalesce(F.sum(F.when(is_blank(room), F.col("_n"))), F.lit(0)).alias("null_rooms"),
     )
-    tags = F.approx_count_distinct("asset_tag") if approx else F.count_distinct("asset_tag")
+    tags = F.approx_count_distinct(tag) if approx else F.count_distinct(tag)
     columns = [
         "total_records", "unique_assets", "unique_sites", "unique_rooms", "unique_locations",
         "null_asset_tags", "null_sites", "null_rooms",
@@ -49,28 +54,30 @@ def inventory_profile(inv: DataFrame, nonblank_only: bool = False, approx: bool
     return side_by_side([places, rows.agg(tags.alias("unique_assets"))], columns)
 
 
-def site_summary(inv: DataFrame) -> DataFrame:
+def site_summary(inv: DataFrame, collation: str | None = None) -> DataFrame:
     """Rooms, rows and untagged rows per site."""
     rooms = inv.groupBy("site_name", "room_number", "room_name").agg(
-        F.count("*").alias("_n"), F.count_if(is_blank("asset_tag")).alias("_blank")
-    )
-    return (
-        rooms.groupBy("site_name")
-        .agg(
-            F.count_distinct("room_number").alias("unique_rooms"),
-            F.sum("_n").alias("total_records"),
-            F.sum("_blank").alias("records_without_assets"),
-        )
-        .orderBy("site_name")
+        F.count("*").alias("_n"), F.count_if(is_blank(under("asset_tag", collation))).alias("_blank")
     )
+    return group_under(
+        rooms,
+        ["site_name"],
+        collation,
+        F.count_distinct(under("room_number", collation)).alias("unique_rooms"),
+        F.sum("_n").alias("total_records"),
+        F.sum("_blank").alias("records_without_assets"),
+    ).orderBy(under("site_name", collation))
 
 
-def room_name_frequency(inv: DataFrame) -> DataFrame:
+def room_name_frequency(inv: DataFrame, collation: str | None = None) -> DataFrame:
+    names = inv.groupBy("room_name").agg(
+        F.count("*").alias("_n"), F.count_if(is_blank(under("asset_tag", collation))).alias("_blank")
+    )
+    counts = [F.sum("_n").alias("count"), F.sum("_blank").alias("null_asset_count")]
     return (
-        inv.groupBy("room_name")
-        .agg(F.count("*").alias("count"), F.count_if(is_blank("asset_tag")).alias("null_asset_count"))
+        group_under(names, ["room_name"], collation, *counts)
         .select(F.lit(ROOM_NAME_REPORT).alias("analysis"), "room_name", "count", "null_asset_count")
-        .orderBy(F.desc("count"), "room_name")
+        .orderBy(F.desc("count"), under("room_name", collation))
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fleetlens import schemas
 from fleetlens.functions import cells
 from fleetlens.functions.taxonomy import FOUR_RULES
-from fleetlens.operators import browse, history, loans, locations, quality, reports, tidy
+from fleetlens.operators import browse, history, kept_counts, loans, locations, quality, reports, sketches, tidy
+from fleetlens.operators.directory import PageDirectory
 from fleetlens.operators.equipment import build_equipment
 from fleetlens.operators.loan_changes import apply_loan_commands
 from fleetlens.operators.location_changes import apply_location_changes
@@ -22,6 +23,7 @@ from fleetlens.plans.derived import AS_OF
 from fleetlens.plans.migration import migrate
 from fleetlens.plans.prepared import Tables, tables
 from fleetlens.plans.views import register_views
+from fleetlens.sources import layout
 from fleetlens.sources import tables as store
 from fleetlens.sources.imports import check_required, import_rows, read_import
 from fleetlens.sources.storage import new_path, stored
@@ -103,6 +105,16 @@ def insert_select_distinct(t):
     return t.spark.read.parquet(path)
 
 
+@query
+def insert_absent(t):
+    """Three runs over data that grows, the last one with nothing new."""
+    path = new_path(t.spark, "dimension")
+    columns, key = ["site_name", "room_number", "room_name"], ["site_name", "room_number"]
+    for rows in (t.inventory.where("is_loaner"), t.inventory, t.inventory):
+        store.insert_absent(rows, columns, key, path, "room_id")
+    return t.spark.read.parquet(path)
+
+
 def _imported(t):
     return import_rows(read_import(t.spark, t.sheet_paths))
 
@@ -221,6 +233,13 @@ def build_locations_case_sensitive(t):
     return locations.build_locations(t.inventory, keep="room_number", case_sensitive=True)
 
 
+@query
+def refill_locations(t):
+    """Filled from the loan devices first and from all devices later."""
+    first = stored(locations.build_locations(t.inventory.where("is_loaner")), "first")
+    return locations.refill_locations(first, t.inventory)
+
+
 @query
 def category_preview(t):
     return locations.category_preview(t.inventory)
@@ -238,7 +257,7 @@ def location_conflicts(t):
 
 @query
 def location_exists(t):
-    return locations.location_exists(t.inventory.where("site_name IS NOT NULL AND room_number IS NOT NULL"), t.locations)
+    return locations.location_exists(t.inventory, t.locations)
 
 
 @query
@@ -363,6 +382,43 @@ def page_boundary(t):
     return browse.page_boundary(t.derived("sheet"), "serial_number", 105, "inventory_id")
 
 
+PAGE_ORDER = ["site_name", "room_number", "asset_tag", "inventory_id"]
+
+
+@query
+def deep_page(t):
+    """Behind the depth to which a page is a top-k."""
+    return number_in_order(browse.page_of(t.inventory, PAGE_ORDER, 1200, 25, top_k_depth=100))
+
+
+@query
+def deep_boundary(t):
+    return browse.page_boundary(t.derived("sheet"), "serial_number", 1201, "inventory_id", top_k_depth=100)
+
+
+def _directory(t):
+    return PageDirectory.build(t.inventory, PAGE_ORDER, new_path(t.spark, "pages"))
+
+
+@query
+def directory_page(t):
+    """The page in the middle, whatever the number of pages."""
+    pages = _directory(t)
+    middle = (pages.numbers(1).first().total_pages + 1) // 2
+    return number_in_order(pages.page(middle))
+
+
+@query
+def directory_numbers(t):
+    return _directory(t).numbers(3)
+
+
+@query
+def directory_boundary(t):
+    sheet = t.derived("sheet").select("serial_number", "inventory_id")
+    return PageDirectory.build(sheet, ["serial_number", "inventory_id"], new_path(t.spark, "serials")).boundary("serial_number", 1201)
+
+
 @query
 def total_items(t):
     return reports.total_items(t.located.where("location_id IS NOT NULL"))
@@ -404,6 +460,92 @@ def migrated_sample_left(t):
     return browse.migrated_sample(t.equipment, t.locations, 5, 11, "asset_tag", "left")
 
 
+# --- keys under a collation ----------------------------------------------------------------------
+
+
+def _spelled_locations(t):
+    """The locations, every second one in small letters."""
+    small = F.col("location_id") % 2 == 0
+    return t.locations.withColumns({c: F.when(small, F.lower(c)).otherwise(F.col(c)) for c in schemas.LOCATION_FIELDS})
+
+
+@query
+def collated_equals(t):
+    return browse.equals_given(t.derived("mixed"), cells.CASE_BLIND, site_name="France ", asset_type=None)
+
+
+@query
+def collated_lookup(t):
+    keys = t.inventory.where("is_loaner").select("asset_tag")
+    return browse.lookup(t.derived("mixed"), keys, "asset_tag", ["inventory_id"], cells.CASE_BLIND)
+
+
+@query
+def collated_assign_location(t):
+    linked = locations.assign_location(t.derived("mixed"), _spelled_locations(t), fold_keys=True)
+    return linked.select("inventory_id", "site_name", "room_number", "location_id")
+
+
+@query
+def collated_duplicate_rows(t):
+    columns = ["inventory_id", "asset_tag", "site_name", "serial_number"]
+    rows = t.derived("mixed").select(*columns)
+    return quality.duplicate_rows(rows, ["serial_number", "site_name"], ["inventory_id"], ["inventory_id"], collation=cells.CASE_BLIND)
+
+
+@query
+def collated_duplicate_keys(t):
+    return quality.duplicate_keys(t.derived("mixed"), ["asset_tag"], include_empty=True, collation=cells.CASE_BLIND)
+
+
+@query
+def collated_location_exists(t):
+    return locations.location_exists(t.derived("mixed"), _spelled_locations(t), cells.CASE_BLIND)
+
+
+@query
+def collated_inventory_profile(t):
+    return reports.inventory_profile(t.derived("mixed"), collation=cells.CASE_BLIND)
+
+
+@query
+def collated_site_summary(t):
+    return reports.site_summary(t.derived("mixed"), cells.CASE_BLIND)
+
+
+@query
+def collated_room_name_frequency(t):
+    return reports.room_name_frequency(t.derived("mixed"), cells.CASE_BLIND)
+
+
+@query
+def collated_location_list(t):
+    return number_in_order(locations.location_list(_spelled_locations(t), cells.CASE_BLIND))
+
+
+@query
+def collated_room_types(t):
+    return number_in_order(locations.room_types(_spelled_locations(t), cells.CASE_BLIND))
+
+
+@query
+def collated_page(t):
+    rows = browse.inventory_page(
+        t.located, _spelled_locations(t), page=4, room_type="WORKSPACE", with_total=False, collation=cells.CASE_BLIND
+    )[0]
+    return number_in_order(rows)
+
+
+@query
+def collated_keyset_page(t):
+    return browse.keyset_page(t.derived("mixed"), after="sn1000", after_id=1001, collation=cells.CASE_BLIND)
+
+
+@query
+def collated_sort(t):
+    return number_in_order(browse.sort_by(t.derived("mixed"), "assigned_to", ["inventory_id"], desc=True, collation=cells.CASE_BLIND))
+
+
 # --- loans ---------------------------------------------------------------------------------------
 
 
@@ -422,6 +564,12 @@ def checked_out_loaners(t):
     return loans.checked_out_loaners(t.located, t.loans)
 
 
+@query
+def checked_out_view(t):
+    _views(t)
+    return t.spark.table("checked_out_loaners")
+
+
 @query
 def active_loans(t):
     return loans.active_loans(t.equipment, t.derived("equipment_loans"), t.locations, AS_OF)
@@ -491,6 +639,19 @@ def inventory_profile_tagged(t):
     return reports.inventory_profile(t.inventory, nonblank_only=True)
 
 
+@query
+def profile_of_sketches(t):
+    """Estimates from stored sketches, those of loan devices and of others, next to the exact counts."""
+    path = new_path(t.spark, "sketches")
+    for rows in (t.inventory.where("is_loaner"), t.inventory.where("NOT is_loaner")):
+        sketches.profile_sketches(rows, ["site_name"]).write.mode("append").parquet(path)
+    found = sketches.profile_of_sketches(t.spark.read.parquet(path))
+    exact = reports.inventory_profile(t.inventory)
+    sides = [df.unpivot([], df.columns, "measure", name) for df, name in ((found, "estimate"), (exact, "exact_count"))]
+    close = F.abs(F.col("estimate") - F.col("exact_count")) <= sketches.relative_error() * F.col("exact_count")
+    return sides[0].join(sides[1], "measure").select("measure", "exact_count", close.alias("is_close"))
+
+
 @query
 def site_summary(t):
     return reports.site_summary(t.inventory)
@@ -612,6 +773,23 @@ def required_columns(t):
     return lacking.agg(F.lit(", ".join(missing)).alias("missing_columns"), F.count("*").alias("rows"))
 
 
+@query
+def schema_gate(t):
+    """What stops a run that needs columns and tables which are not there, and the rows it would have run on."""
+    sheet = t.derived("sheet")
+    stops = []
+    for check in (
+        lambda: quality.require_columns(sheet, ["serial_number", "asset_tag", "is_loaner"]),
+        lambda: quality.require_tables({"inventory": t.inventory}, ["inventory", "locations", "loans"]),
+        lambda: quality.require_columns(sheet, ["serial_number"]),
+    ):
+        try:
+            check()
+        except quality.QualityError as problem:
+            stops.append(F.lit(str(problem)))
+    return sheet.agg(F.count("*").alias("rows")).select(F.explode(F.array(*stops)).alias("message"), "rows")
+
+
 @query
 def column_report(t):
     return quality.column_report(t.raw("orders"))
@@ -636,6 +814,25 @@ def asset_history(t):
     return history.asset_history(t.derived("audit_log"), t.inventory.where("is_loaner"))
 
 
+@query
+def asset_history_by_tag(t):
+    path = new_path(t.spark, "log")
+    log = t.derived("audit_log").withColumnRenamed("audit_id", "event")
+    layout.append_audit_by_tag(log, path, ["event"])
+    return layout.history_by_tag(t.spark, path, t.inventory.where("room_name = 'Office Annex'"))
+
+
+@query
+def version_diff(t):
+    """Two stored versions, of which the later lacks a few devices and has others in new hands."""
+    root, fields = new_path(t.spark, "versions"), ["assigned_to", "asset_type", "is_loaner"]
+    later = t.inventory.where("room_name <> 'Office Annex' OR room_name IS NULL")
+    later = later.withColumn("assigned_to", F.when(F.col("notes") == "temporary desk", "desk").otherwise(F.col("assigned_to")))
+    for version, rows in ((1, t.inventory), (2, later)):
+        layout.store_version(rows, root, version, "inventory_id", fields)
+    return layout.diff_versions(t.spark, root, 1, 2, "inventory_id", fields, "Migration Script", AS_OF)
+
+
 @query
 def newest_audit(t):
     return history.newest_audit(t.derived("audit_log"))
@@ -675,7 +872,22 @@ def loan_command_stream_loans(t):
     start_state(t.inventory, t.loans, state)
     t.derived("loan_commands").write.parquet(incoming)
     loan_command_stream(t.spark, incoming, state).awaitTermination()
-    return stream_loans(t.spark, state, 0)
+    return stream_loans(t.spark, state)
+
+
+@query
+def loan_stream_repeats_loans(t):
+    """Three arrivals one after the other, of which each brings a tenth of what came so far once more."""
+    state, incoming = new_path(t.spark, "stream-state"), new_path(t.spark, "stream-in")
+    start_state(t.inventory.withColumn("is_loaner", F.lit(True)), t.loans, state)
+    commands = t.derived("loan_handles")
+    low, high = commands.agg(F.min("command_id"), F.max("command_id")).first()
+    turn = F.floor((F.col("command_id") - low) * 3 / (high - low + 1))
+    for now in range(3):
+        again = commands.where((turn <= now) & (F.col("command_id") % 10 == 3))
+        commands.where(turn == now).unionByName(again).write.mode("append").parquet(incoming)
+        loan_command_stream(t.spark, incoming, state, ids_from_commands=True).awaitTermination()
+    return stream_loans(t.spark, state)
 
 
 def _loan_returns(t):
@@ -751,3 +963,34 @@ def location_moves(t):
 @query
 def location_moves_audit(t):
     return apply_location_changes(t.rooms, t.located, t.location_commands("location_moves"))[1]
+
+
+def _location_handles(t):
+    return apply_location_changes(t.rooms, t.located, t.location_commands("location_handles"), ids_from_commands=True)
+
+
+@query
+def location_handles(t):
+    return _location_handles(t)[0]
+
+
+@query
+def location_handles_audit(t):
+    return _location_handles(t)[1]
+
+
+@query
+def location_handles_rejected(t):
+    return _location_handles(t)[2]
+
+
+@query
+def kept_counts_by_room(t):
+    """Counts kept up over a batch of location changes and a batch of flips."""
+    devices, places = stored(kept_counts.device_counts(t.located), "devices"), stored(kept_counts.location_counts(t.rooms), "places")
+    after, room_log, _ = _location_changes(t)
+    after = stored(after, "after")
+    flip_log = toggle_loaner(t.located, t.derived("toggle_commands"))[1]
+    devices = kept_counts.add_deltas(devices, kept_counts.flag_deltas(flip_log, t.located))
+    places = kept_counts.add_deltas(places, kept_counts.location_deltas(room_log, t.rooms, after))
+    return kept_counts.kept_by_room(after, devices, places)

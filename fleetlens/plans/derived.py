@@ -153,8 +153,36 @@ SELECT event_id AS command_id, ts AS command_ts, 'UPDATE' AS kind, event_id % 90
        concat('user', user_id) AS changed_by
 FROM {events}"""
 
+# Rooms named by the commands that make them, twelve commands to a group. A group fights over four rooms of its own, and
+# some want a room that stays taken; the first groups also move two stored locations.
+LOCATION_HANDLES = """
+SELECT command_id, command_ts, kind, CASE WHEN kind = 'CREATE' THEN NULL WHEN of_stored THEN stored_id ELSE made_id END AS location_id,
+       CASE WHEN kind = 'DELETE' OR event_type = 'view' AND kind = 'UPDATE' THEN NULL WHEN wants_taken THEN concat('Vacant ', s_nationkey)
+            WHEN kind = 'CREATE' OR event_type = 'purchase' OR of_stored THEN concat('G', g) END AS site_name,
+       CASE WHEN kind = 'DELETE' OR event_type = 'view' AND kind = 'UPDATE' THEN NULL WHEN wants_taken THEN concat('V', s_suppkey)
+            ELSE concat('r', (user_id + event_id) % 4) END AS room_number,
+       CASE WHEN kind = 'CREATE' OR event_type = 'view' AND event_id % 7 > 0 THEN concat('Name ', user_id % 3) END AS room_name,
+       CASE WHEN kind = 'CREATE' THEN 'Other' END AS room_type, concat('user', user_id) AS changed_by
+FROM (SELECT event_id, event_type, user_id, g, s_suppkey, s_nationkey, ts AS command_ts, 10000000 + event_id AS command_id,
+             CASE WHEN event_type = 'signup' OR event_id % 12 < 2 THEN 'CREATE' WHEN event_type = 'error' THEN 'DELETE'
+                  ELSE 'UPDATE' END AS kind,
+             user_id % 4 = 0 AND event_id < 600 AS of_stored, 2 * g + 1 + user_id % 2 AS stored_id,
+             10000000 + 12 * g + user_id % 5 AS made_id, s_suppkey IS NOT NULL AND user_id % 5 = 0 AND event_type <> 'view' AS wants_taken
+      FROM (SELECT *, CAST((event_id - event_id % 12) / 12 AS BIGINT) AS g FROM {events}) e LEFT JOIN {supplier} ON s_suppkey = g) rows"""
+
+_SPELLED = """CASE WHEN inventory_id % 3 = 0 THEN upper({0}) WHEN inventory_id % 5 = 0 THEN {0} || ' '
+         WHEN inventory_id % 7 = 0 THEN lower({0}) ELSE {0} END AS {0}"""
+
+# The inventory as several people typed it.
+MIXED = f"""
+SELECT inventory_id, {', '.join(_SPELLED.format(c) for c in ("site_name", "room_number", "room_name", "asset_tag", "asset_type"))},
+       model, {', '.join(_SPELLED.format(c) for c in ("serial_number", "notes", "assigned_to"))},
+       date_assigned, date_decommissioned, location_id, is_loaner
+FROM ({INVENTORY}) inventory"""
+
 NEEDS = {
     "inventory": (INVENTORY, ["orders", "customer", "nation"]),
+    "mixed": (MIXED, ["orders", "customer", "nation"]),
     "sheet": (SHEET, ["orders", "customer", "nation"]),
     "vacant": (VACANT, ["supplier"]),
     "loans": (LOANS, ["events"]),
@@ -166,6 +194,7 @@ NEEDS = {
     "loan_returns": (LOAN_RETURNS, ["events"]),
     "location_moves": (LOCATION_MOVES, ["events"]),
     "loan_handles": (LOAN_HANDLES, ["events"]),
+    "location_handles": (LOCATION_HANDLES, ["events", "supplier"]),
 }
 
 

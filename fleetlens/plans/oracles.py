@@ -38,6 +38,15 @@ FROM (SELECT {_SITE} AS s, {_ROOM} AS r, min(room_name) AS n FROM inventory WHER
 
 _STEPS = {
     "locations": (["inventory"], _locations(_NINE)),
+    "spelled": (
+        ["locations"],
+        """
+SELECT location_id, if(location_id % 2 = 0, lower(site_name), site_name) AS site_name,
+       if(location_id % 2 = 0, lower(room_number), room_number) AS room_number,
+       if(location_id % 2 = 0, lower(room_name), room_name) AS room_name,
+       if(location_id % 2 = 0, lower(room_type), room_type) AS room_type FROM locations""",
+    ),
+    "early_rooms": (["inventory"], _locations(_NINE, "is_loaner")),
     "located": (
         ["inventory", "locations"],
         f"""
@@ -67,8 +76,8 @@ FROM located WHERE asset_tag <> '' AND asset_type IS NOT NULL AND asset_tag NOT
         ["located", "open_loans"],
         """
 SELECT i.inventory_id, site_name, room_number, room_name, asset_tag, asset_type, model, serial_number,
-       i.notes AS inventory_notes, assigned_to, date_assigned, date_decommissioned, location_id, checkout_id, user_name,
-       checkout_date, expected_return_date, checkin_date, checkout_notes
+       i.notes AS inventory_notes, assigned_to, date_assigned, date_decommissioned, location_id, is_loaner, checkout_id, user_name,
+       checkout_date, expected_return_date, checkout_notes
 FROM located i JOIN open_loans o ON o.inventory_id = i.inventory_id WHERE is_loaner""",
     ),
     # Loan commands, all naming devices. A device is out after a CHECKOUT and in after a CHECKIN.
@@ -191,6 +200,55 @@ FROM toggle_commands c JOIN tag_flags f USING (asset_tag) WHERE devices = 1""",
         """
 SELECT * FROM locations UNION ALL
 SELECT (SELECT max(location_id) FROM locations) + row_number() OVER (ORDER BY room_number) AS location_id, * FROM vacant""",
+    ),
+    # Rooms named by their commands, one command of each group after the other; the state lists the rooms of the group.
+    "room_line": (
+        ["location_handles"],
+        """
+SELECT *, (command_id - 10000000) // 12 AS g,
+       row_number() OVER (PARTITION BY (command_id - 10000000) // 12 ORDER BY command_ts, command_id) AS n
+FROM location_handles""",
+    ),
+    "room_steps": (
+        ["room_line", "rooms", "located"],
+        """
+SELECT * FROM (
+WITH RECURSIVE walk AS (
+  SELECT g, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS command_id, CAST(NULL AS VARCHAR) AS reason,
+         list({'id': r.location_id, 'site': r.site_name, 'room': r.room_number, 'name': r.room_name, 'type': r.room_type})
+           FILTER (r.location_id IS NOT NULL) AS state,
+         CAST(NULL AS STRUCT(id BIGINT, site VARCHAR, room VARCHAR, "name" VARCHAR, "type" VARCHAR)) AS cur
+  FROM (SELECT DISTINCT g FROM room_line) LEFT JOIN supplier ON s_suppkey = g
+  LEFT JOIN rooms r ON (r.location_id IN (2 * g + 1, 2 * g + 2) AND g < 50) OR (r.site_name = 'Vacant ' || s_nationkey AND r.room_number = 'V' || s_suppkey)
+  GROUP BY g
+  UNION ALL
+  SELECT g, n, command_id, reason,
+         CASE WHEN reason IS NOT NULL THEN state
+              WHEN kind = 'DELETE' THEN list_filter(state, lambda r: r.id <> location_id)
+              ELSE list_append(list_filter(coalesce(state, []), lambda r: r.id <> id), {'id': id, 'site': to_site, 'room': to_room,
+                   'name': coalesce(room_name, cur.name), 'type': coalesce(room_type, cur.type)}) END,
+         cur
+  FROM (
+    SELECT *, CASE WHEN kind = 'CREATE' THEN CASE WHEN taken THEN 'Location already exists' END
+                   WHEN cur IS NULL THEN 'Location not found'
+                   WHEN kind = 'DELETE' THEN CASE WHEN location_id IN (SELECT i.location_id FROM located i WHERE i.location_id IS NOT NULL)
+                     THEN 'Cannot delete location that has inventory items assigned to it' END
+                   WHEN coalesce(site_name, room_number, room_name, room_type) IS NULL THEN 'No fields to update'
+                   WHEN taken THEN 'Location already exists' END AS reason
+    FROM (
+      SELECT *, len(list_filter(coalesce(state, []), lambda r: r.site = to_site AND r.room = to_room AND r.id <> id)) > 0 AS taken
+      FROM (
+        SELECT *, coalesce(site_name, cur.site) AS to_site, coalesce(room_number, cur.room) AS to_room
+        FROM (
+          SELECT l.*, w.state, CASE WHEN l.kind = 'CREATE' THEN l.command_id ELSE l.location_id END AS id,
+                 list_filter(coalesce(w.state, []), lambda r: r.id = l.location_id)[1] AS cur
+          FROM walk w JOIN room_line l ON l.g = w.g AND l.n = w.n + 1)))))
+SELECT * FROM walk) steps""",
+    ),
+    "room_ends": (
+        ["room_steps"],
+        """
+SELECT unnest(state) AS r FROM (SELECT g, arg_max(state, n) AS state FROM room_steps GROUP BY g) ends""",
     ),
     # Location commands: new rooms only compete with each other, updates keep site and room.
     "removable": (
@@ -414,8 +472,7 @@ _add(
     "location_exists",
     """
 SELECT DISTINCT i.site_name, i.room_number, l.location_id IS NOT NULL AS "exists", l.location_id
-FROM inventory i LEFT JOIN locations l ON l.site_name = i.site_name AND l.room_number = i.room_number
-WHERE i.site_name IS NOT NULL AND i.room_number IS NOT NULL""",
+FROM inventory i LEFT JOIN locations l ON l.site_name = i.site_name AND l.room_number = i.room_number""",
     "inventory",
     "locations",
 )
@@ -588,6 +645,7 @@ _add("migrated_sample_left", _SAMPLE.format(join="LEFT", seed=11), "equipment",
 _add("available_loaners", "SELECT * FROM available", "available")
 _add("available_in_service", "SELECT * FROM available WHERE coalesce(date_decommissioned, '') = ''", "available")
 _add("checked_out_loaners", "SELECT * FROM checked_out", "checked_out")
+_add("checked_out_view", "SELECT * FROM checked_out", "checked_out")
 _LATE = f"CASE WHEN expected_return_date < {AS_OF_SQL} THEN 1 ELSE 0 END AS is_overdue"
 _add(
     "active_loans",
@@ -996,3 +1054,230 @@ FROM (SELECT *, 'site_name' AS field_name, prev_site AS old_value, site_name AS
 WHERE new_value <> old_value""",
     "moved",
 )
+_add(
+    "location_handles",
+    """
+SELECT * FROM rooms WHERE location_id > 100
+UNION ALL
+SELECT r.id, r.site, r.room, r.name, r.type FROM room_ends WHERE r.id <= 100 OR r.id >= 10000000""",
+    "rooms",
+    "room_ends",
+)
+_add(
+    "location_handles_audit",
+    """
+SELECT kind AS action_type, 'LOC_' || CASE WHEN kind = 'CREATE' THEN l.command_id ELSE location_id END AS asset_tag, x.f AS field_name,
+       x.o AS old_value, x.n AS new_value, changed_by, command_ts AS changed_at, CAST(NULL AS VARCHAR) AS notes
+FROM (
+  SELECT l.*, unnest(CASE
+    WHEN kind = 'CREATE' THEN [{'f': 'location', 'o': NULL, 'n': site_name || ' - ' || room_number}]
+    WHEN kind = 'DELETE' THEN [{'f': 'location', 'o': cur.site || ' - ' || cur.room, 'n': NULL}]
+    ELSE list_filter([{'f': 'site_name', 'o': cur.site, 'n': site_name}, {'f': 'room_number', 'o': cur.room, 'n': room_number},
+                      {'f': 'room_name', 'o': cur.name, 'n': room_name}, {'f': 'room_type', 'o': cur.type, 'n': room_type}],
+                     lambda c: c.o <> c.n) END) AS x
+  FROM room_line l JOIN room_steps s USING (command_id) WHERE reason IS NULL) l""",
+    "room_line",
+    "room_steps",
+)
+_add("location_handles_rejected", "SELECT command_id, reason FROM room_steps WHERE reason IS NOT NULL", "room_steps")
+ORACLES["loan_stream_repeats_loans"] = ORACLES["loan_handles_loans"]
+_add(
+    "refill_locations",
+    """
+SELECT * FROM early_rooms UNION ALL
+SELECT (SELECT max(location_id) FROM early_rooms) + row_number() OVER (ORDER BY site_name, room_number), site_name, room_number, room_name, room_type
+FROM locations l WHERE NOT EXISTS (SELECT 1 FROM early_rooms e WHERE e.site_name = l.site_name AND e.room_number = l.room_number)""",
+    "locations",
+    "early_rooms",
+)
+_add(
+    "insert_absent",
+    """
+SELECT row_number() OVER (ORDER BY early DESC, site_name NULLS FIRST, room_number NULLS FIRST) AS room_id, site_name, room_number, room_name
+FROM (
+  SELECT site_name, room_number, bool_or(is_loaner) AS early, first(room_name ORDER BY is_loaner DESC, room_name NULLS FIRST) AS room_name
+  FROM inventory GROUP BY site_name, room_number) rooms""",
+    "inventory",
+)
+
+# --- keys under a collation ----------------------------------------------------------------------
+_add("collated_equals", "SELECT * FROM mixed WHERE rtrim(site_name) COLLATE NOCASE = 'france'", "mixed")
+_add(
+    "collated_lookup",
+    """
+SELECT * FROM mixed
+WHERE rtrim(asset_tag) COLLATE NOCASE IN (SELECT asset_tag FROM inventory WHERE is_loaner AND asset_tag IS NOT NULL)""",
+    "mixed",
+    "inventory",
+)
+_add(
+    "collated_assign_location",
+    """
+SELECT inventory_id, m.site_name, m.room_number, s.location_id FROM mixed m
+LEFT JOIN spelled s ON rtrim(coalesce(m.site_name, 'Unknown')) COLLATE NOCASE = s.site_name
+  AND rtrim(coalesce(m.room_number, 'Unknown')) COLLATE NOCASE = s.room_number""",
+    "mixed",
+    "spelled",
+)
+_add(
+    "collated_duplicate_rows",
+    """
+SELECT inventory_id, asset_tag, site_name, serial_number FROM (
+  SELECT *, count(*) OVER (PARTITION BY lower(rtrim(serial_number)), lower(rtrim(site_name))) AS n FROM mixed
+  WHERE serial_number IS NOT NULL AND site_name IS NOT NULL) keyed
+WHERE n > 1""",
+    "mixed",
+)
+_add(
+    "collated_duplicate_keys",
+    """
+SELECT min(asset_tag) AS asset_tag, count(*) AS duplicate_count FROM mixed WHERE asset_tag IS NOT NULL
+GROUP BY rtrim(asset_tag) COLLATE NOCASE HAVING count(*) > 1""",
+    "mixed",
+)
+_add(
+    "collated_location_exists",
+    """
+SELECT w.site_name, w.room_number, s.location_id IS NOT NULL AS exists, s.location_id
+FROM (SELECT min(site_name) AS site_name, min(room_number) AS room_number FROM mixed
+      GROUP BY rtrim(site_name) COLLATE NOCASE, rtrim(room_number) COLLATE NOCASE) w
+LEFT JOIN spelled s ON rtrim(w.site_name) COLLATE NOCASE = s.site_name AND rtrim(w.room_number) COLLATE NOCASE = s.room_number""",
+    "mixed",
+    "spelled",
+)
+_add(
+    "collated_inventory_profile",
+    """
+SELECT count(*) AS total_records, count(DISTINCT lower(rtrim(asset_tag))) AS unique_assets,
+       count(DISTINCT lower(rtrim(site_name))) AS unique_sites, count(DISTINCT lower(rtrim(room_number))) AS unique_rooms,
+       count(DISTINCT lower(rtrim(coalesce(site_name, '') || coalesce(room_number, '')))) AS unique_locations,
+       count(*) FILTER (rtrim(coalesce(asset_tag, '')) = '') AS null_asset_tags,
+       count(*) FILTER (rtrim(coalesce(site_name, '')) = '') AS null_sites,
+       count(*) FILTER (rtrim(coalesce(room_number, '')) = '') AS null_rooms FROM mixed""",
+    "mixed",
+)
+_add(
+    "collated_site_summary",
+    """
+SELECT min(site_name) AS site_name, count(DISTINCT lower(rtrim(room_number))) AS unique_rooms, count(*) AS total_records,
+       count(*) FILTER (rtrim(coalesce(asset_tag, '')) = '') AS records_without_assets FROM mixed GROUP BY rtrim(site_name) COLLATE NOCASE""",
+    "mixed",
+)
+_add(
+    "collated_room_name_frequency",
+    """
+SELECT 'Room Type Analysis' AS analysis, min(room_name) AS room_name, count(*) AS count,
+       count(*) FILTER (rtrim(coalesce(asset_tag, '')) = '') AS null_asset_count FROM mixed GROUP BY rtrim(room_name) COLLATE NOCASE""",
+    "mixed",
+)
+_add(
+    "collated_location_list",
+    """
+SELECT row_number() OVER (ORDER BY site_name COLLATE NOCASE, room_number COLLATE NOCASE, location_id) AS position, * FROM spelled""",
+    "spelled",
+)
+_add(
+    "collated_room_types",
+    """
+SELECT row_number() OVER (ORDER BY lower(room_type)) AS position, room_type
+FROM (SELECT min(room_type) AS room_type FROM spelled GROUP BY room_type COLLATE NOCASE) types""",
+    "spelled",
+)
+_add(
+    "collated_page",
+    """
+SELECT row_number() OVER (ORDER BY lower(site_name), lower(room_number), lower(rtrim(asset_tag)) NULLS FIRST, inventory_id) AS position, *
+FROM (
+  SELECT inventory_id, s.site_name, s.room_number, s.room_name, s.room_type, asset_tag, asset_type, model, serial_number, notes,
+         assigned_to, date_assigned, date_decommissioned, is_loaner
+  FROM located JOIN spelled s USING (location_id) WHERE s.room_type COLLATE NOCASE = 'workspace'
+  ORDER BY lower(s.site_name), lower(s.room_number), lower(rtrim(asset_tag)) NULLS FIRST, inventory_id LIMIT 25 OFFSET 75) rows""",
+    "located",
+    "spelled",
+)
+_add(
+    "collated_keyset_page",
+    """
+SELECT * FROM mixed WHERE lower(rtrim(serial_number)) > 'sn1000' OR (lower(rtrim(serial_number)) = 'sn1000' AND inventory_id > 1001)
+ORDER BY lower(rtrim(serial_number)), inventory_id LIMIT 35""",
+    "mixed",
+)
+_add(
+    "collated_sort",
+    """
+SELECT row_number() OVER (ORDER BY lower(rtrim(coalesce(assigned_to, ''))) DESC, inventory_id) AS position, * FROM mixed""",
+    "mixed",
+)
+
+# --- stored layouts ------------------------------------------------------------------------------
+_PAGE_ORDER = "site_name NULLS FIRST, room_number NULLS FIRST, asset_tag NULLS FIRST, inventory_id"
+_NUMBERED = f"(SELECT *, row_number() OVER (ORDER BY {_PAGE_ORDER}) AS n, count(*) OVER () AS total FROM inventory)"
+_add("deep_page", f"SELECT * EXCLUDE (n, total), n - 1200 AS position FROM {_NUMBERED} WHERE n > 1200 AND n <= 1225", "inventory")
+_BOUNDARY = """
+SELECT coalesce(max(serial_number), '') AS boundary FROM (
+  SELECT serial_number FROM sheet ORDER BY serial_number NULLS FIRST, inventory_id LIMIT 1201) first_rows"""
+_add("deep_boundary", _BOUNDARY, "sheet")
+_add("directory_boundary", _BOUNDARY, "sheet")
+_add(
+    "directory_page",
+    f"""
+SELECT * EXCLUDE (n, total, page), row_number() OVER (ORDER BY n) AS position
+FROM (SELECT *, (n + 24) // 25 AS page FROM {_NUMBERED}) WHERE page = ((total + 24) // 25 + 1) // 2""",
+    "inventory",
+)
+_add(
+    "directory_numbers",
+    "SELECT count(*) AS total_items, 3 AS page, 25 AS per_page, (count(*) + 24) // 25 AS total_pages FROM inventory",
+    "inventory",
+)
+_add(
+    "profile_of_sketches",
+    f"""
+SELECT measure, exact_count, true AS is_close FROM (UNPIVOT ({_PROFILE}) ON COLUMNS(*) INTO NAME measure VALUE exact_count)""",
+    "inventory",
+)
+_add(
+    "schema_gate",
+    """
+SELECT unnest(['missing columns: asset_tag, is_loaner', 'missing tables: locations, loans']) AS message, count(*) AS rows FROM sheet""",
+    "sheet",
+)
+_add(
+    "asset_history_by_tag",
+    """
+SELECT * FROM (SELECT * REPLACE (row_number() OVER (ORDER BY audit_id) AS audit_id) FROM audit_log) log
+WHERE asset_tag IN (SELECT asset_tag FROM inventory WHERE room_name = 'Office Annex' AND asset_tag IS NOT NULL)""",
+    "audit_log",
+    "inventory",
+)
+_add(
+    "version_diff",
+    f"""
+SELECT if(gone, 'DELETE', 'UPDATE') AS action_type, CAST(inventory_id AS VARCHAR) AS asset_tag, c.f AS field_name, c.o AS old_value,
+       if(gone, NULL, c.n) AS new_value, 'Migration Script' AS changed_by, {AS_OF_SQL} AS changed_at, CAST(NULL AS VARCHAR) AS notes
+FROM (
+  SELECT inventory_id, coalesce(room_name = 'Office Annex', false) AS gone,
+         unnest([{{'f': 'assigned_to', 'o': assigned_to, 'n': if(notes = 'temporary desk', 'desk', assigned_to)}},
+                 {{'f': 'asset_type', 'o': asset_type, 'n': asset_type}},
+                 {{'f': 'is_loaner', 'o': if(is_loaner, 'True', 'False'), 'n': if(is_loaner, 'True', 'False')}}]) AS c
+  FROM inventory) cells
+WHERE gone OR c.o IS DISTINCT FROM c.n""",
+    "inventory",
+)
+_add(
+    "kept_counts_by_room",
+    """
+SELECT f.site_name, f.room_type, count(DISTINCT f.location_id) AS locations, count(inventory_id) AS devices,
+       count(*) FILTER (flag) AS loaners
+FROM (SELECT location_id, site_name, room_type FROM loc_final WHERE location_id NOT IN (SELECT location_id FROM removals)
+      UNION ALL SELECT location_id, site_name, room_type FROM loc_created) f
+LEFT JOIN (
+  SELECT inventory_id, location_id, CASE WHEN coalesce(k, 0) % 2 = 1 THEN NOT is_loaner ELSE is_loaner END AS flag
+  FROM located LEFT JOIN (SELECT asset_tag, count(*) AS k FROM flips GROUP BY asset_tag) t USING (asset_tag)) d USING (location_id)
+GROUP BY f.site_name, f.room_type""",
+    "loc_final",
+    "loc_created",
+    "removals",
+    "located",
+    "flips",
+)

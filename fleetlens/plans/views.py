@@ -6,16 +6,17 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
+from fleetlens.schemas import CHECKED_OUT_COLUMNS
+
 #: The views by name. They are looked up anew by each query, so a later checkout shows in them.
 VIEWS = {
     "available_loaners": """
 SELECT * FROM {inventory} i
 WHERE is_loaner AND NOT EXISTS (SELECT 1 FROM {loans} o WHERE o.checkin_date IS NULL AND o.inventory_id = i.inventory_id)""",
-    "checked_out_loaners": """
-SELECT i.inventory_id, i.site_name, i.room_number, i.room_name, i.asset_tag, i.asset_type, i.model, i.serial_number,
-       i.notes AS inventory_notes, i.assigned_to, i.date_assigned, i.date_decommissioned, i.location_id, o.checkout_id,
-       o.user_name, o.checkout_date, o.expected_return_date, o.checkin_date, o.checkout_notes
-FROM {inventory} i JOIN {loans} o ON o.inventory_id = i.inventory_id WHERE i.is_loaner AND o.checkin_date IS NULL""",
+    "checked_out_loaners": f"""
+SELECT {', '.join(CHECKED_OUT_COLUMNS)}
+FROM (SELECT *, notes AS inventory_notes FROM {{inventory}} WHERE is_loaner)
+JOIN (SELECT * FROM {{loans}} WHERE checkin_date IS NULL) USING (inventory_id)""",
     "loan_status": """
 SELECT i.inventory_id, coalesce(i.asset_tag, '') AS asset_tag, coalesce(i.asset_type, '') AS asset_type,
        coalesce(i.model, '') AS model, coalesce(i.serial_number, '') AS serial_number,

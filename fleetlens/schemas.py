@@ -79,6 +79,19 @@ LOANER_CHECKOUTS = T.StructType(
     ]
 )
 
+# The columns of the list of devices that are out, in their order.
+CHECKED_OUT_COLUMNS = [
+    "inventory_id", "site_name", "room_number", "room_name", "asset_tag", "asset_type", "model", "serial_number",
+    "inventory_notes", "assigned_to", "date_assigned", "date_decommissioned", "location_id", "is_loaner",
+    "checkout_id", "user_name", "checkout_date", "expected_return_date", "checkout_notes",
+]
+
+# The columns of a page of devices, in their order.
+PAGE_COLUMNS = [
+    "inventory_id", "site_name", "room_number", "room_name", "room_type", "asset_tag", "asset_type", "model",
+    "serial_number", "notes", "assigned_to", "date_assigned", "date_decommissioned", "is_loaner",
+]
+
 EQUIPMENT = T.StructType(
     [
         _text("asset_tag", 100, True),

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.cells import log_text
+from fleetlens.functions.cells import all_of, log_text
 from fleetlens.operators.ordering import assign_ids
 from fleetlens.schemas import AUDIT_COLUMNS, AUDIT_LOG
-from fleetlens.sources.storage import exists
+from fleetlens.sources.storage import exists, stored
 
 _VERSIONS = T.StructType(
     [T.StructField("version", T.LongType(), False), T.StructField("path", T.StringType(), False)]
@@ -75,6 +75,31 @@ def insert_select_distinct(source: DataFrame, columns: list[str], path: str) ->
     source.select(*columns).distinct().write.mode("append").parquet(path)
 
 
+def insert_absent(
+    source: DataFrame, columns: list[str], key: list[str], path: str, id_name: str | None = None
+) -> DataFrame:
+    """Append one row per ``key`` that the table at ``path`` lacks, and return what was appended.
+
+    Of several rows with the same key the smallest counts; NULL in a key is a value like any other.
+    With ``id_name`` the new rows get ids behind the largest one, in the order of their keys. A second
+    run over the same source appends nothing.
+    """
+    spark = source.sparkSession
+    others = [c for c in columns if c not in key]
+    smallest = F.min(F.struct(*others)) if others else F.count("*")
+    rows = source.groupBy(*key).agg(smallest.alias("_row"))
+    start = 1
+    if exists(spark, path):
+        stored_rows = spark.read.parquet(path)
+        held = stored_rows.select(*[F.col(c).alias(f"_held_{c}") for c in key])
+        rows = rows.join(held, all_of([F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key]), "left_anti")
+        start = next_id(stored_rows, id_name) if id_name else 1
+    rows = rows.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in columns])
+    fresh = stored(assign_ids(rows, key, start, id_name) if id_name else rows, "absent")
+    fresh.write.mode("append").parquet(path)
+    return fresh
+
+
 def to_log_rows(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Old and new values as text, with missing log columns filled by NULL."""
     kinds = {f.name: f.dataType for f in rows.schema}
@@ -97,6 +122,14 @@ def append_audit(
     Ids go on behind the largest of the log unless ``start`` is given. ``as_of`` stands in for a
     time of change that is missing; without it such a record is refused.
     """
+    numbered = numbered_audit(rows, path, order, start, as_of)
+    numbered.select("audit_id", *AUDIT_COLUMNS).write.mode("append").parquet(path)
+
+
+def numbered_audit(
+    rows: DataFrame, path: str, order: list[str], start: int | None = None, as_of: datetime | None = None
+) -> DataFrame:
+    """What ``append_audit`` appends to the log at ``path``."""
     extra = [c for c in order if c not in AUDIT_COLUMNS]
     if start is None:
         spark = rows.sparkSession
@@ -106,8 +139,7 @@ def append_audit(
         rows = rows.withColumn("changed_at", F.coalesce("changed_at", F.lit(as_of).cast("timestamp_ntz")))
     elif not rows.where("changed_at IS NULL").isEmpty():
         raise ValueError("records without changed_at need as_of")
-    numbered = assign_ids(rows, order, start, "audit_id")
-    numbered.select("audit_id", *AUDIT_COLUMNS).write.mode("append").parquet(path)
+    return assign_ids(rows, order, start, "audit_id")
 
 
 def next_id(df: DataFrame, name: str) -> int:

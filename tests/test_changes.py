@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from fleetlens import schemas
-from fleetlens.operators import location_changes, skew
+from fleetlens.operators import kept_counts, location_changes, skew
 from fleetlens.operators.loan_changes import (
     DUE_TOO_EARLY,
     MISSING_CHECKOUT,
@@ -238,7 +238,7 @@ def test_due_date_is_checked_on_request(spark):
 # --- locations -----------------------------------------------------------------------------------
 
 
-def simulate_locations(locs, used, cmds):
+def simulate_locations(locs, used, cmds, ids_from_commands=False):
     state = {l[0]: dict(zip(FIELDS, l[1:])) for l in locs}
     start = max(state, default=0) + 1
     names, created, audit, rejected = {}, [], [], {}
@@ -256,11 +256,13 @@ def simulate_locations(locs, used, cmds):
             elif holder(values["site_name"], values["room_number"]):
                 rejected[cid] = EXISTS
             else:
-                key = start + len(created)
+                key = cid if ids_from_commands else start + len(created)
                 created.append(key)
                 state[key] = dict(values)
                 audit.append(("CREATE", f"LOC_{key}", "location", None, f"{values['site_name']} - {values['room_number']}", by, ts))
-        elif c["kind"] in ("UPDATE", "DELETE") and (c["location_id"] not in state or c["location_id"] >= start):
+        elif c["kind"] in ("UPDATE", "DELETE") and (
+            c["location_id"] not in state or (c["location_id"] >= start and not ids_from_commands)
+        ):
             rejected[cid] = NOT_FOUND
         elif c["kind"] == "UPDATE":
             old = state[c["location_id"]]
@@ -333,6 +335,105 @@ def test_location_batches(spark, join_kind, request):
     assert EXISTS in want_rejected.values() and len(want_audit) > 20
 
 
+def run_locations(spark, locs, used, cmds, **more):
+    names = schemas.LOCATION_COMMANDS.fieldNames()
+    new, audit, rejected = apply_location_changes(
+        spark.createDataFrame(locs, schemas.LOCATIONS),
+        inventory(spark, [(i, f"T{i}", False, i) for i in used]),
+        spark.createDataFrame([tuple(c[n] for n in names) for c in cmds], schemas.LOCATION_COMMANDS),
+        **more,
+    )
+    log = [(r.action_type, r.asset_tag, r.field_name, r.old_value, r.new_value, r.changed_by, r.changed_at) for r in audit.collect()]
+    return sorted(map(tuple, new.collect())), sorted(map(repr, log)), {r.command_id: r.reason for r in rejected.collect()}
+
+
+def expect_locations(*args, **more):
+    new, log, rejected = simulate_locations(*args, **more)
+    return sorted(new), sorted(map(repr, log)), rejected
+
+
+def named_by_command(seed, commands=220):
+    """Random commands, most of which name a location by the command that makes it, or one that does not."""
+    locs, used, cmds = random_locations(seed, commands=commands)
+    rng = random.Random(seed)
+    cmds.sort(key=lambda c: (c["command_ts"], c["command_id"]))
+    for at, c in enumerate(cmds):
+        c["command_id"] += 1000
+        if rng.random() < 0.3:
+            c["kind"] = "CREATE"
+            c["given"] = list(FIELDS) if rng.random() < 0.9 else c["given"]
+    makers = [c["command_id"] for c in cmds if c["kind"] == "CREATE"]
+    for at, c in enumerate(cmds):
+        if c["kind"] != "CREATE" and rng.random() < 0.75:
+            earlier = [m["command_id"] for m in cmds[max(0, at - 12) : at] if m["kind"] == "CREATE"]
+            c["location_id"] = rng.choice(earlier or makers) if rng.random() < 0.8 else rng.choice([m["command_id"] for m in cmds])
+        elif c["kind"] == "CREATE" and rng.random() < 0.1:
+            c["location_id"] = rng.choice(makers)
+    return locs, used, cmds
+
+
+def test_rooms_named_by_their_commands(spark, join_kind, request):
+    locs, used, cmds = named_by_command(3 if "shares" in request.node.name else 4)
+    want = expect_locations(locs, used, cmds, ids_from_commands=True)
+    assert run_locations(spark, locs, used, cmds, ids_from_commands=True) == want
+    named = {c["command_id"] for c in cmds if (c["location_id"] or 0) >= 1000 and c["kind"] != "CREATE"}
+    assert len(named - set(want[2])) > 5 and len(named & set(want[2])) > 5
+
+
+def test_a_log_cut_in_two_gives_the_same_rooms(spark, cut=90):
+    locs, used, cmds = named_by_command(5)
+    locs_between, log, rejected = run_locations(spark, locs, used, cmds[:cut], ids_from_commands=True)
+    after, more_log, more_rejected = run_locations(spark, locs_between, used, cmds[cut:], ids_from_commands=True)
+    assert (after, sorted(log + more_log), rejected | more_rejected) == run_locations(spark, locs, used, cmds, ids_from_commands=True)
+
+
+def test_one_room_made_changed_moved_and_removed(spark):
+    def cmd(n, kind, location_id=None, **values):
+        values = {"site_name": None, "room_number": None, "room_name": None, "room_type": None} | values
+        return dict(command_id=n, command_ts=START + timedelta(minutes=n), kind=kind, location_id=location_id, given=[f for f in values if values[f]], changed_by="ann", **values)
+
+    full = {"site_name": "S", "room_number": "R", "room_name": "x", "room_type": "Other"}
+    cmds = [
+        cmd(101, "UPDATE", 102, room_name="too early"), cmd(102, "CREATE", **full), cmd(103, "UPDATE", 102, room_name="y"),
+        cmd(104, "CREATE", **full), cmd(105, "UPDATE", 104, room_name="of a refused room"), cmd(106, "UPDATE", 104, site_name="T"),
+        cmd(107, "UPDATE", 102, room_number="R2"), cmd(108, "CREATE", **full), cmd(109, "DELETE", 102), cmd(110, "DELETE", 102),
+        cmd(111, "UPDATE", 108, room_number="R2"), cmd(112, "DELETE", 104),
+    ]
+    new, log, rejected = run_locations(spark, [(1, "A", "B", "x", "Other")], {1}, cmds, ids_from_commands=True)
+    assert new == [(1, "A", "B", "x", "Other"), (108, "S", "R2", "x", "Other")]
+    assert rejected == {101: NOT_FOUND, 104: EXISTS, 105: NOT_FOUND, 106: NOT_FOUND, 110: NOT_FOUND, 112: NOT_FOUND}
+    assert (new, log, rejected) == expect_locations([(1, "A", "B", "x", "Other")], {1}, cmds, ids_from_commands=True)
+
+
+def count_passes(monkeypatch):
+    passes, inner = [], location_changes._winners
+    monkeypatch.setattr(location_changes, "_winners", lambda *a: passes.append(1) or inner(*a))
+    return passes
+
+
+def test_chain_of_new_rooms(spark, monkeypatch, chain=512):
+    """Rooms are made and then all move one door down; the last door is taken, then empties for a second try."""
+    locs = [(1, "S", "R0", "x", "Other"), (2, "T", "R0", "x", "Other")]
+    base = dict(site_name=None, room_number=None, room_name=None, room_type=None, changed_by="ann", location_id=None)
+    cmds, clock = [], 1000
+    for n in range(1, chain + 1):
+        clock += 1
+        cmds.append(base | dict(command_id=clock, kind="CREATE", site_name="S", room_number=f"R{n}", room_name="x", room_type="Other", given=FIELDS))
+    for turn in range(2):
+        for n in range(1, chain + 1):
+            clock += 1
+            cmds.append(base | dict(command_id=clock, kind="UPDATE", location_id=1000 + n, room_number=f"R{n - 1}", given=["room_number"]))
+        if turn == 0:
+            clock += 1
+            cmds.append(base | dict(command_id=clock, kind="DELETE", location_id=1, given=[]))
+    for c in cmds:
+        c["command_ts"] = START + timedelta(minutes=c["command_id"])
+    passes = count_passes(monkeypatch)
+    got = run_locations(spark, locs, {2}, cmds, ids_from_commands=True)
+    assert got == expect_locations(locs, {2}, cmds, ids_from_commands=True)
+    assert len(got[2]) == chain and len(passes) <= chain.bit_length() + 1
+
+
 def test_one_room_changes_hands_many_times(spark, monkeypatch):
     """Every move waits for the one before it; the passes must not grow with their number."""
     locs = [(n, f"S{n}", "R0", "x", "Other") for n in range(1, 31)]
@@ -347,9 +448,7 @@ def test_one_room_changes_hands_many_times(spark, monkeypatch):
                     given=["site_name", "room_number"], changed_by="ann",
                 )
             )
-    passes = []
-    inner = location_changes._winners
-    monkeypatch.setattr(location_changes, "_winners", lambda *a: passes.append(1) or inner(*a))
+    passes = count_passes(monkeypatch)
     names = schemas.LOCATION_COMMANDS.fieldNames()
     new, audit, rejected = apply_location_changes(
         spark.createDataFrame(locs, schemas.LOCATIONS),
@@ -364,7 +463,7 @@ def test_one_room_changes_hands_many_times(spark, monkeypatch):
     assert len(passes) < 12
 
 
-@pytest.mark.parametrize("chain", [8, 64])
+@pytest.mark.parametrize("chain", [64, 512])
 def test_chain_of_refused_moves(spark, monkeypatch, chain):
     """Everyone moves one door down, and the last door is taken: all stay, found out in a few passes."""
     locs = [(n, "S", f"R{n}", "x", "Other") for n in range(1, chain + 2)]
@@ -375,9 +474,7 @@ def test_chain_of_refused_moves(spark, monkeypatch, chain):
         )
         for clock in range(1, chain + 1)
     ]
-    passes = []
-    inner = location_changes._winners
-    monkeypatch.setattr(location_changes, "_winners", lambda *a: passes.append(1) or inner(*a))
+    passes = count_passes(monkeypatch)
     names = schemas.LOCATION_COMMANDS.fieldNames()
     new, _, rejected = apply_location_changes(
         spark.createDataFrame(locs, schemas.LOCATIONS),
@@ -389,6 +486,28 @@ def test_chain_of_refused_moves(spark, monkeypatch, chain):
     assert len(passes) <= 4
 
 
+def test_counts_are_kept_up(spark):
+    """Counts with the differences of both batches added are those of a fresh count."""
+    locs, used, cmds = random_locations(8, commands=80)
+    names = schemas.LOCATION_COMMANDS.fieldNames()
+    inv = inventory(spark, [(i, f"T{i % 50}" if i % 11 else None, i % 3 == 0, sorted(used)[i % len(used)] if i % 5 else None) for i in range(60)])
+    before = spark.createDataFrame(locs, schemas.LOCATIONS)
+    after, room_log, _ = apply_location_changes(before, inv, spark.createDataFrame([tuple(c[n] for n in names) for c in cmds], schemas.LOCATION_COMMANDS))
+    flips = [(n, START + timedelta(minutes=n), f"T{n * 8 % 45}", "ann") for n in range(100)]
+    flipped, flip_log, _ = toggle_loaner(inv, spark.createDataFrame(flips, schemas.TOGGLE_COMMANDS))
+
+    def rows(df):
+        return sorted(map(repr, map(tuple, df.collect())))
+
+    devices = kept_counts.add_deltas(kept_counts.device_counts(inv), kept_counts.flag_deltas(flip_log, inv))
+    assert rows(devices) == rows(kept_counts.device_counts(flipped)) != rows(kept_counts.device_counts(inv))
+    places = kept_counts.add_deltas(kept_counts.location_counts(before), kept_counts.location_deltas(room_log, before, after))
+    assert rows(places) == rows(kept_counts.location_counts(after)) != rows(kept_counts.location_counts(before))
+    assert rows(kept_counts.kept_by_room(after, devices, places).select("site_name", "room_type", "locations")) == rows(places)
+    nothing = kept_counts.add_deltas(devices, kept_counts.flag_deltas(flip_log.where("false"), inv))
+    assert rows(nothing) == rows(devices)
+
+
 # --- toggles -------------------------------------------------------------------------------------
 
 

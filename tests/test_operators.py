@@ -5,8 +5,10 @@ from datetime import datetime
 import pytest
 
 from fleetlens import schemas
+from fleetlens.functions.cells import CASE_BLIND
 from fleetlens.functions.taxonomy import FOUR_RULES
-from fleetlens.operators import browse, history, loans, locations, quality, reports, skew, tidy
+from fleetlens.operators import browse, history, loans, locations, quality, reports, skew, sketches, tidy
+from fleetlens.operators.directory import PageDirectory
 from fleetlens.operators.equipment import build_equipment
 from fleetlens.plans.migration import migrate
 from pyspark.sql import functions as F
@@ -149,7 +151,7 @@ def test_gates(spark):
 def test_folded_duplicates(spark):
     inv = devices(spark, dict(asset_tag="a1"), dict(asset_tag="A1 "), dict(asset_tag="A2"))
     assert quality.duplicate_keys(inv, ["asset_tag"]).count() == 0
-    assert [tuple(r) for r in quality.duplicate_keys(inv, ["asset_tag"], fold=True).collect()] == [("a1", 2)]
+    assert [tuple(r) for r in quality.duplicate_keys(inv, ["asset_tag"], collation=CASE_BLIND).collect()] == [("A1 ", 2)]
 
 
 def test_conformance(spark):
@@ -264,3 +266,93 @@ def test_migration(spark):
     assert types == {"A": ("14 Laptop", datetime(2024, 1, 2), False), "B": ("Loaner Laptop", None, True)}
     with pytest.raises(quality.QualityError):
         migrate(inv, AS_OF, strict=True)
+
+
+# --- keys under a collation, stored layouts -------------------------------------------------------
+
+
+def spelled(spark):
+    rows = [room("Lab", "R1", "a", asset_tag="T1"), room("LAB ", "r1", "A", asset_tag="t1 "), room("lab", "R2", asset_tag="  "), room(None, "R1", asset_tag=None)]
+    return devices(spark, *rows, room("Yard", "R1", "b ", asset_tag=""))
+
+
+def test_one_switch_for_case_and_trailing_spaces(spark):
+    inv = spelled(spark)
+    assert browse.equals_given(inv, site_name="LAB").count() == 0
+    assert browse.equals_given(inv, CASE_BLIND, site_name="LAB").count() == 3
+    keys = devices(spark, dict(asset_tag="T1 "), dict(asset_tag="t1"))
+    found = browse.lookup(inv, keys, "asset_tag", ["inventory_id"], CASE_BLIND).collect()
+    assert sorted(r.asset_tag for r in found) == ["T1", "t1 "]
+    profile = reports.inventory_profile(inv, collation=CASE_BLIND).first()
+    assert tuple(profile) == (5, 2, 2, 2, 5, 3, 1, 0)
+    assert tuple(reports.inventory_profile(inv).first())[1:5] == (4, 4, 3, 5)
+    assert [tuple(r) for r in reports.site_summary(inv, CASE_BLIND).collect()] == [(None, 1, 1, 1), ("LAB ", 2, 3, 1), ("Yard", 1, 1, 1)]
+    assert [tuple(r)[1:] for r in reports.room_name_frequency(inv, CASE_BLIND).collect()] == [(None, 2, 2), ("A", 2, 0), ("b ", 1, 1)]
+    twice = quality.duplicate_rows(inv, ["site_name", "room_number"], ["inventory_id"], ["inventory_id"], collation=CASE_BLIND)
+    assert [r.inventory_id for r in twice.collect()] == [1, 2]
+    loc = locations.build_locations(inv.where("inventory_id IN (1, 5)"))
+    asked = {(r.site_name, r.room_number): r.exists for r in locations.location_exists(inv, loc, CASE_BLIND).collect()}
+    assert asked == {("LAB ", "R1"): True, ("lab", "R2"): False, (None, "R1"): False, ("Yard", "R1"): True}
+    assert browse.distinct_sorted(inv, "site_name", CASE_BLIND).count() == 3
+    order = [r.inventory_id for r in browse.sort_by(inv, "site_name", ["inventory_id"], collation=CASE_BLIND).collect()]
+    assert order == [4, 1, 2, 3, 5]
+    pages = [[r.inventory_id for r in browse.page_of(inv, ["site_name", "inventory_id"], 1, 3, CASE_BLIND, depth).collect()] for depth in (0, 100)]
+    assert pages == [[1, 2, 3]] * 2
+    assert [r.inventory_id for r in browse.keyset_page(inv, "LAB", 5, 1, "site_name", collation=CASE_BLIND).collect()] == [2, 3, 5]
+
+
+def test_a_refilled_dimension_keeps_its_ids(spark):
+    first = devices(spark, room("S", "R1", "Office"), room("S", "R3"))
+    grown = devices(spark, room("S", "R1", "Other name"), room("S", "R2"), room(None, None), room("A", "R9"), room("S", "R3"))
+    loc = locations.build_locations(first)
+    once = locations.refill_locations(loc, grown)
+    assert {tuple(r)[:4] for r in once.collect()} == {
+        (1, "S", "R1", "Office"), (2, "S", "R3", "Unknown"), (3, "A", "R9", "Unknown"), (4, "S", "R2", "Unknown"), (5, "Unknown", "Unknown", "Unknown")
+    }
+    assert sorted(map(tuple, locations.refill_locations(once, grown).collect())) == sorted(map(tuple, once.collect()))
+    whole = {tuple(r)[1:3] for r in locations.build_locations(first.unionByName(grown)).collect()}
+    assert {tuple(r)[1:3] for r in once.collect()} == whole
+    assert locations.refill_locations(loc.where("false"), first).count() == 2
+    folded = locations.refill_locations(loc, devices(spark, room("s ", "r1"), room("T", "R1")), fold_keys=True)
+    assert folded.count() == 3
+
+
+@pytest.mark.parametrize("per_page", [1, 7, 25])
+def test_pages_by_directory(spark, tmp_path, per_page):
+    inv = devices(spark, *[room(f"S{i * 7 % 5}", None if i % 4 else "R", asset_tag=f"T{i % 9}") for i in range(60)])
+    order = ["site_name", "room_number", "asset_tag", "inventory_id"]
+    pages = PageDirectory.build(inv, order, str(tmp_path / "p"), 6)
+    whole = [r.inventory_id for r in inv.orderBy(*order).collect()]
+    for page in (1, 2, 60 // per_page, 60 // per_page + 1, 100_000):
+        assert [r.inventory_id for r in pages.page(page, per_page).collect()] == whole[(page - 1) * per_page : page * per_page]
+    numbers = pages.numbers(100_000, per_page).first()
+    assert (numbers.total_items, numbers.total_pages) == (60, -(-60 // per_page))
+    plan = pages.page(3, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "Exchange" not in plan
+    tags = [r.asset_tag for r in inv.orderBy(*order).collect()]
+    assert pages.boundary("asset_tag", 10).first()[0] == tags[9] and pages.boundary("asset_tag", 900).first()[0] == tags[-1]
+    assert pages.boundary("asset_tag", 0).first()[0] == ""
+    # What lies in other pieces is never opened.
+    for file in (tmp_path / "p/rows").glob("_piece=*/*.parquet"):
+        if file.parent.name != "_piece=0":
+            file.write_bytes(b"not a table")
+            (file.parent / f".{file.name}.crc").unlink()
+    assert [r.inventory_id for r in pages.page(1, 3).collect()] == whole[:3]
+
+
+def test_pages_of_nothing(spark, tmp_path):
+    pages = PageDirectory.build(devices(spark, dict()).where("false"), ["inventory_id"], str(tmp_path / "p"))
+    assert pages.page(1).count() == 0 and pages.numbers(1).first().total_items == 0
+
+
+def test_sketches_are_united(spark):
+    inv = devices(spark, *[room(f"S{i % 3}", f"R{i % 50}", asset_tag=f"T{i % 700}" if i % 7 else None) for i in range(2000)])
+    parts = sketches.profile_sketches(inv.where("inventory_id <= 1000"), ["site_name"]).unionByName(
+        sketches.profile_sketches(inv.where("inventory_id > 1000"), ["site_name"])
+    )
+    exact, found = reports.inventory_profile(inv).first(), sketches.profile_of_sketches(parts).first()
+    assert found.asDict().keys() == exact.asDict().keys()
+    for name, value in exact.asDict().items():
+        assert abs(found[name] - value) <= sketches.relative_error() * value
+    by_site = sketches.profile_of_sketches(parts, ["site_name"]).collect()
+    assert sorted((r.site_name, r.total_records) for r in by_site) == [("S0", 667), ("S1", 667), ("S2", 666)]

@@ -6,7 +6,7 @@ import pytest
 
 from fleetlens import schemas
 from fleetlens.operators.quality import QualityError
-from fleetlens.sources import storage, tables
+from fleetlens.sources import layout, storage, tables
 from fleetlens.sources.imports import check_required, import_rows, read_import
 
 HEADER = "manufacturer,model_number,hardware_type,serial_number,assigned_to,location,date_assigned,date_decommissioned"
@@ -143,3 +143,68 @@ def test_load_from_paths_and_names(spark, tmp_path):
     assert tables.load_table(spark, path, fmt="json").count() == 3
     spark.range(4).createOrReplaceTempView("four")
     assert tables.load_table(spark, "four", fmt="table").count() == 4
+
+
+# --- dimensions that are filled again, buckets ----------------------------------------------------
+
+
+def test_only_absent_keys_are_inserted(spark, tmp_path):
+    path, kind = str(tmp_path / "dim"), "site string, room string, name string, more int"
+    first = spark.createDataFrame([("S", "1", "b", 1), ("S", "1", "a", 2), (None, "1", "x", 3)], kind)
+    grown = spark.createDataFrame([("S", "1", "new name", 1), ("S", None, "y", 1), ("A", "9", None, 1), (None, "1", "z", 1)], kind)
+    columns, key = ["site", "room", "name"], ["site", "room"]
+    assert tables.insert_absent(first, columns, key, path, "id").count() == 2
+    assert tables.insert_absent(grown, columns, key, path, "id").count() == 2
+    assert tables.insert_absent(grown, columns, key, path, "id").count() == 0
+    rows = {(r.site, r.room): (r.id, r.name) for r in spark.read.parquet(path).collect()}
+    assert rows == {(None, "1"): (1, "x"), ("S", "1"): (2, "a"), ("A", "9"): (3, None), ("S", None): (4, "y")}
+    other = str(tmp_path / "keys")
+    tables.insert_absent(first, key, key, other)
+    tables.insert_absent(grown, key, key, other)
+    assert spark.read.parquet(other).count() == 4
+
+
+def log_of(spark, tags):
+    rows = [(i, "UPDATE", tag, "status", None, "x", "ann", datetime(2024, 1, 1 + i % 20), None) for i, tag in enumerate(tags)]
+    kind = "event int, action_type string, asset_tag string, field_name string, old_value string, new_value string, changed_by string, changed_at timestamp_ntz, notes string"
+    return spark.createDataFrame(rows, kind)
+
+
+def test_history_reads_the_buckets_of_its_tags(spark, tmp_path):
+    path, tags = str(tmp_path / "log"), [f"T{i % 40}" for i in range(200)] + [None, "T7"]
+    layout.append_audit_by_tag(log_of(spark, tags[:100]).coalesce(1), path, ["event"], buckets=16)
+    layout.append_audit_by_tag(log_of(spark, tags[100:]).coalesce(1), path, ["event"], buckets=16)
+    wanted = spark.createDataFrame([("T7",), ("T7",), (None,), ("none",)], "asset_tag string")
+    found = layout.history_by_tag(spark, path, wanted, buckets=16)
+    rows = found.collect()
+    assert len(rows) == 6 and {r.asset_tag for r in rows} == {"T7"}
+    assert [r.changed_at for r in rows] == sorted((r.changed_at for r in rows), reverse=True)
+    every = spark.read.parquet(path)
+    assert every.count() == 202 and sorted(r.audit_id for r in every.collect()) == list(range(1, 203))
+    assert "PartitionFilters: [" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_versions_differ_in_few_buckets(spark, tmp_path):
+    root, kind = str(tmp_path / "v"), "id int, name string, flag boolean, other int"
+    old = [(i, f"n{i}", i % 2 == 0, i) for i in range(300)]
+    new = [r for r in old if r[0] != 5] + [(900, None, False, 1)]
+    new = [(i, "changed" if i == 77 else n, f, o + 1) for i, n, f, o in new]
+    new = [(i, n, None if i == 80 else f, o) for i, n, f, o in new]
+    fields = ["name", "flag"]
+    for version, rows in ((1, old), (2, new[::-1]), (3, new)):
+        layout.store_version(spark.createDataFrame(rows, kind).repartition(version), root, version, "id", fields, buckets=50)
+    touched = layout.changed_buckets(spark, root, 1, 2)
+    assert 1 <= len(touched) <= 4 and layout.changed_buckets(spark, root, 2, 3) == []
+    args = ("id", fields, "me", datetime(2024, 1, 20))
+    found = layout.diff_versions(spark, root, 1, 2, *args)
+    whole = layout.diff_to_audit(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), *args)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.count() == 6
+    # What the equal buckets hold is never opened.
+    for folder in (tmp_path / "v").glob("v*/rows/bucket=*"):
+        if int(folder.name.split("=")[1]) not in touched:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not a table")
+            for file in folder.glob(".*.crc"):
+                file.write_bytes(b"crc\x00")
+    assert layout.diff_versions(spark, root, 1, 2, *args).count() == 6
+    assert layout.diff_versions(spark, root, 2, 3, *args).count() == 0
