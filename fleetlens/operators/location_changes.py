@@ -23,13 +23,15 @@ commands on a location that was not made neither take nor leave a room.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.cells import any_of, is_blank, location_label, location_ref
 from fleetlens.operators.history import log_rows
-from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, reached, running_last
-from fleetlens.operators.skew import join_checked
+from fleetlens.operators.ordering import assign_ids, cut_pieces, plain, reached, reached_nearby, running_last
+from fleetlens.operators.skew import fits_broadcast, join_checked, join_unique
 from fleetlens.schemas import LOCATION_FIELDS
 from fleetlens.sources.storage import stored
 from fleetlens.sources.tables import next_id
@@ -46,6 +48,16 @@ _ENTITY = ["_new", "_ent"]
 _ROOM = ["_site", "_roomno"]
 
 
+def _taken() -> Column:
+    """The room of a row as a key in which NULLs are equal."""
+    return F.struct("_site", "_roomno")
+
+
+def _left() -> Column:
+    """The same of the room that it left."""
+    return F.struct(F.col("_from_site").alias("_site"), F.col("_from_room").alias("_roomno"))
+
+
 def _given(field: str) -> Column:
     return F.coalesce(F.array_contains("given", field), F.lit(False))
 
@@ -141,72 +153,134 @@ def _settle_rooms(loc: DataFrame, judged: DataFrame, ids_from_commands: bool) ->
             F.col("room_number").alias("_roomno"),
         )
 
-    starts = at_start(loc.join(moved, "location_id", "left_semi"))
-    bystanders = at_start(loc.join(moved, "location_id", "left_anti"))
-    starts = starts.withColumn("_ok", F.lit(True))
-    flagged = events.withColumn("_ok", F.lit(True)).unionByName(starts)
-    when = F.struct("command_ts", "command_id")
-
-    while True:
-        # Follow each location: the room before and after each command, and when it leaves next.
-        path = running_last(
-            cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"]),
-            _ENTITY,
-            {
-                "_from_site": F.when(F.col("_ok"), F.col("_site")),
-                "_from_room": F.when(F.col("_ok"), F.col("_roomno")),
-                "_born": F.when(F.col("kind") == CREATE, F.col("_ok")),
-            },
-        )
-        to_site, to_room = F.coalesce("_site", "_from_site"), F.coalesce("_roomno", "_from_room")
-        stays = (F.col("kind") == UPDATE) & (to_site == F.col("_from_site")) & (to_room == F.col("_from_room"))
-        path = path.withColumns(
-            {"_site": to_site, "_roomno": to_room, "_stays": F.coalesce(stays, F.lit(False)), "_alive": F.coalesce("_born", F.lit(True))}
-        )
-        path = stored(path, "path")
-        moves = (F.col("kind") == UPDATE) & ~F.col("_stays")
-        leaving = F.col("_alive") & ((F.col("kind") == DELETE) | (moves & F.col("_ok")))
-        path = running_last(path, _ENTITY, {"_leave": F.when(leaving, when)}, backwards=True)
-        path = stored(plain(path), "path")
-
-        takes = path.where(F.col("_alive") & ~F.col("_stays") & (F.col("kind") != DELETE))
-        asks = takes.where("_seq = 1").select(*_ROOM, "command_ts", "command_id", "kind", "_ok")
-        asked = asks.select(*_ROOM).distinct()
-        here = bystanders.join(asked, _ROOM, "left_semi").withColumn("_leave", F.lit(None).cast(takes.schema["_leave"].dataType))
-        would_leave = path.where(F.col("_alive") & moves & ~F.col("_ok")).select(
-            F.col("_from_site").alias("_site"), F.col("_from_room").alias("_roomno"), "command_ts", "command_id"
+    starts = stored(at_start(loc.join(moved, "location_id", "left_semi")).withColumn("_ok", F.lit(True)), "starts")
+    bystanders = stored(at_start(loc.join(moved, "location_id", "left_anti")), "bystanders")
+    events = stored(events, "events")
+    # Whether a CREATE got its room, or a DELETE a location, changes no path if nobody can name new locations.
+    weighs = F.lit(True) if ids_from_commands else F.col("kind") == UPDATE
+    wrong = weighs & (F.col("_was") != F.col("_ok"))
+
+    path = _follow(events.withColumn("_ok", F.lit(True)).unionByName(starts))
+    answers, onward = _weighed(path, path, path, bystanders)
+    open_ = stored(answers.where(wrong).select("command_id", "kind", "_ok"), "open")
+    # What the passes after the first one found; it holds in place of what the first one did.
+    assumed = later = touched = rooms = jumps = after = None
+    while not open_.isEmpty():
+        known = onward if jumps is None else _listed(rooms, ["_room"])(onward, "left_anti").unionByName(jumps)
+        wanted = open_.select("command_id", "_ok")
+        # What follows from an answer that turned out otherwise is assumed along with it.
+        for then in (True, False):
+            turned = open_.where((F.col("kind") == UPDATE) & (F.col("_ok") == then)).select("command_id")
+            if not turned.isEmpty():
+                found = reached_nearby(turned, known.select("command_id", "_to")).distinct().withColumn("_ok", F.lit(then))
+                found = stored(found, "turned")
+                wanted = wanted.join(found, "command_id", "left_anti").unionByName(found)
+        wanted = stored(wanted, "wanted")
+        if assumed is None:
+            changed, assumed = wanted.where("NOT _ok"), wanted
+        else:
+            was = assumed.select("command_id", F.col("_ok").alias("_was"))
+            changed = wanted.join(was, "command_id", "left").where(F.col("_ok") != F.coalesce("_was", F.lit(True)))
+            changed = stored(changed, "changed")
+            assumed = stored(assumed.join(wanted, "command_id", "left_anti").unionByName(wanted), "assumed")
+
+        # Follow the locations anew whose answers are assumed otherwise now; the others go as before.
+        dirty = stored(events.join(changed.select("command_id"), "command_id", "left_semi").select(*_ENTITY).distinct(), "dirty")
+        of_dirty = _listed(dirty, _ENTITY)
+        mine = of_dirty(events, "left_semi").join(assumed, "command_id", "left").withColumn("_ok", F.coalesce("_ok", F.lit(True)))
+        fresh = _follow(mine.unionByName(of_dirty(starts, "left_semi")))
+        # Only rooms that these touch, or touched, are weighed anew, with all that the other locations do there.
+        went = of_dirty(path, "left_semi")
+        if later is not None:
+            went = touched(went, "left_anti").unionByName(of_dirty(later, "left_semi"))
+        went = went.unionByName(fresh)
+        again = stored(went.select(_taken().alias("_room")).unionByName(went.select(_left().alias("_room"))).distinct(), "again")
+        later = fresh if later is None else stored(of_dirty(later, "left_anti").unionByName(fresh), "later")
+        touched = _listed(stored(later.select(*_ENTITY).distinct(), "touched"), _ENTITY)
+        there = _listed(again, ["_room"])
+        taken, left = (
+            stored(
+                touched(there(path.withColumn("_room", room), "left_semi"), "left_anti")
+                .unionByName(there(later.withColumn("_room", room), "left_semi"))
+                .drop("_room"),
+                "there",
+            )
+            for room in (_taken(), _left())
         )
-        winners, onward = _winners(takes.unionByName(here, allowMissingColumns=True), asks, would_leave)
+        answered, found = _weighed(taken, left, fresh, bystanders)
+        rooms = again if rooms is None else stored(rooms.unionByName(again).distinct(), "rooms")
+        jumps = found if jumps is None else stored(there(jumps, "left_anti").unionByName(found), "jumps")
+        after = answered if after is None else stored(after.join(answered, "command_id", "left_anti").unionByName(answered), "after")
+        # An answer that was set aside by what followed from another one, and not weighed again, is still open.
+        aside = open_.join(answered, "command_id", "left_anti").join(assumed.withColumnRenamed("_ok", "_was"), "command_id")
+        open_ = stored(answered.where(wrong).select(*open_.columns).unionByName(aside.where("_was <> _ok").select(*open_.columns)), "open")
+    if after is not None:
+        answers = answers.join(after, "command_id", "left_anti").unionByName(after)
+    return answers.select("command_id", "_ok")
+
+
+def _listed(keys: DataFrame, on: list[str]) -> Callable[[DataFrame, str], DataFrame]:
+    """Picks the rows whose key is in a list (left_semi), or is not (left_anti); a list that fits is broadcast."""
+    if fits_broadcast(keys):
+        return lambda rows, how: rows.join(F.broadcast(keys), on, how)
+    return lambda rows, how: join_unique(rows, keys, on, how, ["command_id"])
+
+
+def _follow(flagged: DataFrame) -> DataFrame:
+    """The room of each location before and after each command, and when it leaves next, given ``_ok`` of all commands."""
+    path = running_last(
+        cut_pieces(flagged, [*_ENTITY, "_seq", "command_ts", "command_id"]),
+        _ENTITY,
+        {
+            "_from_site": F.when(F.col("_ok"), F.col("_site")),
+            "_from_room": F.when(F.col("_ok"), F.col("_roomno")),
+            "_born": F.when(F.col("kind") == CREATE, F.col("_ok")),
+        },
+    )
+    to_site, to_room = F.coalesce("_site", "_from_site"), F.coalesce("_roomno", "_from_room")
+    stays = (F.col("kind") == UPDATE) & (to_site == F.col("_from_site")) & (to_room == F.col("_from_room"))
+    path = path.withColumns(
+        {"_site": to_site, "_roomno": to_room, "_stays": F.coalesce(stays, F.lit(False)), "_alive": F.coalesce("_born", F.lit(True))}
+    )
+    path = stored(path, "path")
+    leaving = F.col("_alive") & ((F.col("kind") == DELETE) | (_moves() & F.col("_ok")))
+    path = running_last(path, _ENTITY, {"_leave": F.when(leaving, F.struct("command_ts", "command_id"))}, backwards=True)
+    return stored(plain(path), "path")
 
-        judged_asks = asks.join(winners.withColumn("_won", F.lit(True)), "command_id", "left").select(
-            "command_id", "kind", F.coalesce("_won", F.lit(False)).alias("_ok"), F.col("_ok").alias("_was")
-        )
-        rest = path.where("_seq = 1 AND (_stays OR kind = 'DELETE' OR NOT _alive)").select(
-            "command_id", "kind", F.col("_alive").alias("_ok"), F.col("_ok").alias("_was")
-        )
-        answers = stored(judged_asks.unionByName(rest), "answers")
-        # Whether a CREATE got its room, or a DELETE a location, changes no path if nobody can name new locations.
-        weighs = F.lit(True) if ids_from_commands else F.col("kind") == UPDATE
-        refused, accepted = weighs & F.col("_was") & ~F.col("_ok"), weighs & ~F.col("_was") & F.col("_ok")
-        turned = answers.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in (("refused", refused), ("accepted", accepted))]).first()
-        if not (turned.refused or turned.accepted):
-            return answers.select("command_id", "_ok")
-        assumed = answers.select("command_id", "_ok")
-        # What follows from an answer that turned out otherwise is assumed along with it.
-        for came, which, then in ((turned.accepted, accepted, True), (turned.refused, refused, False)):
-            if came:
-                found = reached(answers.where(which & (F.col("kind") == UPDATE)).select("command_id"), onward)
-                found = stored(found.distinct().withColumn("_then", F.lit(then)), "turned")
-                assumed = join_checked(assumed, found, ["command_id"], "left", ["command_id"])
-                assumed = assumed.select("command_id", F.coalesce("_then", "_ok").alias("_ok"))
-        flagged = events.join(assumed, "command_id").unionByName(starts)
+
+def _moves() -> Column:
+    return (F.col("kind") == UPDATE) & ~F.col("_stays")
+
+
+def _weighed(taken: DataFrame, left: DataFrame, fresh: DataFrame, bystanders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """command_id, kind, ``_ok`` and ``_was`` (the assumption) of the commands weighed, and the jumps of `_winners`.
+
+    ``taken`` and ``left`` hold the paths of all that come to, or would leave, the rooms in question;
+    ``fresh`` those of the locations followed anew, whose commands without a room are answered too.
+    """
+    takes = taken.where(F.col("_alive") & ~F.col("_stays") & (F.col("kind") != DELETE))
+    asks = takes.where("_seq = 1").select(*_ROOM, "command_ts", "command_id", "kind", "_ok")
+    asked = asks.select(*_ROOM).distinct()
+    here = bystanders.join(asked, _ROOM, "left_semi").withColumn("_leave", F.lit(None).cast(takes.schema["_leave"].dataType))
+    would_leave = left.where(F.col("_alive") & _moves() & ~F.col("_ok")).select(
+        F.col("_from_site").alias("_site"), F.col("_from_room").alias("_roomno"), "command_ts", "command_id"
+    )
+    winners, onward = _winners(takes.unionByName(here, allowMissingColumns=True), asks, would_leave)
+
+    judged_asks = asks.join(winners.withColumn("_won", F.lit(True)), "command_id", "left").select(
+        "command_id", "kind", F.coalesce("_won", F.lit(False)).alias("_ok"), F.col("_ok").alias("_was")
+    )
+    rest = fresh.where("_seq = 1 AND (_stays OR kind = 'DELETE' OR NOT _alive)").select(
+        "command_id", "kind", F.col("_alive").alias("_ok"), F.col("_ok").alias("_was")
+    )
+    return stored(judged_asks.unionByName(rest), "answers"), stored(onward, "onward")
 
 
 def _winners(takes: DataFrame, asks: DataFrame, would_leave: DataFrame) -> tuple[DataFrame, DataFrame]:
     """command_id of every ask that finds its room empty, given when each taker would leave.
 
-    Also the jumps from a move (command_id) to the first ask (_to) for the room that it leaves, or
-    would leave if it were accepted.
+    Also the jumps from a move (command_id) to the first ask (_to) for the room (_room) that it
+    leaves, or would leave if it were accepted.
     """
     first = takes.groupBy(*_ROOM).agg(
         F.min_by(F.struct("_seq", "command_id"), F.struct("_seq", "command_ts", "command_id")).alias("first")
@@ -228,13 +302,14 @@ def _winners(takes: DataFrame, asks: DataFrame, would_leave: DataFrame) -> tuple
         ask_marks.unionByName(leave_marks).unionByName(idle_marks), [*_ROOM, "command_ts", "command_id", "_mark", "_seq", "_by"]
     )
     nexts = running_last(line, _ROOM, {"_next": F.when(F.col("_mark") == 0, F.col("command_id"))}, backwards=True)
-    nexts = stored(nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next", "_move"), "nexts")
+    nexts = nexts.where("_mark = 1 AND _next IS NOT NULL").select("_seq", "_by", "_next", "_move", _taken().alias("_room"))
+    nexts = stored(nexts, "nexts")
 
     found = first.where("first._seq = 1").select(F.col("first.command_id").alias("command_id")).unionByName(
         nexts.where("_seq = 0").select(F.col("_next").alias("command_id"))
     )
     jumps = nexts.where("_seq = 1").select(F.col("_by").alias("command_id"), F.col("_next").alias("_to"))
-    onward = nexts.select(F.col("_move").alias("command_id"), F.col("_next").alias("_to")).distinct()
+    onward = nexts.select(F.col("_move").alias("command_id"), F.col("_next").alias("_to"), "_room").distinct()
     return reached(found, jumps), onward
 
 

@@ -486,6 +486,26 @@ def test_chain_of_refused_moves(spark, monkeypatch, chain):
     assert len(passes) <= 4
 
 
+def test_later_passes_follow_only_what_changed(spark, monkeypatch):
+    """Two hundred locations move to free rooms; of two others one is refused, and so the next one is, too."""
+    locs = [(n, "S", f"R{n}", "x", "Other") for n in range(1, 204)]
+    base = dict(kind="UPDATE", site_name=None, room_name=None, room_type=None, given=["room_number"], changed_by="ann")
+    wants = {**{n: f"N{n}" for n in range(1, 201)}, 201: "R202", 203: "R201"}
+    cmds = [base | dict(command_id=n, command_ts=START + timedelta(minutes=n), location_id=n, room_number=room) for n, room in wants.items()]
+    followed, inner = [], location_changes.cut_pieces
+
+    def counted(df, order, *rest):
+        if "_seq" in order and "_ent" in order:
+            followed.append(df.count())
+        return inner(df, order, *rest)
+
+    monkeypatch.setattr(location_changes, "cut_pieces", counted)
+    got = run_locations(spark, locs, {1}, cmds)
+    assert got == expect_locations(locs, {1}, cmds)
+    assert got[2] == {201: EXISTS, 203: EXISTS}
+    assert followed[0] == 404 and 0 < sum(followed[1:]) <= 12
+
+
 def test_counts_are_kept_up(spark):
     """Counts with the differences of both batches added are those of a fresh count."""
     locs, used, cmds = random_locations(8, commands=80)
