@@ -37,6 +37,17 @@ MASK = (1 << 64) - 1
 _known: dict[str, PieceCoder] = {}
 
 
+def _place(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What a candidate's place in its word adds to its key."""
+    return first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + end.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _drawn(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """32 bits for each candidate."""
+    x = keys ^ place
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+
+
 class PieceCoder:
     """Encodes and decodes with the pieces of one model file."""
 
@@ -94,18 +105,30 @@ class PieceCoder:
         return piece, np.where(self.pairs[at] == key, self.scores[piece], NEVER)
 
     def merge(self, words: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of words of one length, one word after the other, and how many each word has.
+        """Symbols of words of one length, one word after the other, and how many each word has."""
+        return self._merged(*self._first(words), keys, dropout)[:2]
 
-        A candidate is known by its word and by where it begins and ends.
-        """
+    def _first(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Symbols of words of one length, and piece and score of each with the one behind it."""
         n, rows = len(words[0]), len(words)
         symbol = self.single[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(rows, n)
-        alive = np.ones((rows, n), bool)
-        after = np.tile(np.arange(1, n + 1), (rows, 1))
-        before = np.tile(np.arange(-1, n), (rows, 1))
         score, piece = np.full((rows, n), NEVER), np.zeros((rows, n), np.int64)
         if n > 1:
             piece[:, :-1], score[:, :-1] = self._found(symbol[:, :-1], symbol[:, 1:])
+        return symbol, piece, score
+
+    def _merged(
+        self, symbol: np.ndarray, piece: np.ndarray, score: np.ndarray, keys: np.ndarray, dropout: float, passed: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, how many each word has, and which are left of rows from ``_first``, which are written over.
+
+        A candidate is known by its word and by where it begins and ends. ``passed`` gets the rows and places of each
+        step, if it is given.
+        """
+        rows, n = symbol.shape
+        alive = np.ones((rows, n), bool)
+        after = np.tile(np.arange(1, n + 1), (rows, 1))
+        before = np.tile(np.arange(-1, n), (rows, 1))
         row, limit = np.arange(rows), np.uint64(dropout * 2**32)
         while len(row):
             i = score[row].argmax(axis=1)
@@ -113,15 +136,13 @@ class PieceCoder:
             row, i = row[waiting], i[waiting]
             j = after[row, i]
             k = after[row, j]
-            score_now = score[row, i]
             score[row, i] = NEVER
+            if passed is not None:
+                passed.append((row, _place(i, k)))
+            r = row
             if limit:
-                x = keys[row] ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                taken = (x >> np.uint64(32)) >= limit
-            else:
-                taken = score_now > NEVER
-            r, i, j, k = row[taken], i[taken], j[taken], k[taken]
+                taken = _drawn(keys[row], _place(i, k)) >= limit
+                r, i, j, k = row[taken], i[taken], j[taken], k[taken]
             symbol[r, i] = piece[r, i]
             alive[r, j], score[r, j], after[r, i] = False, NEVER, k
             more = k < n
@@ -132,7 +153,36 @@ class PieceCoder:
             more = h >= 0
             r2, i2, h2 = r[more], i[more], h[more]
             piece[r2, h2], score[r2, h2] = self._found(symbol[r2, h2], symbol[r2, i2])
-        return symbol[alive], alive.sum(axis=1)
+        return symbol[alive], alive.sum(axis=1), alive
+
+    def _merge_each(self, words: list[str], of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` for occurrences (``of``: numbers of their words), of which many skip no candidate.
+
+        Those have the pieces of their word without dropout, which is merged once; its candidates tell which they are.
+        """
+        first = self._first(words)
+        passed: list[tuple[np.ndarray, np.ndarray]] = []
+        plain, counts, _ = self._merged(*(x.copy() for x in first), keys[:0], 0.0, passed)
+        clear, limit = np.ones(len(of), bool), np.uint64(dropout * 2**32)
+        waiting = np.arange(len(of))
+        for row, place in passed:
+            at = np.full(len(words), -1)
+            at[row] = np.arange(len(row))
+            at = at[of[waiting]]
+            waiting, at = waiting[at >= 0], at[at >= 0]
+            good = _drawn(keys[waiting], place[at]) >= limit
+            clear[waiting[~good]] = False
+            waiting = waiting[good]
+        rest = np.flatnonzero(~clear)
+        sizes = counts[of]
+        symbols, sizes[rest], _ = self._merged(*(x[of[rest]] for x in first), keys[rest], dropout)
+        ends, own_ends = np.cumsum(sizes), np.cumsum(counts)
+        out = np.zeros(int(sizes.sum()), np.int64)
+        kept = np.repeat(clear, sizes)
+        out[~kept] = symbols
+        shift = np.where(clear, own_ends[of] - ends, 0)
+        out[kept] = plain[(np.arange(len(out)) + np.repeat(shift, sizes))[kept]]
+        return out, sizes
 
     def merge_long(self, words: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """The same as ``merge``, word by word and with a heap, for words of any length."""
@@ -257,17 +307,25 @@ class PieceCoder:
         order, parts = [], []
         for n in np.unique(length[length > 0]).tolist():
             some, step = np.flatnonzero(length == n), max(1, SIDE_BY_SIDE // n)
-            merge = self.merge if n <= LONGEST_REMEMBERED else self.merge_long
             for at in (some[i : i + step] for i in range(0, len(some), step)):
-                group = [words[w] for w in word[at].tolist()]
-                symbols, counts = merge(group, keys[at], dropout)
+                own, of = np.unique(word[at], return_inverse=True)
+                known = [words[w] for w in own.tolist()]
+                if n <= LONGEST_REMEMBERED:
+                    symbols, counts = self._merge_each(known, of, keys[at], dropout)
+                else:
+                    symbols, counts = self.merge_long([known[w] for w in of.tolist()], keys[at], dropout)
                 ends = np.cumsum(counts)
                 odd = np.unique(np.searchsorted(ends, np.flatnonzero(symbols >= self.size), "right"))
                 if len(odd):
-                    pieces = np.split(symbols, ends[:-1])
-                    for i in odd.tolist():
-                        pieces[i] = np.frombuffer(self._with_bytes(group[i], pieces[i].astype("<u4").tobytes(), literal), "<u4")
-                    symbols, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+                    strange = np.zeros(len(at), bool)
+                    strange[odd] = True
+                    plain = symbols[~np.repeat(strange, counts)]
+                    rows = zip(odd.tolist(), (ends[odd] - counts[odd]).tolist(), ends[odd].tolist(), strict=True)
+                    pieces = [np.frombuffer(self._with_bytes(known[of[i]], symbols[x:y].astype("<u4").tobytes(), literal), "<u4") for i, x, y in rows]
+                    counts[odd] = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                    strange = np.repeat(strange, counts)
+                    symbols = np.zeros(len(strange), np.int64)
+                    symbols[~strange], symbols[strange] = plain, np.concatenate(pieces)
                 sizes[at] = counts
                 order.append(at)
                 parts.append(symbols.astype("<u4"))

@@ -177,6 +177,18 @@ def test_agendas_agree(spark, dropout):
         assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.7])
+def test_occurrences_of_a_word_are_merged_as_one_by_one(spark, dropout):
+    """A word is merged once for all occurrences that skip nothing; the others are merged on their own."""
+    coder = pieces.PieceCoder(MODEL)
+    words, rng = sorted({w for t in texts_of(spark) for w in t.split()}), np.random.default_rng(7)
+    for n in (1, 2, 5, 9, 14):
+        some = [w for w in words if len(w) == n][:50]
+        of, keys = rng.integers(0, len(some), 600), rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        one, two = coder._merge_each(some, of, keys, dropout), coder.merge_long([some[i] for i in of], keys, dropout)
+        assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
 def test_pieces_of_a_table(docs_of):
     docs = docs_of((1, "one two  three"), (1, "one two  three"), (2, None), (3, ""), (None, "日本 x"))
     coded = pieces.encode_documents(docs, MODEL, 1)
