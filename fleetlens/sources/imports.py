@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.cells import clean_date_text, is_blank
+from fleetlens.functions.cells import clean_date_text, is_blank, read_date
 from fleetlens.operators.quality import QualityError
 from fleetlens.operators.skew import join_checked
 from fleetlens.schemas import IMPORT_ALIASES, IMPORT_COLUMNS, IMPORT_OPTIONAL, IMPORT_REQUIRED
@@ -92,7 +92,7 @@ def _read_sheets(spark: SparkSession, files: list[str], header: str, aliases: di
 
 
 def _date_problem(column: str) -> Column:
-    unreadable = ~is_blank(F.trim(column)) & clean_date_text(column).isNull()
+    unreadable = ~is_blank(F.trim(column)) & read_date(column).isNull()
     return F.when(unreadable, F.concat(F.lit(f"unreadable {column}: "), F.col(column)))
 
 
@@ -119,9 +119,9 @@ def import_rows(df: DataFrame, required_values: bool = False) -> tuple[DataFrame
     )
     serial = F.when(F.col("malformed").isNull(), F.col("serial_number")) if "malformed" in df.columns else F.col("serial_number")
     rejected = judged.where("reason IS NOT NULL").select(*place, serial.alias("serial_number"), "reason")
-    summary = judged.agg(
-        F.count_if(F.col("reason").isNull()).alias("success_count"),
-        F.count_if(F.col("reason").isNotNull()).alias("error_count"),
+    # The reason stands in one place of the plan, so each date is read once.
+    summary = judged.agg(F.count("*").alias("rows"), F.count("reason").alias("error_count")).select(
+        (F.col("rows") - F.col("error_count")).alias("success_count"), "error_count"
     )
     return accepted, rejected, summary
 

@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens import schemas
 from fleetlens.operators.quality import QualityError
@@ -38,6 +39,16 @@ def test_bad_row_is_named_and_stops_no_other(spark, tmp_path):
     assert tuple(summary.first()) == (1, 2)
 
 
+def test_counting_reads_each_date_once(spark):
+    rows = [("A1", "2024-01-14", ""), ("A2", "soon", None), ("A3", None, "1/2/2024"), ("A4", "n/a", "never")]
+    sheet = spark.createDataFrame(rows, "serial_number string, date_assigned string, date_decommissioned string")
+    sheet = sheet.select("*", *[F.lit("x").alias(c) for c in schemas.IMPORT_COLUMNS if c not in sheet.columns])
+    summary = import_rows(sheet)[2]
+    assert tuple(summary.first()) == (2, 2)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("yyyyMMdd") == 2 and "date_format" not in plan
+
+
 def test_missing_values_on_request(spark, tmp_path):
     path = write(tmp_path / "a.csv", ["D,m,t,A1,,,,", ",m,t,A2,,,,"])
     df = read_import(spark, path)
